@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,12 +16,14 @@ def kind_at(variant: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
 
 
-def is_object(variant: Column, path: str = "$") -> Column:
-    return F.coalesce(F.startswith(kind_at(variant, path), F.lit("OBJECT<")), F.lit(False))
+def is_object_text(text: Column) -> Column:
+    """Whether a JSON text is an object; cheaper than the schema of a large value."""
+    return F.coalesce(text.rlike(r"^[ \t\n\r]*\{"), F.lit(False))
 
 
-def is_array(variant: Column, path: str = "$") -> Column:
-    return F.coalesce(F.startswith(kind_at(variant, path), F.lit("ARRAY<")), F.lit(False))
+def members(df: DataFrame, variant: str) -> DataFrame:
+    """One row per member of an object (``key`` set) or element of an array (``key`` NULL)."""
+    return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(variant).outer()))
 
 
 def string_at(variant: Column, path: str) -> Column:

@@ -102,7 +102,7 @@ def payload(event: str, zone: Column, category: Column) -> Column:
     )
 
 
-def outbox(batched: DataFrame, targets: DataFrame) -> DataFrame:
+def outbox(batched: DataFrame, targets: DataFrame, run_seq: int) -> DataFrame:
     """Request rows: ``id, method, url, body`` plus the key columns.
 
     ``targets`` has one row per feed: target_upn, calendar_id, display_tz, event_category.
@@ -122,6 +122,7 @@ def outbox(batched: DataFrame, targets: DataFrame) -> DataFrame:
     for name, verb in METHOD.items():
         method = F.when(kind == name, verb).otherwise(method)
     return joined.select(
+        F.lit(run_seq).cast("bigint").alias("run_seq"),
         "feed_id",
         "batch_id",
         "op_ord",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapfold.functions.zones import iso_ms
+from snapfold.operators.spread import attach
 
 _COUNTS = ("created", "updated", "deleted", "skipped", "pruned", "errors")
 
@@ -70,8 +71,6 @@ def next_state(settled: DataFrame) -> DataFrame:
 
 def fold(state: DataFrame, actions: DataFrame, results: DataFrame, runs: DataFrame) -> DataFrame:
     """Whole next state: folded rows of the feeds in ``runs`` plus the untouched rows of the others."""
-    from snapfold.operators.spread import attach
-
     untouched = attach(state, runs.select("feed_id"), how="left_anti")
     return next_state(outcomes(actions, results)).unionByName(
         untouched.select("feed_id", "uid", "event_id", "hash", "start")
@@ -86,7 +85,8 @@ def summarise(settled: DataFrame) -> DataFrame:
 
     outcome, action = F.col("outcome"), F.col("action")
     return (
-        settled.groupBy("feed_id")
+        settled.where((action != "held") | action.isNull())
+        .groupBy("feed_id")
         .agg(
             n(outcome == "created", "created"),
             n(outcome == "updated", "updated"),

@@ -18,7 +18,7 @@ from snapfold.functions.status import (
 from snapfold.functions.text import js_number
 from snapfold.functions.zones import parse_iso
 
-REQUEST_KEY = ["feed_id", "batch_id", "id"]
+REQUEST_KEY = ["run_seq", "feed_id", "batch_id", "id"]
 # Fixed value: body of a request that no attempt settled.
 EXHAUSTED = '{"error":{"code":"batchRetriesExhausted"}}'
 
@@ -66,7 +66,7 @@ def operation_results(answers: DataFrame) -> DataFrame:
         .withColumn("error", F.nullif(message, F.lit("")))
         .withColumn("ok", is_ok(status) & ~no_id)
         .withColumn("status", F.when(no_id, F.lit(NO_ID)).otherwise(status))
-        .select("feed_id", "uid", "kind", "ok", "status", "event_id", "error")
+        .select("run_seq", "feed_id", "uid", "kind", "ok", "status", "event_id", "error")
     )
 
 
@@ -79,7 +79,7 @@ def longest_retry_after(
     return (
         again.join(settled.select(*REQUEST_KEY, "settled_attempt"), REQUEST_KEY, "left")
         .where(still_open)
-        .groupBy("feed_id", "batch_id", "attempt")
+        .groupBy("run_seq", "feed_id", "batch_id", "attempt")
         .agg(
             F.count(F.lit(1)).alias("sent_again"),
             F.max(js_number(F.col("retry_after"))).alias("retry_after_s"),

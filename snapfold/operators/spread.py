@@ -19,23 +19,24 @@ def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def attach(
     df: DataFrame,
     dim: DataFrame,
-    key: str = "feed_id",
+    keys: tuple[str, ...] = ("feed_id",),
     how: str = "inner",
     spread_by: str = "uid",
-    max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Join a table of one row per feed onto a large table.
+    """Join a table of one row per key (a feed, or a feed's snapshot) onto a large table.
 
-    A small one is broadcast. A larger one is joined on the feed and a salt taken from ``spread_by``,
-    with its rows repeated once per salt, so that the rows of a hot feed land in many tasks.
+    A small one is broadcast; ``small`` passes the outcome of a size check already made. A larger one is
+    joined on the key and a salt taken from ``spread_by``, with its rows repeated once per salt, so that
+    the rows of a hot key land in many tasks.
     """
-    if fits_broadcast(dim, max_rows):
-        return df.join(F.broadcast(dim), key, how)
+    if fits_broadcast(dim) if small is None else small:
+        return df.join(F.broadcast(dim), list(keys), how)
     salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return (
         df.withColumn("__salt", salt)
-        .join(dim.withColumn("__salt", salts), [key, "__salt"], how)
+        .join(dim.withColumn("__salt", salts), [*keys, "__salt"], how)
         .drop("__salt")
     )
 
