@@ -140,6 +140,7 @@ def replay(
     last_absent_us = F.when(lead.isNull(), F.col("last_us")).otherwise(lead.prev_us)
     deleted = absent_next & (F.col("start_us") > F.col("next_us"))
     pruned = absent_next & ~deleted & (last_absent_us > cutoff)
+    next_seq = F.col("next_seq").alias("snapshot_seq")
     decided = linked.select(
         "feed_id",
         "uid",
@@ -150,8 +151,8 @@ def replay(
         F.filter(
             F.array(
                 F.struct(own.alias("action"), F.col("snapshot_seq").alias("snapshot_seq")),
-                F.when(deleted, F.struct(F.lit("delete").alias("action"), "next_seq")),
-                F.when(pruned, F.struct(F.lit("prune").alias("action"), "next_seq")),
+                F.when(deleted, F.struct(F.lit("delete").alias("action"), next_seq)),
+                F.when(pruned, F.struct(F.lit("prune").alias("action"), next_seq)),
             ),
             lambda x: x.isNotNull(),
         ).alias("__acts"),
@@ -171,9 +172,8 @@ def replay(
         how="left",
         small=small,
     )
-    hit = F.coalesce(
-        F.filter("polls", lambda p: p.now_us > F.col("cutoff_us"))[0], F.col("later")
-    )
+    after = F.filter("polls", lambda p: p.now_us > F.col("cutoff_us"))
+    hit = F.coalesce(F.get(after, F.lit(0)), F.col("later"))
     at = (
         F.when(F.col("action") != "prune", F.col("snapshot_seq"))
         .when(hit.k <= F.col("k"), F.col("next_seq"))

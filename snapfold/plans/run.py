@@ -8,15 +8,16 @@ record comes last; state is only ever found through it.
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapfold import schemas
-from snapfold.functions.zones import zones
+from snapfold.functions.zones import iso_ms, zones
 from snapfold.operators.batching import assign_batches, number_ops, operations, outbox
 from snapfold.operators.decode import decode, normalised
 from snapfold.operators.fold import (
@@ -30,12 +31,15 @@ from snapfold.operators.fold import (
 )
 from snapfold.operators.reconcile import APPLY_FAILED, TARGET_FAILED, gate, reconcile
 from snapfold.operators.settle import operation_results, settle
+from snapfold.operators.spread import attach
 from snapfold.operators.targets import resolve_targets
 from snapfold.session import configure, require_utc
 from snapfold.sources.batchlog import write_outbox
 from snapfold.sources.recent import write_recent
 from snapfold.sources.snapshots import admit, newest_per_feed, polls
-from snapfold.sources.state import STATE_VERSION, read_state, write_keyed
+from snapfold.sources.state import STATE_VERSION, read_state, register_keyed, write_keyed
+
+log = logging.getLogger(__name__)
 
 COMMIT = "run_seq bigint, state_run_seq bigint, feed_state_run_seq bigint, buckets int"
 
@@ -116,7 +120,7 @@ def prepare(
     runs = (
         gated.where(F.col("aborted").isNull())
         .join(feeds.select("feed_id", "state_retention_days"), "feed_id")
-        .withColumn("now", F.lit(now).cast("timestamp"))
+        .withColumn("now", _moment(now))
     )
     actions = reconcile(normalised(decoded), state, runs, keep_held=True)
     # Only creates and updates need their event later on.
@@ -144,44 +148,48 @@ def finish(
 ) -> DataFrame:
     """Settle the responses, fold them into the next state and commit; returns the run summary.
 
-    ``responses`` is None when applying failed outright: nothing is saved then but the summary, and the
-    next run repeats the work.
+    ``responses`` is None when applying failed outright: the feeds that had operations are then aborted
+    and keep their state, so that the next run repeats the work.
     """
     require_utc(configure(spark))
     last = previous(spark, store, run_seq)
     gated = spark.read.parquet(store.of_run("gate", run_seq))
+    actions = spark.table(_keyed_table(spark, store, "actions", run_seq))
+    requests = read_outbox(spark, store, run_seq)
+    if responses is None:
+        failed = requests.select("feed_id", F.lit(True).alias("failed")).distinct()
+        gated = attach(gated, failed, how="left", spread_by="feed_id").withColumn(
+            "aborted", F.coalesce("aborted", F.when(F.col("failed"), APPLY_FAILED))
+        )
+        actions = hold(actions, failed)
+        responses = spark.createDataFrame([], schemas.RESPONSES)
+        requests = requests.limit(0)
     rejects = gated.where(F.col("aborted").isNotNull()).select("feed_id", "aborted")
     usable = gated.where(F.col("aborted").isNull())
     state_run_seq = last and last.state_run_seq
     feed_state_run_seq = last and last.feed_state_run_seq
 
-    if responses is None:
-        failed = usable.select("feed_id", F.lit(APPLY_FAILED).alias("aborted"))
-        summary = aborted_summary(rejects.unionByName(failed))
-    elif usable.isEmpty():
+    if usable.isEmpty():
         summary = aborted_summary(rejects)
     else:
-        requests = read_outbox(spark, store, run_seq)
         results = operation_results(settle(requests, responses))
-        actions = spark.table(_table(spark, store, "actions", run_seq))
         settled = write_keyed(
             spark, outcomes(actions, results), store.folder("settled"), run_seq, store.buckets
         )
         write_keyed(spark, next_state(settled), store.folder("state"), run_seq, store.buckets)
-        stamp = F.date_format(F.lit(now).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-        write_recent(additions(settled, stamp), store.folder("recent"), run_seq)
+        write_recent(additions(settled, iso_ms(_moment(now))), store.folder("recent"), run_seq)
         finished = usable.select(
             "feed_id",
             F.lit(STATE_VERSION).alias("version"),
             "calendar_id",
-            F.lit(now).cast("timestamp").alias("last_sync_at"),
+            _moment(now).alias("last_sync_at"),
             F.col("snapshot_seq").alias("applied_snapshot_seq"),
             F.lit(run_seq).cast("bigint").alias("run_seq"),
         )
         header = advance_feed_state(read_feed_state(spark, store, feed_state_run_seq), finished)
         _saved(header, store, "feed_state", run_seq)
         state_run_seq = feed_state_run_seq = run_seq
-        # A usable feed without a single row in state or feed cannot be: it has events.
+        # Every usable feed has events, hence rows to count.
         summary = summarise(settled).unionByName(aborted_summary(rejects))
 
     summary = summary.withColumn("run_seq", F.lit(run_seq).cast("bigint"))
@@ -191,19 +199,25 @@ def finish(
     return summary
 
 
-def _table(spark: SparkSession, store: Store, name: str, run_seq: int) -> str:
+def hold(actions: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Turn the actions of some feeds into ``held`` state rows; their creates have none and go."""
+    marked = attach(actions, feeds.select("feed_id", F.lit(True).alias("__held")), how="left")
+    held = F.coalesce(F.col("__held"), F.lit(False))
+    return (
+        marked.where(~held | F.col("event_id").isNotNull())
+        .withColumn("action", F.when(held, "held").otherwise(F.col("action")))
+        .drop("__held")
+    )
+
+
+def _moment(now: dt.datetime) -> Column:
+    return F.lit(now).cast("timestamp")
+
+
+def _keyed_table(spark: SparkSession, store: Store, name: str, run_seq: int) -> str:
     """Catalog name of a keyed table of a run, registered again in a session that did not write it."""
-    from snapfold.sources.state import table_name
-
-    table = table_name(store.folder(name), run_seq)
-    if not spark.catalog.tableExists(table):
-        folder = store.of_run(name, run_seq)
-        schema = spark.read.parquet(folder).schema.toDDL()
-        spark.sql(
-            f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY (feed_id, uid) "
-            f"SORTED BY (feed_id, uid) INTO {store.buckets} BUCKETS LOCATION '{folder}'"
-        )
-    return table
+    schema = spark.read.parquet(store.of_run(name, run_seq)).schema.toDDL()
+    return register_keyed(spark, store.folder(name), run_seq, schema, store.buckets)
 
 
 def run(
@@ -222,10 +236,13 @@ def run(
     requests = prepare(spark, store, run_seq, now, documents, feeds, targets)
     responses: DataFrame | None
     try:
+        if requests.isEmpty():
+            return finish(spark, store, run_seq, now, spark.createDataFrame([], schemas.RESPONSES))
         answered = applier(requests)
         answered.write.mode("overwrite").parquet(store.of_run("responses", run_seq))
         responses = spark.read.schema(answered.schema).parquet(store.of_run("responses", run_seq))
     except Exception:
+        log.exception("run %s: applying the operations failed; their feeds keep their state", run_seq)
         responses = None
     return finish(spark, store, run_seq, now, responses)
 

@@ -108,14 +108,19 @@ def read_state(spark: SparkSession, path: str, run_seq: int | None, buckets: int
     """State of a committed run, registered again as a bucketed table if this session has not seen it."""
     if run_seq is None:
         return spark.createDataFrame([], schemas.STATE)
+    return spark.table(register_keyed(spark, path, run_seq, schemas.STATE, buckets))
+
+
+def register_keyed(spark: SparkSession, path: str, run_seq: int, schema: str, buckets: int) -> str:
+    """Catalog name of a keyed table, declared again in a session that did not write it."""
     name = table_name(path, run_seq)
     if not spark.catalog.tableExists(name):
         spark.sql(
-            f"CREATE TABLE {name} ({schemas.STATE}) USING parquet "
+            f"CREATE TABLE {name} ({schema}) USING parquet "
             f"CLUSTERED BY (feed_id, uid) SORTED BY (feed_id, uid) INTO {buckets} BUCKETS "
             f"LOCATION '{path}/run_seq={run_seq}'"
         )
-    return spark.table(name)
+    return name
 
 
 def table_name(path: str, run_seq: int) -> str:
