@@ -138,9 +138,8 @@ def prepare(
 
 
 def read_outbox(spark: SparkSession, store: Store, run_seq: int) -> DataFrame:
-    return spark.read.parquet(store.of_run("outbox", run_seq)).withColumn(
-        "run_seq", F.lit(run_seq).cast("bigint")
-    )
+    rows = spark.read.schema(schemas.OUTBOX).parquet(store.of_run("outbox", run_seq))
+    return rows.withColumn("run_seq", F.lit(run_seq).cast("bigint"))
 
 
 def finish(
@@ -154,7 +153,8 @@ def finish(
     require_utc(configure(spark))
     last = previous(spark, store, run_seq)
     gated = spark.read.parquet(store.of_run("gate", run_seq))
-    actions = spark.table(_keyed_table(spark, store, "actions", run_seq))
+    folder = store.folder("actions")
+    actions = spark.table(register_keyed(spark, folder, run_seq, schemas.ACTIONS, store.buckets))
     requests = read_outbox(spark, store, run_seq)
     if responses is None:
         failed = requests.select("feed_id", F.lit(True).alias("failed")).distinct()
@@ -214,12 +214,6 @@ def _moment(now: dt.datetime) -> Column:
     return F.lit(now).cast("timestamp")
 
 
-def _keyed_table(spark: SparkSession, store: Store, name: str, run_seq: int) -> str:
-    """Catalog name of a keyed table of a run, registered again in a session that did not write it."""
-    schema = spark.read.parquet(store.of_run(name, run_seq)).schema.toDDL()
-    return register_keyed(spark, store.folder(name), run_seq, schema, store.buckets)
-
-
 def run(
     spark: SparkSession,
     store: Store,
@@ -234,16 +228,13 @@ def run(
     if any(c.run_seq == run_seq for c in commits(spark, store)):
         return spark.read.parquet(store.of_run("summary", run_seq))
     requests = prepare(spark, store, run_seq, now, documents, feeds, targets)
-    responses: DataFrame | None
-    try:
-        if requests.isEmpty():
-            return finish(spark, store, run_seq, now, spark.createDataFrame([], schemas.RESPONSES))
-        answered = applier(requests)
-        answered.write.mode("overwrite").parquet(store.of_run("responses", run_seq))
-        responses = spark.read.schema(answered.schema).parquet(store.of_run("responses", run_seq))
-    except Exception:
-        log.exception("run %s: applying the operations failed; their feeds keep their state", run_seq)
-        responses = None
+    responses: DataFrame | None = spark.createDataFrame([], schemas.RESPONSES)
+    if not requests.isEmpty():
+        try:
+            responses = _saved(applier(requests), store, "responses", run_seq)
+        except Exception:
+            log.exception("run %s: applying failed; the feeds concerned keep their state", run_seq)
+            responses = None
     return finish(spark, store, run_seq, now, responses)
 
 

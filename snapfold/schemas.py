@@ -54,5 +54,20 @@ RUN_SUMMARY = (
 
 TARGETS = "target_upn string, calendar_id string, name string, list_ord bigint"
 
+_EVENT = (
+    "struct<feed_ord:bigint,summary:string,description:string,url:string,start:timestamp,"
+    "end:timestamp,is_all_day:boolean,hash:string>"
+)
+
+ACTIONS = (
+    f"feed_id string, uid string, event {_EVENT}, event_id string, stored_hash string, "
+    "stored_start string, action string"
+)
+
+OUTBOX = (
+    "feed_id string, batch_id bigint, op_ord bigint, id string, uid string, kind string, "
+    "method string, url string, body string"
+)
+
 # Fields of a normalised event that travel with an operation.
 EVENT_FIELDS = ["feed_ord", "summary", "description", "url", "start", "end", "is_all_day", "hash"]
