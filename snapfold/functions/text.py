@@ -130,37 +130,30 @@ _URL = (
 )
 
 
-def url_parts(col: Column) -> Column:
-    """STRUCT<scheme, host, port, path> of an absolute URL; NULL where it cannot be read."""
+def is_web_url(col: Column) -> Column:
+    """Whether a text is an absolute URL with a host and a possible port."""
     url = js_trim(col)
-    scheme = F.lower(F.regexp_extract(url, _URL, 1))
-    port = F.nullif(F.regexp_extract(url, _URL, 3), F.lit(""))
-    path = F.regexp_extract(F.regexp_extract(url, _URL, 4), r"^[^?#]*", 0)
-    readable = url.rlike(_URL) & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535)
-    return F.when(
-        readable,
-        F.struct(
-            scheme.alias("scheme"),
-            F.lower(F.regexp_extract(url, _URL, 2)).alias("host"),
-            port.try_cast("int").alias("port"),
-            F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
-        ),
-    )
+    port = F.regexp_extract(url, _URL, 3).try_cast("int")
+    return url.rlike(_URL) & (F.coalesce(port, F.lit(0)) <= 65535)
 
 
 def describe_source(col: Column) -> Column:
     """Origin and path only: a feed token lives in the query string and must not be shown."""
-    parts = url_parts(col)
-    default_port = (
-        ((parts.scheme == "https") & (parts.port == 443))
-        | ((parts.scheme == "http") & (parts.port == 80))
-        | parts.port.isNull()
+    url = js_trim(col)
+    origin = F.concat(
+        F.lower(F.regexp_extract(url, _URL, 1)), F.lit("://"), F.lower(F.regexp_extract(url, _URL, 2))
     )
-    port = F.when(default_port, F.lit("")).otherwise(
-        F.concat(F.lit(":"), parts.port.cast("string"))
+    port = F.regexp_replace(F.regexp_extract(url, _URL, 3), "^0+(?=[0-9])", "")
+    path = F.regexp_extract(F.regexp_extract(url, _URL, 4), r"^[^?#]*", 0)
+    shown = F.concat(
+        origin,
+        F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)),
+        F.when(path == "", "/").otherwise(path),
     )
-    shown = F.concat(parts.scheme, F.lit("://"), parts.host, port, parts.path)
-    return F.when(parts.isNotNull(), shown).otherwise(F.lit(UNREADABLE_URL))
+    # The port a scheme has anyway is not shown.
+    shown = F.regexp_replace(shown, "^(https://[^/]+):443/", "$1/")
+    shown = F.regexp_replace(shown, "^(http://[^/]+):80/", "$1/")
+    return F.when(is_web_url(col), shown).otherwise(F.lit(UNREADABLE_URL))
 
 
 def percent_encode(col: Column) -> Column:

@@ -99,7 +99,8 @@ def backoff_ms(attempt: Column, retry_after: Column, now: Column) -> Column:
         F.lit("dd MMM yyyy HH:mm:ss"),
     )
     until = F.coalesce(http_date, parse_iso(present))
-    wait = F.greatest(F.unix_millis(until) - F.unix_millis(now), F.lit(0))
+    left = F.unix_millis(until) - F.unix_millis(now)
+    wait = F.when(left.isNotNull(), F.greatest(left, F.lit(0)))
     doubled = BASE_BACKOFF_MS * F.pow(F.lit(2.0), attempt - 1)
     chosen = F.when(seconds >= 0, seconds * 1000).otherwise(F.coalesce(wait.cast("double"), doubled))
     return F.least(chosen, F.lit(float(MAX_BACKOFF_MS))).cast("bigint")

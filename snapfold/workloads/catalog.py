@@ -96,7 +96,7 @@ SIDES = f"""
 {EV},
 stored AS (
   SELECT feed_id, uid, 'id-' || uid AS event_id, {hash_sql()} AS hash, {iso_sql('"start"')} AS "start",
-         date_trunc('milliseconds', "start") AS at
+         date_trunc('milliseconds', "start") AS starts_at
   FROM ev WHERE "start" < TIMESTAMP '{WRITTEN_UP_TO}'
   QUALIFY row_number() OVER (PARTITION BY feed_id, uid ORDER BY feed_ord DESC) = 1),
 fresh AS (
@@ -115,8 +115,8 @@ actions AS (
          CASE WHEN s.uid IS NULL THEN 'create'
               WHEN f.uid IS NOT NULL AND f.hash <> s.hash THEN 'update'
               WHEN f.uid IS NOT NULL THEN 'unchanged'
-              WHEN s.at > TIMESTAMP '{NOW}' THEN 'delete'
-              WHEN s.at < TIMESTAMP '{NOW}' - INTERVAL {RETENTION_DAYS} DAY THEN 'prune'
+              WHEN s.starts_at > TIMESTAMP '{NOW}' THEN 'delete'
+              WHEN s.starts_at < TIMESTAMP '{NOW}' - INTERVAL {RETENTION_DAYS} DAY THEN 'prune'
               ELSE 'retain' END AS action
   FROM fresh f FULL JOIN stored s ON f.feed_id = s.feed_id AND f.uid = s.uid)
 """

@@ -106,9 +106,9 @@ def reconcile_summary(spark, sf_dir):
     WITH {ACTIONS}, placed AS (
       SELECT feed_id, action, uid,
              row_number() OVER (PARTITION BY feed_id, action
-                                ORDER BY substr(sha256(uid), 1, 3), uid) - 1 AS at
+                                ORDER BY substr(sha256(uid), 1, 3), uid) - 1 AS pos
       FROM actions)
-    SELECT feed_id, action, CAST(floor(at / 100) AS BIGINT) AS page, count(*) AS n,
+    SELECT feed_id, action, CAST(floor(pos / 100) AS BIGINT) AS page, count(*) AS n,
            string_agg(uid, ' ' ORDER BY uid) AS uids
     FROM placed GROUP BY feed_id, action, page
     """,

@@ -298,7 +298,7 @@ _NUMBER_RULE = " must be a positive whole number"
       CASE WHEN seg = 'BUILDING' THEN 'feed_id must be 1-64 characters of [a-z0-9_-] and start alphanumeric' END,
       CASE WHEN bal >= 8000 THEN 'default_duration_minutes{_NUMBER_RULE}' END,
       CASE WHEN odd THEN 'state_retention_days{_NUMBER_RULE}' END,
-      CASE WHEN bal >= 9000 THEN 'recent_limit{_NUMBER_RULE}' END], x -> x IS NOT NULL), '; ') AS problems
+      CASE WHEN bal >= 9000 THEN 'recent_limit{_NUMBER_RULE}' END], lambda x: x IS NOT NULL), '; ') AS problems
     FROM r
     """,
 )
@@ -379,22 +379,22 @@ def _answer(requests):
              CAST(user_id AS VARCHAR) || '-' || substr(regexp_extract(props, '[0-9]+'), 1, 1) AS uid,
              event_type || ' ' || props || coalesce(CASE WHEN value >= 50 THEN 'value, ' || props END, '')
                || date_trunc('second', ts) AS content,
-             event_id, date_trunc('second', ts) AS at FROM events),
+             event_id, date_trunc('second', ts) AS starts_at FROM events),
     first AS (
-      SELECT * FROM ev WHERE at < TIMESTAMP '2024-01-16'
+      SELECT * FROM ev WHERE starts_at < TIMESTAMP '2024-01-16'
       QUALIFY row_number() OVER (PARTITION BY feed_id, uid ORDER BY event_id DESC) = 1),
     state AS (
       SELECT * FROM first WHERE substr(md5(feed_id || '/' || uid), 1, 1) IN
         ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9')),
     second AS (
-      SELECT * FROM ev WHERE at >= TIMESTAMP '2024-01-11'
+      SELECT * FROM ev WHERE starts_at >= TIMESTAMP '2024-01-11'
       QUALIFY row_number() OVER (PARTITION BY feed_id, uid ORDER BY event_id DESC) = 1),
     acts AS (
       SELECT coalesce(n.feed_id, s.feed_id) AS feed_id, coalesce(n.uid, s.uid) AS uid,
              CASE WHEN s.uid IS NULL THEN 'create' WHEN n.uid IS NOT NULL AND n.content <> s.content
                   THEN 'update' WHEN n.uid IS NOT NULL THEN 'unchanged'
-                  WHEN s.at > TIMESTAMP '2024-01-08' THEN 'delete'
-                  WHEN s.at < TIMESTAMP '2024-01-05' THEN 'prune' ELSE 'retain' END AS action
+                  WHEN s.starts_at > TIMESTAMP '2024-01-08' THEN 'delete'
+                  WHEN s.starts_at < TIMESTAMP '2024-01-05' THEN 'prune' ELSE 'retain' END AS action
       FROM second n FULL JOIN state s ON n.feed_id = s.feed_id AND n.uid = s.uid),
     done AS (
       SELECT *, substr(md5(feed_id || '/' || uid), 1, 1) AS d FROM acts),
