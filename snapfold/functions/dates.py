@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapfold.functions.text import js_trim
@@ -25,38 +25,51 @@ def rollover_seconds(
     Years 0 to 99 count from 1900.
     """
     full_year = F.when(year < 100, year + 1900).otherwise(year)
-    month_start = F.add_months(F.make_date(full_year, F.lit(1), F.lit(1)), month - 1)
-    days = F.unix_date(month_start).cast("bigint") + day - 1
+    january = F.make_date(full_year.cast("int"), F.lit(1), F.lit(1))
+    days = F.unix_date(F.add_months(january, (month - 1).cast("int"))).cast("bigint") + day - 1
     return days * 86_400 + hour.cast("bigint") * 3_600 + minute * 60 + second
 
 
-def ics_date(value: Column, params: Column) -> Column:
-    """STRUCT<naive_s, is_date_only, is_utc, bad> of one date line.
+def with_ics_date(df: DataFrame, value: str, params: str, out: str) -> DataFrame:
+    """Attach ``out``: STRUCT<naive_s, is_date_only, is_utc, bad> of the date line in two columns.
 
-    ``params`` is the raw parameter text (``;NAME=value;...``). ``naive_s`` is the reading in epoch
+    ``params`` holds the raw parameter text (``;NAME=value;...``). ``naive_s`` is the reading in epoch
     seconds as if it were UTC; only a date-time without Z still has to be read in a zone. A value of
-    another shape, or a date-time declared VALUE=DATE, is ``bad``.
+    another shape, or a date-time declared VALUE=DATE, is ``bad``. Trimmed text and flags are columns of
+    their own, so that they are computed once.
     """
-    text = js_trim(value)
-    is_date = text.rlike(f"^{DATE_SHAPE}$")
-    is_time = text.rlike(f"^{DATE_TIME_SHAPE}$")
-    declared_date = F.upper(param(params, "VALUE")) == "DATE"
-
-    def field(pos: int, width: int) -> Column:
-        return F.substring(text, pos, width).try_cast("int")
-
-    zero = F.lit(0)
-    midnight = rollover_seconds(field(1, 4), field(5, 2), field(7, 2), zero, zero, zero)
-    moment = rollover_seconds(
-        field(1, 4), field(5, 2), field(7, 2), field(10, 2), field(12, 2), field(14, 2)
+    text, declared = f"__{out}_text", f"__{out}_declared"
+    staged = df.withColumns(
+        {
+            text: js_trim(F.col(value)),
+            declared: F.coalesce(F.upper(param(F.col(params), "VALUE")) == "DATE", F.lit(False)),
+        }
     )
-    timed = is_time & ~F.coalesce(declared_date, F.lit(False))
-    return F.struct(
-        F.when(is_date, midnight).when(timed, moment).alias("naive_s"),
-        is_date.alias("is_date_only"),
-        (is_date | F.endswith(text, F.lit("Z"))).alias("is_utc"),
-        (~is_date & ~timed).alias("bad"),
+    day, time = f"__{out}_day", f"__{out}_time"
+    t = F.col(text)
+    staged = staged.withColumns(
+        {
+            day: F.when(
+                t.rlike(f"^(?:{DATE_SHAPE}|{DATE_TIME_SHAPE})\\z"), F.substring(t, 1, 8).try_cast("int")
+            ),
+            time: F.when(
+                t.rlike(f"^{DATE_TIME_SHAPE}\\z"), F.substring(t, 10, 6).try_cast("int")
+            ),
+        }
     )
+    d, c = F.col(day), F.col(time)
+    midnight = rollover_seconds(
+        F.floor(d / 10_000), F.floor(d / 100) % 100, d % 100, F.lit(0), F.lit(0), F.lit(0)
+    )
+    clock = F.floor(c / 10_000) * 3_600 + (F.floor(c / 100) % 100) * 60 + c % 100
+    bad = d.isNull() | (c.isNotNull() & F.col(declared))
+    read = F.struct(
+        F.when(~bad, midnight + F.coalesce(clock, F.lit(0))).alias("naive_s"),
+        (d.isNotNull() & c.isNull()).alias("is_date_only"),
+        ((d.isNotNull() & c.isNull()) | F.endswith(t, F.lit("Z"))).alias("is_utc"),
+        bad.alias("bad"),
+    )
+    return staged.withColumn(out, F.when(t.isNotNull(), read)).drop(text, declared, day, time)
 
 
 SEGMENT = r'(?:[^";]++|"[^"]*+")*+'

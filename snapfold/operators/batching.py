@@ -20,7 +20,7 @@ _CHUNK = 65_536
 
 
 def operations(actions: DataFrame) -> DataFrame:
-    """The actions that need a write, with ``kind``; deletes carry no event."""
+    """The actions that need a write, with ``kind``; deletes have no event columns."""
     return (
         actions.where(F.col("action").isin(*KIND_RANK))
         .withColumnRenamed("action", "kind")
@@ -42,7 +42,7 @@ def number_ops(ops: DataFrame) -> DataFrame:
     digest bucket of the uid and the uid, which numbers them evenly spread.
     """
     rank = kind_rank(F.col("kind"))
-    place = F.coalesce(F.col("event.feed_ord"), digest_bucket(F.col("uid")) * _CHUNK)
+    place = F.coalesce(F.col("feed_ord"), digest_bucket(F.col("uid")) * _CHUNK)
     chunk = rank.cast("bigint") * (1 << 50) + F.floor(place / _CHUNK)
     ordered = ops.withColumn("__place", place).withColumn("__chunk", chunk)
     return position_within(ordered, ["feed_id"], "__chunk", ["__place", "uid"], "op_ord").drop(
@@ -80,12 +80,9 @@ def boundary(instant: Column, is_all_day: Column, zone: Column) -> Column:
     return F.struct(shown.alias("dateTime"), zone.alias("timeZone"))
 
 
-def payload(event: str, zone: Column, category: Column) -> Column:
-    """Create payload of the event struct column ``event``; an update drops ``transactionId``."""
-
-    def part(name: str) -> Column:
-        return F.col(f"{event}.{name}")
-
+def payload(zone: Column, category: Column) -> Column:
+    """Create payload of the event columns of a row; an update drops ``transactionId``."""
+    part = F.col
     return F.struct(
         truncate(part("summary"), MAX_SUBJECT).alias("subject"),
         F.struct(
@@ -114,7 +111,7 @@ def outbox(batched: DataFrame, targets: DataFrame, run_seq: int) -> DataFrame:
         user, F.lit("/calendars/"), percent_encode(F.col("calendar_id")), F.lit("/events")
     )
     item = F.concat(user, F.lit("/events/"), percent_encode(F.col("event_id")))
-    full = payload("event", F.col("display_tz"), F.col("event_category"))
+    full = payload(F.col("display_tz"), F.col("event_category"))
     body = F.when(kind == "create", F.to_json(full)).when(
         kind == "update", F.to_json(full.dropFields("transactionId"))
     )

@@ -16,8 +16,8 @@ from snapfold.functions.dates import (
     DURATION_SHAPE,
     duration_ms,
     event_end,
-    ics_date,
     param,
+    with_ics_date,
 )
 from snapfold.functions.digest import with_hash
 from snapfold.functions.text import LINE_SPACE, js_trim, unescape_text
@@ -67,23 +67,20 @@ def vevent_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pick(block: Column, name: str) -> Column:
-    """Value of the last line called ``name`` in a block, NULL if there is none."""
-    found = F.regexp_extract(block, rf"(?s)^.*\n(?i:{name}){_PARAMS}(:[^\n]*+)", 1)
-    return F.when(found != "", F.substring(found, F.lit(2), F.length(found)))
+    """The last line called ``name`` in a block from its colon on; empty if there is none."""
+    return F.regexp_extract(block, rf"(?s)^.*\n(?i:{name}){_PARAMS}(:[^\n]*+)", 1)
 
 
 def pick_line(block: Column, name: str) -> Column:
-    """Parameters and value of the last line called ``name``, NULL if there is none."""
-    return F.nullif(
-        F.regexp_extract(block, rf"(?s)^.*\n(?i:{name})({_PARAMS}:[^\n]*+)", 1), F.lit("")
-    )
+    """Parameters, colon and value of the last line called ``name``; empty if there is none."""
+    return F.regexp_extract(block, rf"(?s)^.*\n(?i:{name})({_PARAMS}:[^\n]*+)", 1)
 
 
 def pick_duration(block: Column) -> Column:
-    """Text of the last valid DURATION line, NULL if there is none."""
+    """Text of the last valid DURATION line; empty if there is none."""
     shape = DURATION_SHAPE.replace("([0-9]+)", "[0-9]+").replace("([+-])", "[+-]")
     pattern = rf"(?s)^.*\n(?i:DURATION){_PARAMS}:{_SPACE}({shape}){_SPACE}{_LINE_END}"
-    return F.nullif(F.regexp_extract(block, pattern, 1), F.lit(""))
+    return F.regexp_extract(block, pattern, 1)
 
 
 def has_bad_date(block: Column) -> Column:
@@ -93,8 +90,34 @@ def has_bad_date(block: Column) -> Column:
     )
 
 
-def _text(block: Column, name: str) -> Column:
-    return js_trim(unescape_text(pick(block, name)))
+TEXTS = ("uid", "summary", "description", "url")
+
+
+def properties(blocks: DataFrame) -> DataFrame:
+    """Replace ``block`` by its properties as text columns.
+
+    The stages are separate projections on purpose: each refers to the result of the one before several
+    times, and a pattern must run once per block.
+    """
+    block = F.col("block")
+    rest = [c for c in blocks.columns if c != "block"]
+    found = blocks.select(
+        *rest,
+        has_bad_date(block).alias("bad"),
+        *[pick(block, name.upper()).alias(name) for name in TEXTS],
+        pick_line(block, "DTSTART").alias("start_line"),
+        pick_line(block, "DTEND").alias("end_line"),
+        pick_duration(block).alias("duration"),
+    )
+    present = found.withColumns(
+        {
+            **{n: F.substr(F.nullif(F.col(n), F.lit("")), F.lit(2)) for n in TEXTS},
+            **{n: F.nullif(F.col(n), F.lit("")) for n in ("start_line", "end_line", "duration")},
+        }
+    )
+    return present.withColumns({n: unescape_text(F.col(n)) for n in TEXTS}).withColumns(
+        {n: js_trim(F.col(n)) for n in TEXTS}
+    )
 
 
 def decode(docs: DataFrame, feeds: DataFrame, zone_dim: DataFrame) -> DataFrame:
@@ -119,30 +142,17 @@ def decode(docs: DataFrame, feeds: DataFrame, zone_dim: DataFrame) -> DataFrame:
         F.coalesce("fallback_zone", F.lit("UTC")).alias("fallback_zone"),
         unfold(document_text(F.col("content"))).alias("text"),
     )
-    block = F.col("block")
-    picked = vevent_blocks(texts).select(
-        "feed_id",
-        "snapshot_seq",
-        (F.shiftleft(F.col("part").cast("bigint"), 32) + F.col("pos")).alias("feed_ord"),
-        "default_minutes",
-        "fallback_zone",
-        "closed",
-        has_bad_date(block).alias("bad"),
-        _text(block, "UID").alias("uid"),
-        _text(block, "SUMMARY").alias("summary"),
-        _text(block, "DESCRIPTION").alias("description"),
-        _text(block, "URL").alias("url"),
-        pick_line(block, "DTSTART").alias("start_line"),
-        pick_line(block, "DTEND").alias("end_line"),
-        pick_duration(block).alias("duration"),
+    dated = properties(vevent_blocks(texts)).withColumn(
+        "feed_ord", F.shiftleft(F.col("part").cast("bigint"), 32) + F.col("pos")
     )
-    dated = picked
     for side in ("start", "end"):
-        line = F.col(f"{side}_line")
-        value = F.substring_index(line, ":", -1)
-        params = F.substring(line, F.lit(1), F.length(line) - F.length(value) - 1)
-        dated = dated.withColumn(f"{side}_tzid", param(params, "TZID")).withColumn(
-            f"{side}_date", ics_date(value, params)
+        line, value = F.col(f"{side}_line"), F.col(f"{side}_value")
+        params = f"{side}_params"
+        dated = dated.withColumn(f"{side}_value", F.substring_index(line, ":", -1)).withColumn(
+            params, F.substring(line, F.lit(1), F.length(line) - F.length(value) - 1)
+        )
+        dated = with_ics_date(dated, f"{side}_value", params, f"{side}_date").withColumn(
+            f"{side}_tzid", param(F.col(params), "TZID")
         )
         dated = resolve_zone(dated, zone_dim, f"{side}_tzid", f"{side}_zone", F.col("fallback_zone"))
 
@@ -205,7 +215,9 @@ def last_wins(events: DataFrame, keys: tuple[str, ...] = ("feed_id", "snapshot_s
     )
 
 
-def normalised(decoded: DataFrame) -> DataFrame:
-    """Events of decoded documents: identified, one per uid and snapshot, with digest."""
+def normalised(
+    decoded: DataFrame, keys: tuple[str, ...] = ("feed_id", "snapshot_seq", "uid")
+) -> DataFrame:
+    """Events of decoded documents: identified, one per key, with digest."""
     kept = decoded.where("kept").drop("kept", "bad")
-    return with_hash(last_wins(kept))
+    return with_hash(last_wins(kept, keys))

@@ -52,8 +52,8 @@ def outcomes(actions: DataFrame, results: DataFrame) -> DataFrame:
 
     fresh = row(
         F.when(F.col("outcome") == "created", F.col("r_event_id")).otherwise(F.col("event_id")),
-        F.col("event.hash"),
-        iso_ms(F.col("event.start")),
+        F.col("hash"),
+        iso_ms(F.col("start")),
     )
     kept = row(F.col("event_id"), F.col("stored_hash"), F.col("stored_start"))
     return both.withColumn("outcome", outcome).withColumn(
@@ -116,11 +116,11 @@ def additions(settled: DataFrame, added_at: Column) -> DataFrame:
     return settled.where(F.col("outcome") == "created").select(
         "feed_id",
         "uid",
-        F.col("event.summary").alias("summary"),
-        iso_ms(F.col("event.start")).alias("start"),
+        "summary",
+        iso_ms(F.col("start")).alias("start"),
         added_at.alias("added_at"),
         F.col("r_event_id").alias("event_id"),
-        F.col("event.feed_ord").alias("ord"),
+        F.col("feed_ord").alias("ord"),
     )
 
 

@@ -59,7 +59,7 @@ def is_prunable(start: Column, now: Column, retention_days: Column) -> Column:
 def reconcile(
     events: DataFrame, state: DataFrame, runs: DataFrame, keep_held: bool = False
 ) -> DataFrame:
-    """One row per key of the usable feeds with its ``action``.
+    """One row per key of the usable feeds with its ``action``, event columns and stored columns.
 
     ``events`` and ``state`` have one row per (feed_id, uid); ``runs`` has one row per usable feed with
     its clock ``now`` and ``state_retention_days``. Both sides are restricted to those feeds, because the
@@ -71,7 +71,7 @@ def reconcile(
     """
     feeds = runs.select("feed_id", "now", "state_retention_days")
     fresh = attach(events, feeds.select("feed_id"), how="left_semi").select(
-        "feed_id", "uid", F.struct(*[F.col(c) for c in EVENT_FIELDS]).alias("event")
+        "feed_id", "uid", *EVENT_FIELDS
     )
     known = attach(state, feeds, how="left" if keep_held else "inner").select(
         "feed_id",
@@ -82,12 +82,12 @@ def reconcile(
         "now",
         "state_retention_days",
     )
-    in_feed = F.col("event").isNotNull()
+    in_feed = F.col("hash").isNotNull()
     stored = F.col("event_id").isNotNull()
     start = parse_iso(F.col("stored_start"))
     action = (
         F.when(in_feed & ~stored, "create")
-        .when(in_feed & (F.col("stored_hash") != F.col("event.hash")), "update")
+        .when(in_feed & (F.col("stored_hash") != F.col("hash")), "update")
         .when(in_feed, "unchanged")
         .when(F.col("now").isNull(), "held")
         .when(is_deletable(start, F.col("now")), "delete")

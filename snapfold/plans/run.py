@@ -122,12 +122,14 @@ def prepare(
         .join(feeds.select("feed_id", "state_retention_days"), "feed_id")
         .withColumn("now", _moment(now))
     )
-    actions = reconcile(normalised(decoded), state, runs, keep_held=True)
-    # Only creates and updates need their event later on.
-    needed = F.when(F.col("action").isin("create", "update"), F.col("event"))
-    actions = write_keyed(
-        spark, actions.withColumn("event", needed), store.folder("actions"), run_seq, store.buckets
+    actions = reconcile(
+        normalised(decoded, ("feed_id", "uid")), state, runs, keep_held=True
     )
+    # One snapshot per feed is left, so the key has no snapshot in it and the dedupe partitions like the
+    # join. Only creates and updates need their event later on.
+    needed = F.col("action").isin("create", "update")
+    slim = actions.withColumns({c: F.when(needed, F.col(c)) for c in schemas.EVENT_FIELDS})
+    actions = write_keyed(spark, slim, store.folder("actions"), run_seq, store.buckets)
 
     batched = assign_batches(number_ops(operations(actions)))
     sink = feeds.select("feed_id", "target_upn", "display_tz", "event_category").join(

@@ -54,14 +54,10 @@ RUN_SUMMARY = (
 
 TARGETS = "target_upn string, calendar_id string, name string, list_ord bigint"
 
-_EVENT = (
-    "struct<feed_ord:bigint,summary:string,description:string,url:string,start:timestamp,"
-    "end:timestamp,is_all_day:boolean,hash:string>"
-)
-
 ACTIONS = (
-    f"feed_id string, uid string, event {_EVENT}, event_id string, stored_hash string, "
-    "stored_start string, action string"
+    "feed_id string, uid string, feed_ord bigint, summary string, description string, url string, "
+    "start timestamp, end timestamp, is_all_day boolean, hash string, event_id string, "
+    "stored_hash string, stored_start string, action string"
 )
 
 OUTBOX = (

@@ -7,9 +7,10 @@ fetched only when all its parts are there.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from snapfold.operators.spread import attach
+
 # Fixed value: largest document that is read.
 MAX_DOCUMENT_BYTES = 8 * 1024 * 1024
 
@@ -97,20 +98,15 @@ def ics_parts(events: DataFrame, per_part: int = 10_000) -> DataFrame:
             "\r\n",
         ).alias("__body")
     )
-    w = W.partitionBy(*key).orderBy("__cut")
-    return (
-        texts.withColumn("part", F.row_number().over(w) - 1)
-        .withColumn("parts", F.count(F.lit(1)).over(W.partitionBy(*key)).cast("int"))
-        .select(
-            *key,
-            "part",
-            "parts",
-            F.concat(
-                F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n"),
-                "__body",
-                F.lit("\r\nEND:VCALENDAR\r\n"),
-            ).alias("text"),
-        )
+    # The number of parts comes from the keys alone, so that no text moves for it.
+    parts = cut.groupBy(*key).agg(F.countDistinct("__cut").cast("int").alias("parts"))
+    return attach(texts, parts, tuple(key), spread_by="__cut").select(
+        *key,
+        F.col("__cut").cast("int").alias("part"),
+        "parts",
+        F.concat(
+            F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n"), "__body", F.lit("\r\nEND:VCALENDAR\r\n")
+        ).alias("text"),
     )
 
 

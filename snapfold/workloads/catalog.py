@@ -126,7 +126,7 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(feed events, stored state) of the rolling window."""
     ev = feed_events(spark, sf_dir)
     old = ev.where(F.col("start") < F.lit(WRITTEN_UP_TO).cast("timestamp"))
-    stored = with_hash(last_wins(old)).select(
+    stored = with_hash(last_wins(old, ("feed_id", "uid"))).select(
         "feed_id",
         "uid",
         F.concat(F.lit("id-"), "uid").alias("event_id"),
@@ -134,7 +134,7 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         iso_ms(F.col("start")).alias("start"),
     )
     shown = ev.where(F.col("start") >= F.lit(WINDOW_FROM).cast("timestamp"))
-    return with_hash(last_wins(shown)), stored
+    return with_hash(last_wins(shown, ("feed_id", "uid"))), stored
 
 
 def all_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:

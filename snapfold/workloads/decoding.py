@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from snapfold.functions.dates import duration_ms, event_end, ics_date
+from snapfold.functions.dates import duration_ms, event_end, with_ics_date
 from snapfold.functions.zones import format_wall, iso_ms, wall_to_instant, zone_offset_ms, zones
 from snapfold.operators.decode import decode, normalised
 from snapfold.operators.reconcile import gate
@@ -146,10 +146,11 @@ def ics_dates(spark, sf_dir):
     declared = F.when((shape == "N") & (F.col("l_linestatus") == "F"), ';VALUE="date"').otherwise(
         ";TZID=Europe/Oslo"
     )
-    read = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", ics_date(value, declared).alias("read")
+    key = ["l_orderkey", "l_partkey", "l_linenumber"]
+    lines = table(spark, sf_dir, "lineitem").select(
+        *key, value.alias("value"), declared.alias("params")
     )
-    return read.select("l_orderkey", "l_partkey", "l_linenumber", "read.*")
+    return with_ics_date(lines, "value", "params", "read").select(*key, "read.*")
 
 
 @query(

@@ -177,8 +177,7 @@ def payload_rows(spark, sf_dir):
     )
     fields = ["summary", "description", "url", "start", "end", "is_all_day"]
     hashed = event.withColumn("hash", event_hash(*map(F.col, fields)))
-    packed = hashed.select("o_orderkey", "tz", F.struct(*fields, "hash").alias("event"))
-    p = packed.select("o_orderkey", payload("event", F.col("tz"), F.lit("TV")).alias("p"))
+    p = hashed.select("o_orderkey", payload(F.col("tz"), F.lit("TV")).alias("p"))
     return p.select(
         "o_orderkey",
         F.col("p.subject").alias("subject"),

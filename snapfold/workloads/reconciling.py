@@ -88,7 +88,7 @@ def dedupe_last_wins(spark, sf_dir):
 )
 def reconcile_actions(spark, sf_dir):
     return window_actions(spark, sf_dir).select(
-        "feed_id", "uid", "action", "event_id", F.col("event.hash").alias("hash"), "stored_hash"
+        "feed_id", "uid", "action", "event_id", "hash", "stored_hash"
     )
 
 

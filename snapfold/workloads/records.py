@@ -431,7 +431,7 @@ def two_runs(spark, sf_dir):
     summary = None
     shown = ["start < timestamp'2024-01-16'", "start >= timestamp'2024-01-11'"]
     for run_seq, window in enumerate(shown):
-        events = last_wins(ev.where(window)).withColumn("snapshot_seq", F.lit(run_seq).cast("bigint"))
+        events = last_wins(ev.where(window), ("feed_id", "uid")).withColumn("snapshot_seq", F.lit(run_seq).cast("bigint"))
         documents = as_documents(ics_parts(events, per_part=2000))
         now = dt.datetime(2024, 1, 8)
         summary = run(spark, store, run_seq, now, documents, feeds, targets, _answer)

@@ -178,7 +178,7 @@ def test_folding_and_escapes(spark):
     )
     rows = {r.uid: r for r in parse(spark, text)}
     assert rows["1"].summary == "OneTwo"
-    assert rows["2"].summary == "A, b\; c\\d x"
+    assert rows["2"].summary == "A, b; c\\d x"
     assert rows["2"].description == "first\nsecond \\n"
     assert rows["3"].summary == "tail\\"
     assert rows["4"].summary == "padded"

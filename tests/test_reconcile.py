@@ -198,17 +198,17 @@ def test_positions(spark, rows):
 
     kinds = ["create", "update", "delete"]
     data = [
-        ("f", f"u{i:03}", kinds[i % 3], None if i % 3 == 2 else (i * 7919,)) for i in range(rows)
+        ("f", f"u{i:03}", kinds[i % 3], None if i % 3 == 2 else i * 7919) for i in range(rows)
     ]
     ops = spark.createDataFrame(
-        data, "feed_id string, uid string, kind string, event struct<feed_ord:bigint>"
+        data, "feed_id string, uid string, kind string, feed_ord bigint"
     )
     got = assign_batches(number_ops(ops)).orderBy("op_ord").collect()
     assert [r.op_ord for r in got] == list(range(rows))
     assert [r.batch_id for r in got] == [i // 20 for i in range(rows)]
     assert [r.id for r in got] == [f"op-{i}" for i in range(rows)]
     assert [r.kind for r in got] == sorted((r.kind for r in got), key=kinds.index)
-    placed = [r.event.feed_ord for r in got if r.kind == "create"]
+    placed = [r.feed_ord for r in got if r.kind == "create"]
     assert placed == sorted(placed)
     if rows:
         assert [tuple(r) for r in dispatch_counts(ops).collect()] == [("f", rows, -(-rows // 20))]
