@@ -120,8 +120,7 @@ def js_number(col: Column) -> Column:
     ):
         test, value = in_base(prefix, base, pattern)
         number = number.when(test, value)
-    finite = number.isNotNull() & (F.abs(number) < F.lit(float("inf")))
-    return F.when(finite, number)
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 _URL = (

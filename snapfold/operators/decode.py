@@ -22,7 +22,7 @@ from snapfold.functions.dates import (
 from snapfold.functions.digest import with_hash
 from snapfold.functions.text import LINE_SPACE, js_trim, unescape_text
 from snapfold.functions.zones import resolve_zone, wall_to_instant
-from snapfold.operators.spread import attach
+from snapfold.operators.spread import KEY_ROWS, attach, fits_broadcast
 
 # Fixed value: title of an event that has no SUMMARY line.
 UNTITLED = "(untitled)"
@@ -133,7 +133,9 @@ def decode(docs: DataFrame, feeds: DataFrame, zone_dim: DataFrame) -> DataFrame:
         "fallback_zone",
         F.lit("UTC"),
     ).drop("display_tz")
-    with_settings = attach(docs, zone_of, how="left", spread_by="snapshot_seq")
+    spread = ("snapshot_seq", "part")
+    small = fits_broadcast(feeds, KEY_ROWS)
+    with_settings = attach(docs, zone_of, how="left", spread_by=spread, small=small)
     texts = with_settings.select(
         "feed_id",
         "snapshot_seq",

@@ -38,7 +38,7 @@ def dense_timeline(timeline: DataFrame, small: bool | None = None) -> DataFrame:
     before = numbered.select("feed_id", (F.col("k") + 1).alias("k"), F.col("now_us").alias("prev_us"))
     last = numbered.groupBy("feed_id").agg(F.max("now_us").alias("last_us"))
     linked = numbered.join(after, ["feed_id", "k"], "left").join(before, ["feed_id", "k"], "left")
-    return attach(linked, last, spread_by="k", small=small)
+    return attach(linked, last, spread_by=("k",), small=small)
 
 
 def neighbours(rows: DataFrame, chunked: bool) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 # A per-feed table of up to this many narrow rows (tens of MB) is sent to every executor.
 BROADCAST_ROWS = 200_000
+# Where the large side carries whole documents, a key table of this many rows (a few hundred MB) is still
+# cheaper to send than the documents are to shuffle.
+KEY_ROWS = 2_000_000
 SALTS = 32
 
 
@@ -21,7 +24,7 @@ def attach(
     dim: DataFrame,
     keys: tuple[str, ...] = ("feed_id",),
     how: str = "inner",
-    spread_by: str = "uid",
+    spread_by: tuple[str, ...] = ("uid",),
     small: bool | None = None,
 ) -> DataFrame:
     """Join a table of one row per key (a feed, or a feed's snapshot) onto a large table.
@@ -32,7 +35,7 @@ def attach(
     """
     if fits_broadcast(dim) if small is None else small:
         return df.join(F.broadcast(dim), list(keys), how)
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return (
         df.withColumn("__salt", salt)

@@ -24,9 +24,9 @@ def resolve_targets(feeds: DataFrame, feed_state: DataFrame, targets: DataFrame)
     )
     alive = alive.withColumn("alive", F.lit(True))
     known = F.coalesce(F.col("alive"), F.lit(False))
-    owned = attach(wanted, alive, ("target_upn", "stored_id"), "left", spread_by="feed_id")
+    owned = attach(wanted, alive, ("target_upn", "stored_id"), "left", spread_by=("feed_id",))
     return (
-        attach(owned, by_name, ("target_upn", "calendar_name"), "left", spread_by="feed_id")
+        attach(owned, by_name, ("target_upn", "calendar_name"), "left", spread_by=("feed_id",))
         .select(
             "feed_id",
             F.when(known, F.col("stored_id")).otherwise(F.col("named_id")).alias("calendar_id"),

@@ -107,8 +107,7 @@ def prepare(
     state = read_state(spark, store.folder("state"), last and last.state_run_seq, store.buckets)
     feed_state = read_feed_state(spark, store, last and last.feed_state_run_seq)
 
-    registered = documents.join(feeds.select("feed_id"), "feed_id", "left_semi")
-    current = newest_per_feed(registered, feed_state)
+    current = newest_per_feed(documents, feed_state, feeds)
     decoded = _saved(decode(admit(current), feeds, zones(spark)), store, "decoded", run_seq)
 
     resolved = resolve_targets(feeds, feed_state, targets)
@@ -160,7 +159,7 @@ def finish(
     requests = read_outbox(spark, store, run_seq)
     if responses is None:
         failed = requests.select("feed_id", F.lit(True).alias("failed")).distinct()
-        gated = attach(gated, failed, how="left", spread_by="feed_id").withColumn(
+        gated = attach(gated, failed, how="left", spread_by=("feed_id",)).withColumn(
             "aborted", F.coalesce("aborted", F.when(F.col("failed"), APPLY_FAILED))
         )
         actions = hold(actions, failed)

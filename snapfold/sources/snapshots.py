@@ -9,38 +9,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapfold.operators.spread import attach
+from snapfold.operators.spread import KEY_ROWS, attach, fits_broadcast
 
 # Fixed value: largest document that is read.
 MAX_DOCUMENT_BYTES = 8 * 1024 * 1024
 
-_PATH = r"/feed_id=([^/]+)/snapshot_seq=(\d+)/part-(\d+)-of-(\d+)\.ics$"
-# The columns of Spark's binaryFile source.
-FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+_PART = r"/part-(\d+)-of-(\d+)\.ics$"
+# The columns of Spark's binaryFile source and those of the folders, with their types fixed.
+FILE_SCHEMA = (
+    "path string, modificationTime timestamp, length bigint, content binary, "
+    "feed_id string, snapshot_seq bigint"
+)
 
 
 def named(files: DataFrame) -> DataFrame:
-    """Keys from the path of each file; the decoded feed id may hold percent-encoded characters."""
+    """Documents of landed files; the part numbers come from the file name."""
 
     def group(i: int) -> Column:
-        return F.regexp_extract("path", _PATH, i)
+        return F.regexp_extract("path", _PART, i).cast("int")
 
-    return files.where(F.col("path").rlike(_PATH)).select(
-        F.try_url_decode(group(1)).alias("feed_id"),
-        group(2).cast("bigint").alias("snapshot_seq"),
+    return files.where(F.col("path").rlike(_PART)).select(
+        "feed_id",
+        "snapshot_seq",
         F.col("modificationTime").alias("snapshot_ts"),
-        group(3).cast("int").alias("part"),
-        group(4).cast("int").alias("parts"),
+        group(1).alias("part"),
+        group(2).alias("parts"),
         "length",
         "content",
     )
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Documents below a landing folder; only the files' metadata is read until content is used."""
+    """Documents below a landing folder; only the files' metadata is read until content is used.
+
+    Feed and snapshot are folder columns, so a join that picks snapshots skips the other folders.
+    """
     files = (
         spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
+        .schema(FILE_SCHEMA)
         .option("pathGlobFilter", "*.ics")
         .load(path)
     )
@@ -66,19 +72,26 @@ def warn_content_type(content_type: Column) -> Column:
     return (given != "") & ~given.rlike(expected)
 
 
-def newest_per_feed(documents: DataFrame, feed_state: DataFrame) -> DataFrame:
-    """Parts of the newest snapshot per feed, if it is newer than the one already applied.
-
-    The choice is made on the keys alone; the content of the parts is not shuffled for it.
-    """
+def newest_keys(documents: DataFrame, feed_state: DataFrame, feeds: DataFrame) -> DataFrame:
+    """(feed_id, snapshot_seq) of each registered feed's newest snapshot, if it is not applied yet."""
     newest = documents.groupBy("feed_id").agg(F.max("snapshot_seq").alias("snapshot_seq"))
     applied = feed_state.select("feed_id", "applied_snapshot_seq")
-    wanted = (
-        newest.join(applied, "feed_id", "left")
+    return (
+        newest.join(feeds.select("feed_id"), "feed_id", "left_semi")
+        .join(applied, "feed_id", "left")
         .where(F.col("snapshot_seq") > F.coalesce("applied_snapshot_seq", F.lit(-1)))
         .select("feed_id", "snapshot_seq")
     )
-    return documents.join(wanted, ["feed_id", "snapshot_seq"], "left_semi")
+
+
+def newest_per_feed(documents: DataFrame, feed_state: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Parts of the newest snapshot per feed.
+
+    The choice is made on the keys alone; the contents are not shuffled for it.
+    """
+    wanted = newest_keys(documents, feed_state, feeds)
+    small = fits_broadcast(wanted, KEY_ROWS)
+    return attach(documents, wanted, ("feed_id", "snapshot_seq"), "left_semi", ("part",), small)
 
 
 def ics_parts(events: DataFrame, per_part: int = 10_000) -> DataFrame:
@@ -100,7 +113,7 @@ def ics_parts(events: DataFrame, per_part: int = 10_000) -> DataFrame:
     )
     # The number of parts comes from the keys alone, so that no text moves for it.
     parts = cut.groupBy(*key).agg(F.countDistinct("__cut").cast("int").alias("parts"))
-    return attach(texts, parts, tuple(key), spread_by="__cut").select(
+    return attach(texts, parts, tuple(key), spread_by=("__cut",)).select(
         *key,
         F.col("__cut").cast("int").alias("part"),
         "parts",
@@ -112,7 +125,7 @@ def ics_parts(events: DataFrame, per_part: int = 10_000) -> DataFrame:
 
 def escape_text(col: Column) -> Column:
     """TEXT escaping of a property value."""
-    escaped = F.regexp_replace(col, r"([\;,])", r"\\$1")
+    escaped = F.regexp_replace(col, r"([\\;,])", r"\\$1")
     return F.regexp_replace(escaped, r"\r\n|\n|\r", r"\\n")
 
 

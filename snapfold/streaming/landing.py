@@ -31,7 +31,6 @@ def start_stream(
     files = (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
-        .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.ics")
         .load(landing)
     )

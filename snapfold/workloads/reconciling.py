@@ -664,10 +664,13 @@ def feed_state_upkeep(spark, sf_dir):
 def newest_snapshots(spark, sf_dir):
     day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint")
     docs = table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("feed_id"), day.alias("snapshot_seq"), "event_id"
+        F.col("user_id").cast("string").alias("feed_id"),
+        day.alias("snapshot_seq"),
+        F.col("event_id").alias("part"),
     )
     applied = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("feed_id"),
         F.floor(F.col("c_acctbal") / 200).alias("applied_snapshot_seq"),
     )
-    return newest_per_feed(docs, applied)
+    # Every user is registered, so the registry leaves all of them in.
+    return newest_per_feed(docs, applied, docs).withColumnRenamed("part", "event_id")

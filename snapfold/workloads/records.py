@@ -239,10 +239,14 @@ def backoff_delays(spark, sf_dir):
         .when(kind == "error", iso_ms(ts))
         .when(kind == "signup", "soon")
     )
-    attempt = F.when(kind == "signup", 1).otherwise(3)
+    tried = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(kind == "signup", 1).otherwise(3).alias("attempt"),
+        header.alias("retry_after"),
+    )
     now = F.lit("2024-01-15").cast("timestamp")
-    return table(spark, sf_dir, "events").select(
-        "event_id", backoff_ms(attempt, header, now).alias("delay_ms")
+    return tried.select(
+        "event_id", backoff_ms(F.col("attempt"), F.col("retry_after"), now).alias("delay_ms")
     )
 
 
