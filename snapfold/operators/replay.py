@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snapfold.functions.zones import DAY_MS
-from snapfold.operators.spread import BROADCAST_ROWS, attach, position_within
+from snapfold.operators.spread import BROADCAST_ROWS, attach
 
 DAY_US = DAY_MS * 1000
 _SEQ_CHUNK = 4096
@@ -20,48 +20,96 @@ _SEQ_CHUNK = 4096
 CHUNK = 65_536
 
 
-def dense_timeline(timeline: DataFrame, small: bool | None = None) -> DataFrame:
-    """Usable snapshots numbered ``k`` = 0.. per feed, with the neighbours' clocks.
+def dense_timeline(timeline: DataFrame, small: bool) -> DataFrame:
+    """Usable snapshots numbered ``k`` = 0.. per feed, with the neighbours' and the last clock.
 
-    ``timeline`` has feed_id, snapshot_seq, now, state_retention_days; clocks must not run backwards.
-    Neighbours come from equi-joins on the number, not from a window over a whole feed.
+    ``timeline`` has feed_id, snapshot_seq, now, state_retention_days; clocks must not run backwards. A
+    small one is windowed by feed. A larger one is windowed in chunks of the snapshot number, and the
+    edges of the chunks, a few rows per feed, carry the counts and the clocks across.
     """
-    chunked = timeline.withColumn("__chunk", F.floor(F.col("snapshot_seq") / _SEQ_CHUNK))
-    numbered = position_within(chunked, ["feed_id"], "__chunk", ["snapshot_seq"], "k").drop("__chunk")
-    numbered = numbered.withColumn("now_us", F.unix_micros("now")).drop("now")
-    after = numbered.select(
+    polls = timeline.withColumn("now_us", F.unix_micros("now")).drop("now")
+    at = F.struct(F.col("snapshot_seq").alias("seq"), F.col("now_us").alias("us"))
+    if small:
+        w = W.partitionBy("feed_id").orderBy("snapshot_seq")
+        linked = polls.select(
+            "*",
+            (F.row_number().over(w).cast("bigint") - 1).alias("k"),
+            F.lag("now_us").over(w).alias("prev_us"),
+            F.lead(at).over(w).alias("__next"),
+            F.max("now_us").over(W.partitionBy("feed_id")).alias("last_us"),
+        )
+    else:
+        polls = polls.withColumn("__chunk", F.floor(F.col("snapshot_seq") / _SEQ_CHUNK))
+        part = ["feed_id", "__chunk"]
+        across = W.partitionBy("feed_id").orderBy("__chunk")
+        edges = (
+            polls.groupBy(*part)
+            .agg(
+                F.count(F.lit(1)).alias("__n"),
+                F.min_by(at, "snapshot_seq").alias("__first"),
+                F.max_by(at, "snapshot_seq").alias("__last"),
+            )
+            .select(
+                *part,
+                F.coalesce(
+                    F.sum("__n").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+                ).alias("__base"),
+                F.lag("__last").over(across).alias("__before"),
+                F.lead("__first").over(across).alias("__after"),
+                F.max(F.col("__last.us")).over(W.partitionBy("feed_id")).alias("last_us"),
+            )
+        )
+        w = W.partitionBy(*part).orderBy("snapshot_seq")
+        linked = (
+            polls.select(
+                "*",
+                F.row_number().over(w).alias("__at"),
+                F.lag("now_us").over(w).alias("__prev_us"),
+                F.lead(at).over(w).alias("__lead"),
+            )
+            .join(edges, part)
+            .withColumn("k", F.col("__base") + F.col("__at") - 1)
+            .withColumn("prev_us", F.coalesce("__prev_us", "__before.us"))
+            .withColumn("__next", F.coalesce("__lead", "__after"))
+        )
+    return linked.select(
         "feed_id",
-        (F.col("k") - 1).alias("k"),
-        F.col("snapshot_seq").alias("next_seq"),
-        F.col("now_us").alias("next_us"),
+        "snapshot_seq",
+        "state_retention_days",
+        "now_us",
+        "k",
+        "prev_us",
+        F.col("__next.us").alias("next_us"),
+        F.col("__next.seq").alias("next_seq"),
+        "last_us",
     )
-    before = numbered.select("feed_id", (F.col("k") + 1).alias("k"), F.col("now_us").alias("prev_us"))
-    last = numbered.groupBy("feed_id").agg(F.max("now_us").alias("last_us"))
-    linked = numbered.join(after, ["feed_id", "k"], "left").join(before, ["feed_id", "k"], "left")
-    return attach(linked, last, spread_by=("k",), small=small)
 
 
 def neighbours(rows: DataFrame, chunked: bool) -> DataFrame:
     """Attach ``lag`` and ``lead``: structs of the key's previous and next observation."""
-    seen = F.struct("k", "hash", "start_us", "next_us", "prev_us")
+    # What is asked of the previous and of the next observation.
+    before, after = F.struct("k", "hash", "start_us", "next_us"), F.struct("k", "prev_us")
     key = ["feed_id", "uid"]
     if not chunked:
         w = W.partitionBy(*key).orderBy("k")
-        return rows.withColumn("lag", F.lag(seen).over(w)).withColumn("lead", F.lead(seen).over(w))
+        return rows.select("*", F.lag(before).over(w).alias("lag"), F.lead(after).over(w).alias("lead"))
     rows = rows.withColumn("__chunk", F.floor(F.col("k") / CHUNK))
     part = [*key, "__chunk"]
     inside = W.partitionBy(*part).orderBy("k")
     across = W.partitionBy(*key).orderBy("__chunk")
     edges = (
         rows.groupBy(*part)
-        .agg(F.min_by(seen, F.col("k")).alias("__first"), F.max_by(seen, F.col("k")).alias("__last"))
-        .withColumn("__before", F.lag("__last").over(across))
-        .withColumn("__after", F.lead("__first").over(across))
-        .drop("__first", "__last")
+        .agg(F.min_by(after, F.col("k")).alias("__first"), F.max_by(before, F.col("k")).alias("__last"))
+        .select(
+            *part,
+            F.lag("__last").over(across).alias("__before"),
+            F.lead("__first").over(across).alias("__after"),
+        )
     )
     return (
-        rows.withColumn("lag", F.lag(seen).over(inside))
-        .withColumn("lead", F.lead(seen).over(inside))
+        rows.select(
+            "*", F.lag(before).over(inside).alias("lag"), F.lead(after).over(inside).alias("lead")
+        )
         .join(edges, part)
         .withColumn("lag", F.coalesce("lag", "__before"))
         .withColumn("lead", F.coalesce("lead", "__after"))
@@ -171,6 +219,7 @@ def replay(
         keys=("feed_id", "day"),
         how="left",
         small=small,
+        count_hot=False,
     )
     after = F.filter("polls", lambda p: p.now_us > F.col("cutoff_us"))
     hit = F.coalesce(F.get(after, F.lit(0)), F.col("later"))

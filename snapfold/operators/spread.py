@@ -11,6 +11,8 @@ BROADCAST_ROWS = 200_000
 # Where the large side carries whole documents, a key table of this many rows (a few hundred MB) is still
 # cheaper to send than the documents are to shuffle.
 KEY_ROWS = 2_000_000
+# A key with more rows than this is spread over SALTS tasks; there are at most rows / HOT_ROWS such keys.
+HOT_ROWS = 1_000_000
 SALTS = 32
 
 
@@ -26,22 +28,41 @@ def attach(
     how: str = "inner",
     spread_by: tuple[str, ...] = ("uid",),
     small: bool | None = None,
+    count_hot: bool = True,
 ) -> DataFrame:
     """Join a table of one row per key (a feed, or a feed's snapshot) onto a large table.
 
     A small one is broadcast; ``small`` passes the outcome of a size check already made. A larger one is
-    joined on the key and a salt taken from ``spread_by``, with its rows repeated once per salt, so that
-    the rows of a hot key land in many tasks.
+    joined on the key, with the hot keys spread: their rows get a salt taken from ``spread_by`` and the
+    rows they meet are repeated once per salt. The hot keys are found by a count with a map-side step.
+    Where the large side is too costly to compute twice, ``count_hot=False`` leaves hot keys to the
+    splitting of skewed partitions at run time.
     """
     if fits_broadcast(dim) if small is None else small:
         return df.join(F.broadcast(dim), list(keys), how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return (
-        df.withColumn("__salt", salt)
-        .join(dim.withColumn("__salt", salts), [*keys, "__salt"], how)
-        .drop("__salt")
+    # Rows without a key match nothing, so they can be spread freely.
+    keyless = F.coalesce(*[F.when(F.col(k).isNull(), True) for k in keys], F.lit(False))
+    if not count_hot:
+        return (
+            df.withColumn("__salt", F.when(keyless, salt).otherwise(F.lit(0)))
+            .join(dim.withColumn("__salt", F.lit(0)), [*keys, "__salt"], how)
+            .drop("__salt")
+        )
+    counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = F.broadcast(counts.where(F.col("__n") > HOT_ROWS).select(*keys, F.lit(True).alias("__hot")))
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    salted = (
+        df.join(hot, list(keys), "left")
+        .withColumn("__salt", F.when(F.col("__hot") | keyless, salt).otherwise(F.lit(0)))
+        .drop("__hot")
+    )
+    repeated = (
+        dim.join(hot, list(keys), "left")
+        .withColumn("__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0)))))
+        .drop("__hot")
     )
+    return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
 def position_within(

@@ -100,8 +100,21 @@ def test_wide_registry_uses_the_salted_join(spark, monkeypatch):
     runs = runs_of(spark, "f")
     broadcast = reconcile(events, state, runs).select("feed_id", "uid", "action").collect()
     monkeypatch.setattr(spread, "fits_broadcast", lambda *a: False)
-    salted = reconcile(events, state, runs).select("feed_id", "uid", "action").collect()
-    assert sorted(broadcast) == sorted(salted) and len(salted) == 50
+    for hot_rows in (10, 1000):
+        monkeypatch.setattr(spread, "HOT_ROWS", hot_rows)
+        spread_out = reconcile(events, state, runs).select("feed_id", "uid", "action").collect()
+        assert sorted(broadcast) == sorted(spread_out) and len(spread_out) == 50
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_attach_gives_the_same_rows_either_way(spark, monkeypatch, how):
+    rows = [("a", i) for i in range(40)] + [("b", 1), ("c", 2), (None, 3), (None, 4)]
+    df = spark.createDataFrame(rows, "feed_id string, uid int")
+    dim = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 3.0)], "feed_id string, x double")
+    monkeypatch.setattr(spread, "HOT_ROWS", 10)
+    ways = [spread.attach(df, dim, how=how, small=small).collect() for small in (True, False)]
+    plain = df.join(dim, "feed_id", how).collect()
+    assert sorted(map(repr, ways[0])) == sorted(map(repr, ways[1])) == sorted(map(repr, plain))
 
 
 def test_full_outer_join_plan(spark):

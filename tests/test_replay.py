@@ -6,6 +6,7 @@ import random
 import pytest
 
 from snapfold.operators import replay as R
+from snapfold.operators import spread
 
 BASE = dt.datetime(2026, 1, 1)
 DAY = dt.timedelta(days=1)
@@ -52,6 +53,7 @@ def random_history(rng):
 )
 def test_replay_equals_loop(spark, monkeypatch, small, chunked, chunk):
     monkeypatch.setattr(R, "CHUNK", chunk)
+    monkeypatch.setattr(spread, "HOT_ROWS", 2)
     rng = random.Random(7)
     observed, line, want = [], [], set()
     for i in range(400):
