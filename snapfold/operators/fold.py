@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapfold.functions.zones import iso_ms
-from snapfold.operators.spread import attach
 
 _COUNTS = ("created", "updated", "deleted", "skipped", "pruned", "errors")
 
 
 def outcomes(actions: DataFrame, results: DataFrame) -> DataFrame:
-    """Actions with the ``outcome`` of their result and the state row that follows from it.
+    """Actions with the ``outcome`` of their result and its ``effect`` on the state row.
 
     A failure leaves the state describing what is on the calendar: a failed create is not stored, a
     failed update or delete keeps the old row. An update or delete that finds nothing drops the row. A
     result without a matching operation is an error, unless it says that the entry is gone.
-    ``outcome`` is created, updated, deleted, vanished, error, or NULL where nothing was sent.
+
+    ``outcome`` is created, updated, deleted, vanished, error, or NULL where nothing was sent; ``effect``
+    is put (the row becomes ``next``), drop or keep.
     """
     answered = results.select(
         "feed_id",
@@ -43,37 +44,39 @@ def outcomes(actions: DataFrame, results: DataFrame) -> DataFrame:
         )
         .otherwise(F.when(F.col("r_ok") | gone, "deleted").otherwise("error"))
     )
-    stored = F.col("event_id").isNotNull()
-    dropped = F.col("outcome").isin("deleted", "vanished") | (F.col("action") == "prune")
-    rewritten = F.col("outcome").isin("created", "updated")
-
-    def row(event_id: Column, hash_: Column, start: Column) -> Column:
-        return F.struct(event_id.alias("event_id"), hash_.alias("hash"), start.alias("start"))
-
-    fresh = row(
-        F.when(F.col("outcome") == "created", F.col("r_event_id")).otherwise(F.col("event_id")),
-        F.col("hash"),
-        iso_ms(F.col("start")),
+    effect = (
+        F.when(F.col("outcome").isin("created", "updated"), "put")
+        .when(F.col("outcome").isin("deleted", "vanished") | (F.col("action") == "prune"), "drop")
+        .otherwise("keep")
     )
-    kept = row(F.col("event_id"), F.col("stored_hash"), F.col("stored_start"))
-    return both.withColumn("outcome", outcome).withColumn(
-        "next",
-        F.when(F.coalesce(dropped, F.lit(False)), F.lit(None))
-        .when(rewritten, fresh)
-        .when(stored, kept),
+    created = F.col("outcome") == "created"
+    fresh = F.struct(
+        F.when(created, F.col("r_event_id")).otherwise(F.col("event_id")).alias("event_id"),
+        F.col("hash").alias("hash"),
+        iso_ms(F.col("start")).alias("start"),
     )
+    return (
+        both.withColumn("outcome", outcome)
+        .withColumn("effect", effect)
+        .withColumn("next", F.when(F.col("effect") == "put", fresh))
+    )
+
 
+def fold(state: DataFrame, settled: DataFrame) -> DataFrame:
+    """Whole next state: the rows with an effect change, all others stay, of whatever feed.
 
-def next_state(settled: DataFrame) -> DataFrame:
-    """State rows after the run, of the feeds that were reconciled."""
-    return settled.where(F.col("next").isNotNull()).select("feed_id", "uid", "next.*")
+    ``settled`` needs only the changed keys. Where the state is bucketed by key only ``settled`` moves.
+    """
+    changed = settled.where(F.col("effect") != "keep").select("feed_id", "uid", "effect", "next")
+    put = F.col("effect") == "put"
 
+    def kept_or_new(name: str) -> Column:
+        return F.when(put, F.col(f"next.{name}")).otherwise(F.col(name)).alias(name)
 
-def fold(state: DataFrame, actions: DataFrame, results: DataFrame, runs: DataFrame) -> DataFrame:
-    """Whole next state: folded rows of the feeds in ``runs`` plus the untouched rows of the others."""
-    untouched = attach(state, runs.select("feed_id"), how="left_anti")
-    return next_state(outcomes(actions, results)).unionByName(
-        untouched.select("feed_id", "uid", "event_id", "hash", "start")
+    return (
+        state.join(changed, ["feed_id", "uid"], "full_outer")
+        .where(F.coalesce(F.col("effect"), F.lit("keep")) != "drop")
+        .select("feed_id", "uid", *map(kept_or_new, ("event_id", "hash", "start")))
     )
 
 
@@ -85,8 +88,7 @@ def summarise(settled: DataFrame) -> DataFrame:
 
     outcome, action = F.col("outcome"), F.col("action")
     return (
-        settled.where((action != "held") | action.isNull())
-        .groupBy("feed_id")
+        settled.groupBy("feed_id")
         .agg(
             n(outcome == "created", "created"),
             n(outcome == "updated", "updated"),

@@ -16,8 +16,9 @@ FEED_EMPTY = "ics-feed-empty"
 TARGET_FAILED = "calendar-resolve-failed"
 APPLY_FAILED = "apply-failed"
 
-# The action of a key; ``held`` marks the state of a feed that is not reconciled in this run.
-ACTIONS = ("create", "update", "unchanged", "delete", "prune", "retain", "held")
+# The actions of a key. Only the first four change the state or need an operation.
+CHANGES = ("create", "update", "delete", "prune")
+ACTIONS = (*CHANGES, "unchanged", "retain")
 
 
 def gate(snapshots: DataFrame, documents: DataFrame, decoded: DataFrame) -> DataFrame:
@@ -56,24 +57,19 @@ def is_prunable(start: Column, now: Column, retention_days: Column) -> Column:
     return F.coalesce(F.unix_micros(start) < cutoff, F.lit(True))
 
 
-def reconcile(
-    events: DataFrame, state: DataFrame, runs: DataFrame, keep_held: bool = False
-) -> DataFrame:
+def reconcile(events: DataFrame, state: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per key of the usable feeds with its ``action``, event columns and stored columns.
 
     ``events`` and ``state`` have one row per (feed_id, uid); ``runs`` has one row per usable feed with
     its clock ``now`` and ``state_retention_days``. Both sides are restricted to those feeds, because the
     state of a feed without a usable snapshot would otherwise look as if everything had vanished. Keys
     are unique on both sides, so the join has no hot key whatever share of the rows one feed has.
-
-    With ``keep_held`` the state rows of all other feeds are carried along as ``held``, so that the next
-    state can be written from the result alone.
     """
     feeds = runs.select("feed_id", "now", "state_retention_days")
     fresh = attach(events, feeds.select("feed_id"), how="left_semi").select(
         "feed_id", "uid", *EVENT_FIELDS
     )
-    known = attach(state, feeds, how="left" if keep_held else "inner").select(
+    known = attach(state, feeds).select(
         "feed_id",
         "uid",
         "event_id",
@@ -89,7 +85,6 @@ def reconcile(
         F.when(in_feed & ~stored, "create")
         .when(in_feed & (F.col("stored_hash") != F.col("hash")), "update")
         .when(in_feed, "unchanged")
-        .when(F.col("now").isNull(), "held")
         .when(is_deletable(start, F.col("now")), "delete")
         .when(is_prunable(start, F.col("now"), F.col("state_retention_days")), "prune")
         .otherwise("retain")

@@ -24,18 +24,18 @@ from snapfold.operators.fold import (
     aborted_summary,
     additions,
     advance_feed_state,
-    next_state,
+    fold,
     outcomes,
     run_alerts,
     summarise,
 )
-from snapfold.operators.reconcile import APPLY_FAILED, TARGET_FAILED, gate, reconcile
+from snapfold.operators.reconcile import APPLY_FAILED, CHANGES, TARGET_FAILED, gate, reconcile
 from snapfold.operators.settle import operation_results, settle
 from snapfold.operators.spread import attach
 from snapfold.operators.targets import resolve_targets
 from snapfold.session import configure, require_utc
 from snapfold.sources.batchlog import write_outbox
-from snapfold.sources.recent import write_recent
+from snapfold.sources.recent import cap, recent, write_recent
 from snapfold.sources.snapshots import admit, newest_per_feed, polls
 from snapfold.sources.state import STATE_VERSION, read_state, register_keyed, write_keyed
 
@@ -121,13 +121,12 @@ def prepare(
         .join(feeds.select("feed_id", "state_retention_days"), "feed_id")
         .withColumn("now", _moment(now))
     )
-    actions = reconcile(
-        normalised(decoded, ("feed_id", "uid")), state, runs, keep_held=True
+    actions = reconcile(normalised(decoded, ("feed_id", "uid")), state, runs)
+    changed = F.col("action").isin(*CHANGES)
+    payload = (*schemas.EVENT_FIELDS, "event_id", "stored_hash", "stored_start")
+    slim = actions.where(F.col("action") != "retain").withColumns(
+        {c: F.when(changed, F.col(c)) for c in payload}
     )
-    # One snapshot per feed is left, so the key has no snapshot in it and the dedupe partitions like the
-    # join. Only creates and updates need their event later on.
-    needed = F.col("action").isin("create", "update")
-    slim = actions.withColumns({c: F.when(needed, F.col(c)) for c in schemas.EVENT_FIELDS})
     actions = write_keyed(spark, slim, store.folder("actions"), run_seq, store.buckets)
 
     batched = assign_batches(number_ops(operations(actions)))
@@ -158,13 +157,13 @@ def finish(
     actions = spark.table(register_keyed(spark, folder, run_seq, schemas.ACTIONS, store.buckets))
     requests = read_outbox(spark, store, run_seq)
     if responses is None:
-        failed = requests.select("feed_id", F.lit(True).alias("failed")).distinct()
-        gated = attach(gated, failed, how="left", spread_by=("feed_id",)).withColumn(
-            "aborted", F.coalesce("aborted", F.when(F.col("failed"), APPLY_FAILED))
-        )
-        actions = hold(actions, failed)
-        responses = spark.createDataFrame([], schemas.RESPONSES)
+        failed = requests.select("feed_id").distinct()
+        reason = failed.withColumn("failed", F.lit(APPLY_FAILED))
+        gated = attach(gated, reason, how="left", spread_by=("feed_id",))
+        gated = gated.withColumn("aborted", F.coalesce("aborted", "failed"))
+        actions = attach(actions, failed, how="left_anti")
         requests = requests.limit(0)
+        responses = spark.createDataFrame([], schemas.RESPONSES)
     rejects = gated.where(F.col("aborted").isNotNull()).select("feed_id", "aborted")
     usable = gated.where(F.col("aborted").isNull())
     state_run_seq = last and last.state_run_seq
@@ -173,11 +172,13 @@ def finish(
     if usable.isEmpty():
         summary = aborted_summary(rejects)
     else:
+        changes = actions.where(F.col("action") != "unchanged")
         results = operation_results(settle(requests, responses))
         settled = write_keyed(
-            spark, outcomes(actions, results), store.folder("settled"), run_seq, store.buckets
+            spark, outcomes(changes, results), store.folder("settled"), run_seq, store.buckets
         )
-        write_keyed(spark, next_state(settled), store.folder("state"), run_seq, store.buckets)
+        state = read_state(spark, store.folder("state"), state_run_seq, store.buckets)
+        write_keyed(spark, fold(state, settled), store.folder("state"), run_seq, store.buckets)
         write_recent(additions(settled, iso_ms(_moment(now))), store.folder("recent"), run_seq)
         finished = usable.select(
             "feed_id",
@@ -191,7 +192,10 @@ def finish(
         _saved(header, store, "feed_state", run_seq)
         state_run_seq = feed_state_run_seq = run_seq
         # Every usable feed has events, hence rows to count.
-        summary = summarise(settled).unionByName(aborted_summary(rejects))
+        counted = ["feed_id", "action", "outcome"]
+        unchanged = actions.where(F.col("action") == "unchanged").withColumn("outcome", F.lit(None))
+        rows = settled.select(*counted).unionByName(unchanged.select(*counted))
+        summary = summarise(rows).unionByName(aborted_summary(rejects))
 
     summary = summary.withColumn("run_seq", F.lit(run_seq).cast("bigint"))
     summary = _saved(run_alerts(summary), store, "summary", run_seq)
@@ -200,17 +204,6 @@ def finish(
     return summary
 
 
-def hold(actions: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Turn the actions of some feeds into ``held`` state rows; their creates have none and go."""
-    marked = attach(actions, feeds.select("feed_id", F.lit(True).alias("__held")), how="left")
-    held = F.coalesce(F.col("__held"), F.lit(False))
-    return (
-        marked.where(~held | F.col("event_id").isNotNull())
-        .withColumn("action", F.when(held, "held").otherwise(F.col("action")))
-        .drop("__held")
-    )
-
-
 def _moment(now: dt.datetime) -> Column:
     return F.lit(now).cast("timestamp")
 
@@ -245,14 +238,17 @@ def current_state(spark: SparkSession, store: Store) -> DataFrame:
     return read_state(spark, store.folder("state"), last and last.state_run_seq, store.buckets)
 
 
-def recent_log(spark: SparkSession, store: Store) -> DataFrame:
-    """All logged additions of committed runs."""
-    done = [(c.run_seq,) for c in commits(spark, store)]
+def recent_additions(spark: SparkSession, store: Store, limit: int) -> DataFrame:
+    """The newest additions of committed runs, read from no more runs than can fill the view."""
     try:
+        summary = spark.read.schema(schemas.RUN_SUMMARY).parquet(store.folder("summary"))
         log = spark.read.schema(schemas.RECENT).parquet(store.folder("recent"))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schemas.RECENT)
-    committed = F.broadcast(spark.createDataFrame(done, "run_seq bigint"))
-    return log.join(committed, "run_seq", "left_semi")
+    # A run that added anything adds at least one entry, so this many of them are enough.
+    filled = summary.where(F.col("created") > 0).select("run_seq").distinct()
+    newest = filled.orderBy(F.desc("run_seq")).limit(cap(limit))
+    oldest = newest.agg(F.min("run_seq")).first()[0]
+    return recent(log.where(F.col("run_seq") >= F.lit(oldest)), limit)

@@ -11,7 +11,9 @@ from snapfold.functions.jsons import members, number_at, parse, string_at
 def write_outbox(requests: DataFrame, path: str, run_seq: int) -> str:
     """Write a run's requests; repeating a run replaces its folder, so each request exists once."""
     folder = f"{path}/run_seq={run_seq}"
-    requests.drop("run_seq").write.mode("overwrite").parquet(folder)
+    # In order at the sink: creates, updates, deletes of each feed.
+    ordered = requests.drop("run_seq").orderBy("feed_id", "op_ord")
+    ordered.write.mode("overwrite").parquet(folder)
     return folder
 
 

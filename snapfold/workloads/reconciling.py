@@ -24,7 +24,14 @@ from snapfold.operators.fold import (
     run_alerts,
     summarise,
 )
-from snapfold.operators.reconcile import action_counts, gate, list_actions, reconcile, vanished
+from snapfold.operators.reconcile import (
+    CHANGES,
+    action_counts,
+    gate,
+    list_actions,
+    reconcile,
+    vanished,
+)
 from snapfold.operators.replay import replay
 from snapfold.operators.settle import (
     longest_retry_after,
@@ -510,8 +517,9 @@ def retry_after_max(spark, sf_dir):
 )
 def fold_state(spark, sf_dir):
     fresh, stored = sides(spark, sf_dir)
-    runs = run_clock(all_feeds(spark, sf_dir))
-    return fold(stored, reconcile(fresh, stored, runs), _results(spark, sf_dir), runs)
+    actions = reconcile(fresh, stored, run_clock(all_feeds(spark, sf_dir)))
+    changes = actions.where(F.col("action").isin(*CHANGES))
+    return fold(stored, outcomes(changes, _results(spark, sf_dir)))
 
 
 _SUMMARY = """

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from snapfold import schemas
 from snapfold.operators.fold import feed_status
-from snapfold.plans.run import Store, commits, current_state, read_feed_state, recent_log, run
-from snapfold.sources.recent import recent
+from snapfold.plans.run import Store, commits, current_state, read_feed_state, recent_additions, run
 from snapfold.sources.snapshots import read_snapshots
 from snapfold.streaming.landing import start_stream
 
@@ -123,7 +122,7 @@ def test_life_of_a_feed(spark, folder):
     assert h.go(now=dt.datetime(2026, 9, 1)) == {"f": (0, 0, 0, 1, 1, 0, None)}
     assert h.sent == [] and set(h.state()) == {"ep-1"}
 
-    log = recent(recent_log(spark, h.store), 10).collect()
+    log = recent_additions(spark, h.store, 10).collect()
     assert [r.uid for r in log] == ["ep-2", "ep-1", "ep-3"]
     last = commits(spark, h.store)[0].feed_state_run_seq
     status = feed_status(
