@@ -223,3 +223,22 @@ def normalised(
     """Events of decoded documents: identified, one per key, with digest."""
     kept = decoded.where("kept").drop("kept", "bad")
     return with_hash(last_wins(kept, keys))
+
+
+_LINE = rf"(?s)^([^:;\"]++)({_PARAMS}):(.*)$"
+
+
+def content_lines(blocks: DataFrame, block: str = "block") -> DataFrame:
+    """One row per content line of a block: line_no, name (upper case), params (raw text), value.
+
+    Lines without an unquoted colon or without a name are skipped; read a parameter with ``dates.param``.
+    """
+    rest = [c for c in blocks.columns if c != block]
+    lines = blocks.select(*rest, F.posexplode(F.split(F.col(block), "\n")).alias("line_no", "__line"))
+    return lines.where(F.col("__line").rlike(_LINE)).select(
+        *rest,
+        "line_no",
+        F.upper(F.regexp_extract("__line", _LINE, 1)).alias("name"),
+        F.regexp_extract("__line", _LINE, 2).alias("params"),
+        F.regexp_extract("__line", _LINE, 3).alias("value"),
+    )

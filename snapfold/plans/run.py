@@ -49,7 +49,11 @@ Applier = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Store:
-    """Folders of a deployment below one shared root."""
+    """Folders of a deployment below one shared root.
+
+    With at least as many ``buckets`` as shuffle partitions the state is never shuffled, with equally many
+    the events are shuffled once. Give it files of about 100 to 500 MB.
+    """
 
     root: str
     buckets: int = 8
@@ -76,6 +80,12 @@ def previous(spark: SparkSession, store: Store, run_seq: int):
     return next((c for c in commits(spark, store) if c.run_seq < run_seq), None)
 
 
+def _state_of(spark: SparkSession, store: Store, commit) -> DataFrame:
+    """State a commit points to, with the number of buckets it was written with."""
+    run_seq, buckets = (commit.state_run_seq, commit.buckets) if commit else (None, store.buckets)
+    return read_state(spark, store.folder("state"), run_seq, buckets)
+
+
 def read_feed_state(spark: SparkSession, store: Store, run_seq: int | None) -> DataFrame:
     if run_seq is None:
         return spark.createDataFrame([], schemas.FEED_STATE)
@@ -104,7 +114,7 @@ def prepare(
     """
     require_utc(configure(spark))
     last = previous(spark, store, run_seq)
-    state = read_state(spark, store.folder("state"), last and last.state_run_seq, store.buckets)
+    state = _state_of(spark, store, last)
     feed_state = read_feed_state(spark, store, last and last.feed_state_run_seq)
 
     current = newest_per_feed(documents, feed_state, feeds)
@@ -168,6 +178,7 @@ def finish(
     usable = gated.where(F.col("aborted").isNull())
     state_run_seq = last and last.state_run_seq
     feed_state_run_seq = last and last.feed_state_run_seq
+    buckets = last.buckets if last else store.buckets
 
     if usable.isEmpty():
         summary = aborted_summary(rejects)
@@ -177,8 +188,8 @@ def finish(
         settled = write_keyed(
             spark, outcomes(changes, results), store.folder("settled"), run_seq, store.buckets
         )
-        state = read_state(spark, store.folder("state"), state_run_seq, store.buckets)
-        write_keyed(spark, fold(state, settled), store.folder("state"), run_seq, store.buckets)
+        state = fold(_state_of(spark, store, last), settled)
+        write_keyed(spark, state, store.folder("state"), run_seq, store.buckets)
         write_recent(additions(settled, iso_ms(_moment(now))), store.folder("recent"), run_seq)
         finished = usable.select(
             "feed_id",
@@ -191,6 +202,7 @@ def finish(
         header = advance_feed_state(read_feed_state(spark, store, feed_state_run_seq), finished)
         _saved(header, store, "feed_state", run_seq)
         state_run_seq = feed_state_run_seq = run_seq
+        buckets = store.buckets
         # Every usable feed has events, hence rows to count.
         counted = ["feed_id", "action", "outcome"]
         unchanged = actions.where(F.col("action") == "unchanged").withColumn("outcome", F.lit(None))
@@ -199,7 +211,7 @@ def finish(
 
     summary = summary.withColumn("run_seq", F.lit(run_seq).cast("bigint"))
     summary = _saved(run_alerts(summary), store, "summary", run_seq)
-    record = spark.createDataFrame([(run_seq, state_run_seq, feed_state_run_seq, store.buckets)], COMMIT)
+    record = spark.createDataFrame([(run_seq, state_run_seq, feed_state_run_seq, buckets)], COMMIT)
     record.coalesce(1).write.mode("overwrite").json(store.of_run("commits", run_seq))
     return summary
 
@@ -235,7 +247,7 @@ def run(
 def current_state(spark: SparkSession, store: Store) -> DataFrame:
     """State of the newest commit."""
     last = next(iter(commits(spark, store)), None)
-    return read_state(spark, store.folder("state"), last and last.state_run_seq, store.buckets)
+    return _state_of(spark, store, last)
 
 
 def recent_additions(spark: SparkSession, store: Store, limit: int) -> DataFrame:

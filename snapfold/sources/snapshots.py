@@ -1,7 +1,8 @@
 """Landed feed documents: ``<root>/feed_id=<id>/snapshot_seq=<n>/part-<i>-of-<n>.ics``.
 
 One snapshot is one document, or several parts where a feed is too large for one. A snapshot counts as
-fetched only when all its parts are there.
+fetched only when all its parts are there. Spark does not list files of no bytes, so an empty answer must
+be landed as a line break to be reported as an empty feed.
 """
 
 from __future__ import annotations

@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 
 from snapfold.functions.dates import duration_ms, event_end, with_ics_date
 from snapfold.functions.zones import format_wall, iso_ms, wall_to_instant, zone_offset_ms, zones
-from snapfold.operators.decode import decode, normalised
+from snapfold.operators.decode import (
+    content_lines,
+    decode,
+    document_text,
+    normalised,
+    unfold,
+    vevent_blocks,
+)
 from snapfold.operators.reconcile import gate
 from snapfold.sources.snapshots import MAX_DOCUMENT_BYTES, admit, ics_parts, warn_content_type
 from snapfold.workloads.catalog import (
@@ -331,6 +338,31 @@ def ics_roundtrip_documents(spark, sf_dir):
     )
 
 
+@query(
+    "content_lines",
+    f"""
+    WITH {_ROUND}, lines AS (
+      SELECT feed_id, uid, unnest([
+        {{'line_no': 1, 'name': 'UID', 'params': '', 'value': uid}},
+        {{'line_no': 2, 'name': 'DTSTART', 'params': '', 'value': strftime("start", '%Y%m%dT%H%M%SZ')}},
+        {{'line_no': 3, 'name': 'DTEND', 'params': '', 'value': strftime("end", '%Y%m%dT%H%M%SZ')}},
+        {{'line_no': 4, 'name': 'SUMMARY', 'params': '', 'value': summary}},
+        {{'line_no': 5, 'name': 'DESCRIPTION', 'params': '', 'value': replace(description, ',', chr(92) || ',')}},
+        {{'line_no': CASE WHEN description IS NULL THEN 5 ELSE 6 END, 'name': 'URL', 'params': '', 'value': url}}
+      ]) AS l FROM ev)
+    SELECT feed_id, l.line_no, l.name, l.params, l.value, count(*) AS n FROM lines
+    WHERE l.value IS NOT NULL GROUP BY ALL
+    """,
+)
+def lines_of_blocks(spark, sf_dir):
+    docs = event_documents(spark, sf_dir)
+    texts = docs.select("feed_id", unfold(document_text(F.col("content"))).alias("text"))
+    lines = content_lines(vevent_blocks(texts).drop("pos", "closed"))
+    return lines.groupBy("feed_id", "line_no", "name", "params", "value").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 @query(
     "decoded_gate",
     """

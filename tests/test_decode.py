@@ -275,3 +275,27 @@ def test_hostile_lines_do_not_overflow_the_stack(spark):
     a, b = parse(spark, text)
     assert a.summary == "long" and a.is_all_day
     assert b.summary == "x"
+
+
+def test_content_lines(spark):
+    from snapfold.functions.dates import param
+    from snapfold.operators.decode import content_lines
+
+    lines = [
+        "UID:a:b",
+        'dtstart;TZID="a:b;c";X=1:20260701',
+        " NAME :v",
+        "no colon",
+        ":no name",
+        'BROKEN;X="open:v',
+        "",
+        "X-A;TZID=1;tzid=2:",
+    ]
+    df = spark.createDataFrame([("\n".join(lines),)], "block string")
+    got = content_lines(df).withColumn("tz", param(F.col("params"), "TZID")).orderBy("line_no")
+    assert [tuple(r) for r in got.collect()] == [
+        (0, "UID", "", "a:b", None),
+        (1, "DTSTART", ';TZID="a:b;c";X=1', "20260701", "a:b;c"),
+        (2, " NAME ", "", "v", None),
+        (7, "X-A", ";TZID=1;tzid=2", "", "2"),
+    ]

@@ -14,6 +14,7 @@ from snapfold.operators.reconcile import (
     vanished,
 )
 from snapfold.schemas import EVENTS, STATE
+from snapfold.sources.state import write_keyed
 
 NOW = dt.datetime(2026, 7, 27, 12)
 RUNS = "feed_id string, now timestamp, state_retention_days int"
@@ -123,6 +124,21 @@ def test_full_outer_join_plan(spark):
     assert "CartesianProduct" not in text and "ArrowEvalPython" not in text
 
 
+def test_bucketed_state_is_not_shuffled(spark, folder):
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    state = state_of(spark, *[("f", f"u{i}", "h", "2026-08-01T00:00:00.000Z") for i in range(20)])
+    table = write_keyed(spark, state, folder + "/state", 1, buckets)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        events = events_of(spark, ("f", "u1", "h", AHEAD), ("f", "a", "h", AHEAD))
+        actions = reconcile(events, table, runs_of(spark, "f"))
+        plan = actions._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(feed_id") == 1
+        assert actions.count() == 21
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 RESULTS = "run_seq bigint, feed_id string, uid string, kind string, ok boolean, status int, event_id string, error string"
 
 

@@ -196,6 +196,19 @@ def test_apply_failure_saves_nothing(spark, folder):
     assert h.go() == {"f": (3, 0, 0, 0, 0, 0, None)}
 
 
+def test_number_of_buckets_may_change(spark, folder):
+    h = Harness(spark, folder)
+    h.land(ics(*SHOWS))
+    h.go()
+    h.store = Store(h.store.root, buckets=3)
+    h.land("\n")
+    assert h.go() == {"f": (0, 0, 0, 0, 0, 1, "ics-feed-empty")}
+    assert len(h.state()) == 3
+    h.land(ics(*SHOWS))
+    assert h.go() == {"f": (0, 0, 0, 3, 0, 0, None)}
+    assert commits(spark, h.store)[0].buckets == 3 and len(h.state()) == 3
+
+
 def test_repeated_run_is_left_alone(spark, folder):
     h = Harness(spark, folder)
     h.land(ics(*SHOWS))
