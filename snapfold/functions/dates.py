@@ -17,17 +17,15 @@ DURATION_SHAPE = (
 UNIT_MS = {2: 604_800_000, 3: 86_400_000, 4: 3_600_000, 5: 60_000, 6: 1_000}
 
 
-def rollover_seconds(
-    year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column
-) -> Column:
+def rollover_seconds(year: Column, month: Column, day: Column, clock: Column) -> Column:
     """Epoch seconds of date fields that may overflow (30 February is 2 March, month 0 is December).
 
-    Years 0 to 99 count from 1900.
+    ``clock`` is in seconds and may exceed a day. Years 0 to 99 count from 1900.
     """
     full_year = F.when(year < 100, year + 1900).otherwise(year)
     january = F.make_date(full_year.cast("int"), F.lit(1), F.lit(1))
     days = F.unix_date(F.add_months(january, (month - 1).cast("int"))).cast("bigint") + day - 1
-    return days * 86_400 + hour.cast("bigint") * 3_600 + minute * 60 + second
+    return days * 86_400 + clock
 
 
 def with_ics_date(df: DataFrame, value: str, params: str, out: str) -> DataFrame:
@@ -58,36 +56,43 @@ def with_ics_date(df: DataFrame, value: str, params: str, out: str) -> DataFrame
         }
     )
     d, c = F.col(day), F.col(time)
-    midnight = rollover_seconds(
-        F.floor(d / 10_000), F.floor(d / 100) % 100, d % 100, F.lit(0), F.lit(0), F.lit(0)
+    staged = staged.withColumns(
+        {
+            # The year, month and day of the reading, and the seconds of its clock.
+            f"{day}_y": F.floor(d / 10_000),
+            f"{day}_m": F.floor(d / 100) % 100,
+            f"{day}_s": d % 100,
+            time: F.floor(c / 10_000) * 3_600 + (F.floor(c / 100) % 100) * 60 + c % 100,
+            f"{out}__bad": d.isNull() | (c.isNotNull() & F.col(declared)),
+            f"{out}__only": d.isNotNull() & c.isNull(),
+        }
+    )
+    bad, date_only = F.col(f"{out}__bad"), F.col(f"{out}__only")
+    naive = rollover_seconds(
+        F.col(f"{day}_y"), F.col(f"{day}_m"), F.col(f"{day}_s"), F.coalesce(F.col(time), F.lit(0))
     )
-    clock = F.floor(c / 10_000) * 3_600 + (F.floor(c / 100) % 100) * 60 + c % 100
-    bad = d.isNull() | (c.isNotNull() & F.col(declared))
     read = F.struct(
-        F.when(~bad, midnight + F.coalesce(clock, F.lit(0))).alias("naive_s"),
-        (d.isNotNull() & c.isNull()).alias("is_date_only"),
-        ((d.isNotNull() & c.isNull()) | F.endswith(t, F.lit("Z"))).alias("is_utc"),
+        F.when(~bad, naive).alias("naive_s"),
+        date_only.alias("is_date_only"),
+        (date_only | F.endswith(t, F.lit("Z"))).alias("is_utc"),
         bad.alias("bad"),
     )
-    return staged.withColumn(out, F.when(t.isNotNull(), read)).drop(text, declared, day, time)
+    spare = (text, declared, day, time, f"{day}_y", f"{day}_m", f"{day}_s", f"{out}__bad", f"{out}__only")
+    return staged.withColumn(out, F.when(t.isNotNull(), read)).drop(*spare)
 
 
 SEGMENT = r'(?:[^";]++|"[^"]*+")*+'
 
 
 def param(params: Column, name: str) -> Column:
-    """Value of a parameter in raw parameter text; the last duplicate wins, outer quotes are removed.
+    """Value of a parameter in raw parameter text, empty if there is none; the last duplicate wins.
 
-    Possessive runs keep the match free of recursion. A start inside a quoted value leaves an odd
-    number of quotes and cannot reach the end, so it never matches.
+    Outer quotes are removed. Possessive runs keep the match free of recursion. A start inside a quoted
+    value leaves an odd number of quotes and cannot reach the end, so it never matches.
     """
     pattern = rf"(?i);{name}=({SEGMENT})(?:;(?!{name}=){SEGMENT})*+\z"
     found = F.regexp_extract(params, pattern, 1)
-    quoted = (
-        (F.length(found) >= 2) & F.startswith(found, F.lit('"')) & F.endswith(found, F.lit('"'))
-    )
-    bare = F.when(quoted, F.substring(found, F.lit(2), F.length(found) - 2)).otherwise(found)
-    return F.when(params != "", F.nullif(bare, F.lit("")))
+    return F.when(params != "", F.regexp_replace(found, r'(?s)^"(.*)"\z', "$1"))
 
 
 def duration_ms(col: Column) -> Column:
@@ -96,7 +101,8 @@ def duration_ms(col: Column) -> Column:
     whole = f"^{DURATION_SHAPE}$"
     magnitude = F.lit(0).cast("bigint")
     for group, unit in UNIT_MS.items():
-        part = F.regexp_extract(text, whole, group).try_cast("bigint")
+        # The leading zero gives an absent part a value; a failing cast costs an exception per row.
+        part = F.concat(F.lit("0"), F.regexp_extract(text, whole, group)).try_cast("bigint")
         magnitude = magnitude + F.coalesce(part, F.lit(0)) * unit
     sign = F.when(F.startswith(text, F.lit("-")), F.lit(-1)).otherwise(F.lit(1))
     return F.when(text.rlike(whole), sign * magnitude)

@@ -132,8 +132,8 @@ _URL = (
 def is_web_url(col: Column) -> Column:
     """Whether a text is an absolute URL with a host and a possible port."""
     url = js_trim(col)
-    port = F.regexp_extract(url, _URL, 3).try_cast("int")
-    return url.rlike(_URL) & (F.coalesce(port, F.lit(0)) <= 65535)
+    port = F.concat(F.lit("0"), F.regexp_extract(url, _URL, 3)).cast("int")
+    return url.rlike(_URL) & (port <= 65535)
 
 
 def describe_source(col: Column) -> Column:

@@ -99,12 +99,14 @@ def payload(zone: Column, category: Column) -> Column:
     )
 
 
-def outbox(batched: DataFrame, targets: DataFrame, run_seq: int) -> DataFrame:
+def outbox(
+    batched: DataFrame, targets: DataFrame, run_seq: int, small: bool | None = None
+) -> DataFrame:
     """Request rows: ``id, method, url, body`` plus the key columns.
 
     ``targets`` has one row per feed: target_upn, calendar_id, display_tz, event_category.
     """
-    joined = attach(batched, targets, how="inner")
+    joined = attach(batched, targets, how="inner", small=small)
     kind = F.col("kind")
     user = F.concat(F.lit("/users/"), percent_encode(F.col("target_upn")))
     collection = F.concat(

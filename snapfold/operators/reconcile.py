@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapfold.functions.zones import DAY_MS, parse_iso
-from snapfold.operators.spread import attach, digest_bucket, position_within
+from snapfold.operators.spread import attach, digest_bucket, fits_broadcast, position_within
 from snapfold.schemas import EVENT_FIELDS
 
 # Why a feed's run stops without touching anything.
@@ -57,19 +57,23 @@ def is_prunable(start: Column, now: Column, retention_days: Column) -> Column:
     return F.coalesce(F.unix_micros(start) < cutoff, F.lit(True))
 
 
-def reconcile(events: DataFrame, state: DataFrame, runs: DataFrame) -> DataFrame:
+def reconcile(
+    events: DataFrame, state: DataFrame, runs: DataFrame, small: bool | None = None
+) -> DataFrame:
     """One row per key of the usable feeds with its ``action``, event columns and stored columns.
 
     ``events`` and ``state`` have one row per (feed_id, uid); ``runs`` has one row per usable feed with
     its clock ``now`` and ``state_retention_days``. Both sides are restricted to those feeds, because the
     state of a feed without a usable snapshot would otherwise look as if everything had vanished. Keys
     are unique on both sides, so the join has no hot key whatever share of the rows one feed has.
+    ``small`` passes on a size check of ``runs`` that was already made.
     """
     feeds = runs.select("feed_id", "now", "state_retention_days")
-    fresh = attach(events, feeds.select("feed_id"), how="left_semi").select(
+    small = fits_broadcast(feeds) if small is None else small
+    fresh = attach(events, feeds.select("feed_id"), how="left_semi", small=small).select(
         "feed_id", "uid", *EVENT_FIELDS
     )
-    known = attach(state, feeds).select(
+    known = attach(state, feeds, small=small).select(
         "feed_id",
         "uid",
         "event_id",

@@ -19,6 +19,7 @@ from snapfold.functions.text import js_number
 from snapfold.functions.zones import parse_iso
 
 REQUEST_KEY = ["run_seq", "feed_id", "batch_id", "id"]
+HTTP_DATE = r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$"
 # Fixed value: body of a request that no attempt settled.
 EXHAUSTED = '{"error":{"code":"batchRetriesExhausted"}}'
 
@@ -95,7 +96,7 @@ def backoff_ms(attempt: Column, retry_after: Column, now: Column) -> Column:
     present = F.nullif(retry_after, F.lit(""))
     seconds = js_number(present)
     http_date = F.try_to_timestamp(
-        F.regexp_extract(present, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1),
+        F.nullif(F.regexp_extract(present, HTTP_DATE, 1), F.lit("")),
         F.lit("dd MMM yyyy HH:mm:ss"),
     )
     until = F.coalesce(http_date, parse_iso(present))

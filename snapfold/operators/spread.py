@@ -38,7 +38,9 @@ def attach(
     Where the large side is too costly to compute twice, ``count_hot=False`` leaves hot keys to the
     splitting of skewed partitions at run time.
     """
-    if fits_broadcast(dim) if small is None else small:
+    if small is None:
+        small = fits_broadcast(dim)
+    if small:
         return df.join(F.broadcast(dim), list(keys), how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
     # Rows without a key match nothing, so they can be spread freely.

@@ -31,7 +31,7 @@ from snapfold.operators.fold import (
 )
 from snapfold.operators.reconcile import APPLY_FAILED, CHANGES, TARGET_FAILED, gate, reconcile
 from snapfold.operators.settle import operation_results, settle
-from snapfold.operators.spread import attach
+from snapfold.operators.spread import attach, fits_broadcast
 from snapfold.operators.targets import resolve_targets
 from snapfold.session import configure, require_utc
 from snapfold.sources.batchlog import write_outbox
@@ -117,6 +117,8 @@ def prepare(
     state = _state_of(spark, store, last)
     feed_state = read_feed_state(spark, store, last and last.feed_state_run_seq)
 
+    # Everything that is attached by feed below has at most a row per registered feed.
+    small = fits_broadcast(feeds)
     current = newest_per_feed(documents, feed_state, feeds)
     decoded = _saved(decode(admit(current), feeds, zones(spark)), store, "decoded", run_seq)
 
@@ -131,7 +133,7 @@ def prepare(
         .join(feeds.select("feed_id", "state_retention_days"), "feed_id")
         .withColumn("now", _moment(now))
     )
-    actions = reconcile(normalised(decoded, ("feed_id", "uid")), state, runs)
+    actions = reconcile(normalised(decoded, ("feed_id", "uid")), state, runs, small)
     changed = F.col("action").isin(*CHANGES)
     payload = (*schemas.EVENT_FIELDS, "event_id", "stored_hash", "stored_start")
     slim = actions.where(F.col("action") != "retain").withColumns(
@@ -143,7 +145,7 @@ def prepare(
     sink = feeds.select("feed_id", "target_upn", "display_tz", "event_category").join(
         gated.select("feed_id", "calendar_id"), "feed_id"
     )
-    write_outbox(outbox(batched, sink, run_seq), store.folder("outbox"), run_seq)
+    write_outbox(outbox(batched, sink, run_seq, small), store.folder("outbox"), run_seq)
     return read_outbox(spark, store, run_seq)
 
 

@@ -182,9 +182,9 @@ def durations(spark, sf_dir):
         F.round(F.col("l_tax") * 100).cast("bigint").cast("string"),
         F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"), "m").otherwise("M"),
     )
-    return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", duration_ms(text).alias("ms")
-    )
+    key = ["l_orderkey", "l_partkey", "l_linenumber"]
+    texts = table(spark, sf_dir, "lineitem").select(*key, text.alias("text"))
+    return texts.select(*key, duration_ms(F.col("text")).alias("ms"))
 
 
 @query(

@@ -118,7 +118,7 @@ def test_params(spark):
         ";TZID=",
         ';A=b;TZID="x"',
     ]
-    want = [None, "Europe/Oslo", "a;b:c", "y", None, None, None, None, "x"]
+    want = [None, "Europe/Oslo", "a;b:c", "y", "", "", "", "", "x"]
     assert one(spark, given, lambda x: param(x, "TZID")) == want
 
 

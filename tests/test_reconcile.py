@@ -97,11 +97,11 @@ def test_wide_registry_uses_the_salted_join(spark, monkeypatch):
     events = events_of(spark, *[("f", f"u{i}", "h", AHEAD) for i in range(50)])
     state = state_of(spark, ("f", "u1", "h", "2026-08-01T00:00:00.000Z"), ("x", "u2", "h", "x"))
     runs = runs_of(spark, "f")
-    broadcast = reconcile(events, state, runs).select("feed_id", "uid", "action").collect()
-    monkeypatch.setattr(spread, "fits_broadcast", lambda *a: False)
+    columns = ("feed_id", "uid", "action")
+    broadcast = reconcile(events, state, runs).select(*columns).collect()
     for hot_rows in (10, 1000):
         monkeypatch.setattr(spread, "HOT_ROWS", hot_rows)
-        spread_out = reconcile(events, state, runs).select("feed_id", "uid", "action").collect()
+        spread_out = reconcile(events, state, runs, small=False).select(*columns).collect()
         assert sorted(broadcast) == sorted(spread_out) and len(spread_out) == 50
 
 
