@@ -13,8 +13,8 @@ _COUNTS = ("created", "updated", "deleted", "skipped", "pruned", "errors")
 def outcomes(actions: DataFrame, results: DataFrame) -> DataFrame:
     """Actions with the ``outcome`` of their result and its ``effect`` on the state row.
 
-    A failure leaves the state describing what is on the calendar: a failed create is not stored, a
-    failed update or delete keeps the old row. An update or delete that finds nothing drops the row. A
+    State follows what was achieved, so that the next run repeats the rest: a failed create is not stored,
+    a failed update or delete keeps the old row. An update or delete that finds nothing drops the row. A
     result without a matching operation is an error, unless it says that the entry is gone.
 
     ``outcome`` is created, updated, deleted, vanished, error, or NULL where nothing was sent; ``effect``

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snapfold.functions.jsons import is_object_text, members, number_at, parse, string_at
@@ -76,6 +77,6 @@ def page_size(requested: str | None, configured: int = DEFAULT_PAGE) -> int:
 
 def recent_page(log: DataFrame, requested: str | None, configured: int = DEFAULT_PAGE) -> DataFrame:
     """A page of the view with ``count``, the size of the whole view (at most 1000) and not of the page."""
-    view = recent(log, configured)
-    total = view.agg(F.count(F.lit(1)).alias("count"))
-    return view.limit(page_size(requested, configured)).join(F.broadcast(total))
+    whole_view = W.partitionBy(F.lit(0))
+    view = recent(log, configured).withColumn("count", F.count(F.lit(1)).over(whole_view))
+    return view.orderBy(*newest_first()).limit(page_size(requested, configured))

@@ -233,12 +233,13 @@ def as_documents(parts):
     )
 
 
-def feed_settings(documents):
-    return documents.select(
+def feed_settings(feeds):
+    """Settings of each feed; the zone only matters for times that name none."""
+    return feeds.select(
         "feed_id",
         F.lit(30).alias("default_duration_minutes"),
-        F.lit("Europe/Oslo").alias("display_tz"),
-    ).distinct()
+        F.when(F.col("feed_id") < "f", "Europe/Oslo").otherwise("utc").alias("display_tz"),
+    )
 
 
 def event_documents(spark, sf_dir):
@@ -271,9 +272,7 @@ ev AS (
 def ics_roundtrip(spark, sf_dir):
     docs = event_documents(spark, sf_dir)
     feeds = table(spark, sf_dir, "events").select(F.col("event_type").alias("feed_id")).distinct()
-    settings = feeds.select(
-        "feed_id", F.lit(30).alias("default_duration_minutes"), F.lit("UTC").alias("display_tz")
-    )
+    settings = feed_settings(feeds)
     events = normalised(decode(docs, settings, zones(spark)))
     return events.select(
         "feed_id",
@@ -324,9 +323,7 @@ def ics_roundtrip_documents(spark, sf_dir):
     )
     docs = as_documents(ics_parts(d, per_part=200))
     langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("feed_id")).distinct()
-    settings = langs.select(
-        "feed_id", F.lit(30).alias("default_duration_minutes"), F.lit("UTC").alias("display_tz")
-    )
+    settings = feed_settings(langs)
     events = normalised(decode(docs, settings, zones(spark)))
     return events.select(
         "feed_id",
@@ -393,9 +390,7 @@ def decoded_gate(spark, sf_dir):
     )
     docs = as_documents(parts)
     feeds = e.select(F.col("event_type").alias("feed_id")).distinct()
-    settings = feeds.select(
-        "feed_id", F.lit(30).alias("default_duration_minutes"), F.lit("UTC").alias("display_tz")
-    )
+    settings = feed_settings(feeds)
     decoded = decode(docs, settings, zones(spark))
     polls = feeds.select("feed_id", F.lit(1).cast("bigint").alias("snapshot_seq"), F.lit(1).alias("parts"))
     return gate(polls, docs, decoded).select("feed_id", "aborted", "events")

@@ -95,7 +95,7 @@ def state_headers(spark, sf_dir):
     "state_dropped",
     f"""
     WITH {_BLOB}
-    SELECT CAST(event_id AS VARCHAR) AS feed_id, CASE WHEN bad_start THEN 4 ELSE 3 END AS dropped
+    SELECT CAST(event_id AS VARCHAR) AS feed_id, CAST(CASE WHEN bad_start THEN 4 ELSE 3 END AS BIGINT) AS dropped
     FROM b WHERE usable
     """,
 )
@@ -106,7 +106,7 @@ def state_dropped(spark, sf_dir):
 @query(
     "recent_revive",
     """
-    SELECT event_id, 0 AS ord, CAST(user_id AS VARCHAR) AS uid, event_type AS summary, 's' AS "start",
+    SELECT event_id, CAST(0 AS BIGINT) AS ord, CAST(user_id AS VARCHAR) AS uid, event_type AS summary, 's' AS "start",
            'a' AS added_at, 'e' AS stored_id,
            CASE WHEN value >= 30 THEN event_type ELSE 'unknown' END AS feed_id
     FROM events WHERE event_type <> 'error'
@@ -410,7 +410,7 @@ def _answer(requests):
            count(*) FILTER (action = 'unchanged') AS skipped, count(*) FILTER (action = 'prune') AS pruned,
            count(*) FILTER (NOT ok AND (action = 'create'
              OR (NOT gone AND action IN ('update', 'delete')))) AS errors,
-           NULL AS aborted, CASE WHEN count(*) FILTER (NOT ok AND (action = 'create'
+           CAST(NULL AS VARCHAR) AS aborted, CASE WHEN count(*) FILTER (NOT ok AND (action = 'create'
              OR (NOT gone AND action IN ('update', 'delete')))) > 0 THEN 'degraded' ELSE 'ok' END AS level,
            1 AS run_seq
     FROM out GROUP BY feed_id
@@ -426,7 +426,7 @@ def two_runs(spark, sf_dir):
         F.lit("TV").alias("calendar_name"),
         F.lit("TV").alias("event_category"),
         F.lit(30).alias("default_duration_minutes"),
-        F.lit("UTC").alias("display_tz"),
+        F.when(F.col("feed_id") < "f", "Europe/Oslo").otherwise("UTC").alias("display_tz"),
         F.lit(3).alias("state_retention_days"),
         F.lit(100).alias("recent_limit"),
     )

@@ -26,5 +26,13 @@ def test_query_equals_sql(spark, con, name):
     assert rows > 0
 
 
+def test_plans_stay_in_the_engine_and_join_by_key(spark):
+    for name, fn in spark_entry.queries().items():
+        if name != "two_runs":  # runs jobs of its own when called
+            plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+            for unwanted in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas"):
+                assert unwanted not in plan, (name, unwanted)
+
+
 def test_entry(spark):
     assert spark_entry.entry(spark).count() > 0
