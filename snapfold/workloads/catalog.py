@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from snapfold.functions.digest import with_hash
 from snapfold.functions.zones import iso_ms
 from snapfold.operators.decode import last_wins
 from snapfold.operators.reconcile import reconcile
-from snapfold.session import configure
+from snapfold.session import configure, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,6 +155,13 @@ def window_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile(fresh, stored, run_clock(all_feeds(spark, sf_dir)))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches read to a folder of its own in the shared scratch folder."""
+    folder = f"{scratch_dir(df.sparkSession)}/snapfold-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 # Response statuses of the n-th attempt for an operation, from one hex digit of a digest of its key.
 STATUS_OF_DIGIT = {"a": 429, "b": 503, "c": 500, "e": 404, "f": 409}
 

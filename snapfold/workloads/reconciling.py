@@ -59,6 +59,7 @@ from snapfold.workloads.catalog import (
     status_sql,
     table,
     window_actions,
+    written,
 )
 
 
@@ -320,14 +321,20 @@ requests AS (
 """
 
 
-def _requests(spark, sf_dir) -> DataFrame:
-    numbered = assign_batches(number_ops(operations(window_actions(spark, sf_dir))))
+def _requests(actions: DataFrame) -> DataFrame:
+    """Numbered operations; as in a run the actions are a written table, because they are read often."""
+    numbered = assign_batches(number_ops(operations(actions)))
     return numbered.withColumn("run_seq", F.lit(1).cast("bigint"))
 
 
+def _written_actions(spark, sf_dir) -> DataFrame:
+    return written(window_actions(spark, sf_dir))
+
+
 @query("op_batches", f"WITH {_OPS} SELECT feed_id, uid, kind, op_ord, batch_id, id FROM requests")
 def op_batches(spark, sf_dir):
-    return _requests(spark, sf_dir).select("feed_id", "uid", "kind", "op_ord", "batch_id", "id")
+    requests = _requests(_written_actions(spark, sf_dir))
+    return requests.select("feed_id", "uid", "kind", "op_ord", "batch_id", "id")
 
 
 @query(
@@ -381,7 +388,7 @@ def outbox_rows(spark, sf_dir):
         zone.alias("display_tz"),
         F.lit("TV").alias("event_category"),
     )
-    return outbox(_requests(spark, sf_dir), targets, 1).drop("run_seq", "op_ord")
+    return outbox(_requests(_written_actions(spark, sf_dir)), targets, 1).drop("run_seq", "op_ord")
 
 
 # Attempts of the operations: a response per attempt up to the third, some of them missing.
@@ -459,8 +466,8 @@ def _responses(requests: DataFrame) -> DataFrame:
     )
 
 
-def _results(spark, sf_dir) -> DataFrame:
-    requests = _requests(spark, sf_dir)
+def _results(actions: DataFrame) -> DataFrame:
+    requests = _requests(actions)
     return operation_results(settle(requests, _responses(requests)))
 
 
@@ -469,7 +476,7 @@ def _results(spark, sf_dir) -> DataFrame:
     f"WITH {_ATTEMPTS} SELECT feed_id, batch_id, id, uid, kind, settled_attempt, status, body FROM settled",
 )
 def settle_attempts(spark, sf_dir):
-    requests = _requests(spark, sf_dir)
+    requests = _requests(_written_actions(spark, sf_dir))
     return settle(requests, _responses(requests)).drop("run_seq")
 
 
@@ -481,7 +488,7 @@ def settle_attempts(spark, sf_dir):
     """,
 )
 def results_of_operations(spark, sf_dir):
-    return _results(spark, sf_dir).drop("run_seq")
+    return _results(_written_actions(spark, sf_dir)).drop("run_seq")
 
 
 @query(
@@ -497,7 +504,7 @@ def results_of_operations(spark, sf_dir):
     """,
 )
 def retry_after_max(spark, sf_dir):
-    responses = _responses(_requests(spark, sf_dir))
+    responses = _responses(_requests(_written_actions(spark, sf_dir)))
     return longest_retry_after(responses, settling_attempts(responses)).drop("run_seq")
 
 
@@ -517,9 +524,9 @@ def retry_after_max(spark, sf_dir):
 )
 def fold_state(spark, sf_dir):
     fresh, stored = sides(spark, sf_dir)
-    actions = reconcile(fresh, stored, run_clock(all_feeds(spark, sf_dir)))
+    actions = written(reconcile(fresh, stored, run_clock(all_feeds(spark, sf_dir))))
     changes = actions.where(F.col("action").isin(*CHANGES))
-    return fold(stored, outcomes(changes, _results(spark, sf_dir)))
+    return fold(stored, outcomes(changes, _results(actions)))
 
 
 _SUMMARY = """
@@ -539,7 +546,8 @@ _SUMMARY = """
     """,
 )
 def run_summary(spark, sf_dir):
-    settled = outcomes(window_actions(spark, sf_dir), _results(spark, sf_dir))
+    actions = _written_actions(spark, sf_dir)
+    settled = outcomes(actions, _results(actions))
     rejects = _polled(spark, sf_dir).where(F.col("aborted").isNotNull())
     return run_alerts(summarise(settled).unionByName(aborted_summary(rejects)))
 
@@ -554,7 +562,8 @@ def run_summary(spark, sf_dir):
     """,
 )
 def new_additions(spark, sf_dir):
-    settled = outcomes(window_actions(spark, sf_dir), _results(spark, sf_dir))
+    actions = _written_actions(spark, sf_dir)
+    settled = outcomes(actions, _results(actions))
     return additions(settled, F.lit("2024-01-12T00:00:00.000Z"))
 
 

@@ -299,3 +299,31 @@ def test_content_lines(spark):
         (2, " NAME ", "", "v", None),
         (7, "X-A", ";TZID=1;tzid=2", "", "2"),
     ]
+
+
+def test_random_texts_survive_the_round_trip(spark):
+    import random
+
+    from snapfold.schemas import EVENTS
+    from snapfold.sources.snapshots import ics_parts
+
+    rng = random.Random(11)
+    alphabet = "ab ,;:\\\"\n'|=\u00a0\u2028\u00e9\U0001f4fa" + "BEGIN:VEVENT\n"
+
+    def text():
+        return "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 200))).strip("\u00a0\u2028 \n") or "x"
+
+    rows = [
+        ("f", 1, f"u{i}", i, text(), text(), text(), utc(2026, 7, 1), utc(2026, 7, 2), i % 2 == 0, None)
+        for i in range(500)
+    ]
+    events = spark.createDataFrame(rows, EVENTS)
+    parts = ics_parts(events, per_part=64)
+    content = F.col("text").cast("binary")
+    docs = parts.select("feed_id", "snapshot_seq", F.col("part"), content.alias("content"))
+    feeds = spark.createDataFrame([("f", 30, "UTC")], FEEDS)
+    got = normalised(decode(docs, feeds, zones(spark))).orderBy("feed_ord").collect()
+    assert parts.count() == 8 and {r.parts for r in parts.collect()} == {8}
+    assert [(r.uid, r.summary, r.description, r.url, r.is_all_day) for r in got] == [
+        (u, s, d, w, a) for _, _, u, _, s, d, w, _, _, a, _ in rows
+    ]
