@@ -248,7 +248,7 @@ def event_documents(spark, sf_dir):
     whole_seconds = {
         c: F.timestamp_seconds(F.unix_seconds(c)).alias(c) for c in ("start", "end")
     }
-    return as_documents(ics_parts(ev.withColumns(whole_seconds), per_part=2000))
+    return as_documents(ics_parts(ev.withColumns(whole_seconds), per_part=500))
 
 
 _ROUND = """
@@ -321,7 +321,7 @@ def ics_roundtrip_documents(spark, sf_dir):
         (start + F.expr("INTERVAL 1 DAY")).alias("end"),
         F.lit(True).alias("is_all_day"),
     )
-    docs = as_documents(ics_parts(d, per_part=200))
+    docs = as_documents(ics_parts(d, per_part=50))
     langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("feed_id")).distinct()
     settings = feed_settings(langs)
     events = normalised(decode(docs, settings, zones(spark)))
