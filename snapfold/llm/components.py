@@ -9,7 +9,7 @@ from snapfold.llm.common import cut
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge to another; root is the smallest node of its component.
+    """(node, root) of every node but the roots; root is the smallest node of its component.
 
     ``edges`` has columns a and b; direction, repeats and loops don't matter, rows with a null are no edges.
     Each round links all neighbours of a node to the smallest of them, first the larger ones, then the smaller

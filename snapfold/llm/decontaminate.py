@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from snapfold.llm.common import Words, cut, prepare, whole
 
-#: Places of a mask that count are 1; each mask has seven.
-MASKS = ("1111111", "110100110101", "111001010011", "101100010111")
+#: Places of a mask that count are 1; each mask has six. Together they hit every stretch of 13 words with 2 substituted,
+#: of 15 with 3 and of 20 with 4, whichever these are.
+MASKS = ("111111", "101101011", "11101001001", "1010101011", "10110011001")
 #: Words that an overlap must have, and the share of them that must be the same; a shorter item counts whole.
 MIN_WORDS, MIN_SAME = 13, 0.8
 #: An item of fewer words is no evidence and matches nothing.
