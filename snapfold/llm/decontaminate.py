@@ -44,19 +44,21 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, at: int, where: int, size: int) -> tuple[int, int, int]:
-    """(begin in doc, end in doc, same words) of the best overlap that holds doc[at:at + size] = item[where:...].
+    """(begin in doc, end in doc, same words) of the longest overlap that holds doc[at:at + size] = item[where:...].
 
-    Each side is extended while a same word is worth one and another costs what MIN_SAME lets one cost.
+    Of all its words the share MIN_SAME is the same, and it begins and ends with one that is.
     """
-    price = MIN_SAME / (1 - MIN_SAME)
     left, right = min(at, where), min(len(doc) - at, len(item) - where)
     same = doc[at - left : at + right] == item[where - left : where + right]
-    worth = np.where(same, 1.0, -price)
-    ahead = np.concatenate([[0.0], np.cumsum(worth[left + size :])])
+    worth = np.where(same, 1 - MIN_SAME, -MIN_SAME)  # an overlap's sum is 0 or more
     behind = np.concatenate([[0.0], np.cumsum(worth[:left][::-1])])
-    # the longest of equally good extensions
-    a = left - (len(behind) - 1 - int(np.argmax(behind[::-1])))
-    b = left + size + (len(ahead) - 1 - int(np.argmax(ahead[::-1])))
+    ahead = np.concatenate([[0.0], np.cumsum(worth[left + size :])]) + worth[left : left + size].sum()
+    reach = np.maximum.accumulate(behind[::-1])  # the best sum from so far left on, farthest first
+    first = np.minimum(np.searchsorted(reach, -ahead - 1e-9, "left"), len(reach) - 1)
+    lengths = len(reach) - 1 - first + np.arange(len(ahead))
+    y = int(np.argmax(np.where(reach[first] >= -ahead - 1e-9, lengths, -1)))
+    held = np.flatnonzero(same[int(first[y]) : left + size + y]) + int(first[y])
+    a, b = int(held[0]), int(held[-1]) + 1
     return at - left + a, at - left + b, int(same[a:b].sum())
 
 
