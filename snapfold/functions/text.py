@@ -21,8 +21,8 @@ LINE_SPACE = "[" + "".join(rf"\x{{{p:X}}}" for p in SPACE_POINTS if p != 0x0A) +
 # What a redacted literal becomes, and the shortest literal that is redacted.
 REDACTED = "[redacted]"
 MIN_SECRET_LENGTH = 8
-# Fixed value: shown instead of a URL that cannot be read.
-UNREADABLE_URL = "(unparseable ICS_URL)"
+# Shown instead of a URL that cannot be read.
+UNREADABLE_URL = "(no readable address)"
 
 ELLIPSIS = chr(0x2026)
 
@@ -102,23 +102,25 @@ def fingerprint(col: Column) -> Column:
 def js_number(col: Column) -> Column:
     """The number a text stands for under the loose numeric rules of the settings; NULL if none.
 
-    Blank text is zero; decimal, exponent, hexadecimal, octal and binary notation are accepted.
+    Blank text is zero; decimal, exponent, hexadecimal, octal and binary notation are accepted. A number in
+    one of the latter three that doesn't fit 63 bits is none.
     """
     text = js_trim(col)
     decimal = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
     based = F.lower(F.substring(text, 1, 2))
-    digits = F.substring(text, 3, 64)
+    digits = F.regexp_replace(F.substr(text, F.lit(3)), "^0+(?=.)", "")
 
-    def in_base(prefix: str, base: int, pattern: str) -> tuple[Column, Column]:
-        return (based == prefix) & digits.rlike(pattern), F.conv(digits, base, 10).try_cast("double")
+    def in_base(prefix: str, base: int, pattern: str, places: int) -> tuple[Column, Column]:
+        fits = F.when(F.length(digits) <= places, digits)
+        return (based == prefix) & digits.rlike(pattern), F.conv(fits, base, 10).try_cast("double")
 
     number = F.when(text == "", F.lit(0.0)).when(text.rlike(decimal), text.try_cast("double"))
-    for prefix, base, pattern in (
-        ("0x", 16, "^[0-9a-fA-F]+$"),
-        ("0o", 8, "^[0-7]+$"),
-        ("0b", 2, "^[01]+$"),
+    for prefix, base, pattern, places in (
+        ("0x", 16, "^[0-9a-fA-F]+$", 15),
+        ("0o", 8, "^[0-7]+$", 21),
+        ("0b", 2, "^[01]+$", 63),
     ):
-        test, value = in_base(prefix, base, pattern)
+        test, value = in_base(prefix, base, pattern, places)
         number = number.when(test, value)
     return F.when(F.abs(number) < F.lit(float("inf")), number)
 

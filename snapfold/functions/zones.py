@@ -26,6 +26,8 @@ def zones(spark: SparkSession) -> DataFrame:
             .where(F.expr("try_make_timestamp_ltz(2000, 1, 1, 0, 0, 0, zone)").isNotNull())
             .collect()
         )
+        if not known:
+            raise RuntimeError("this Python has no time zone database, so every zone would be unknown")
         _zone_lists[app] = [(r.zone.lower(), r.zone) for r in known]
     return spark.createDataFrame(_zone_lists[app], "zone_key string, zone string")
 

@@ -195,11 +195,6 @@ def has_identity() -> Column:
     return (F.coalesce(F.col("uid"), F.lit("")) != "") & F.col("start").isNotNull()
 
 
-def with_identity(events: DataFrame) -> DataFrame:
-    """Drop events without uid or start."""
-    return events.where(has_identity())
-
-
 def last_wins(events: DataFrame, keys: tuple[str, ...] = ("feed_id", "snapshot_seq", "uid")) -> DataFrame:
     """One row per key: the values of the last event, the position of the first.
 

@@ -35,8 +35,8 @@ from snapfold.operators.spread import attach, fits_broadcast
 from snapfold.operators.targets import resolve_targets
 from snapfold.session import configure, require_utc
 from snapfold.sources.batchlog import write_outbox
-from snapfold.sources.recent import cap, recent, write_recent
-from snapfold.sources.snapshots import admit, newest_per_feed, polls
+from snapfold.sources.recent import recent, write_recent
+from snapfold.sources.snapshots import MAX_DOCUMENT_BYTES, admit, newest_per_feed, polls
 from snapfold.sources.state import STATE_VERSION, read_state, register_keyed, write_keyed
 
 log = logging.getLogger(__name__)
@@ -66,18 +66,29 @@ class Store:
 
 
 def commits(spark: SparkSession, store: Store) -> list:
-    """Commit records, newest first; one small row per run."""
+    """All commit records, newest first, for inspection; runs read one at a time."""
+    found = _commit_log(spark, store)
+    return [] if found is None else found.orderBy(F.desc("run_seq")).collect()
+
+
+def _commit_log(spark: SparkSession, store: Store) -> DataFrame | None:
     try:
-        return spark.read.schema(COMMIT).json(store.folder("commits")).orderBy(F.desc("run_seq")).collect()
+        return spark.read.schema(COMMIT).json(store.folder("commits"))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return []
+        return None
+
+
+def newest_commit(spark: SparkSession, store: Store, condition: str = "true"):
+    """Newest commit that meets a condition, or None."""
+    found = _commit_log(spark, store)
+    return None if found is None else found.where(condition).orderBy(F.desc("run_seq")).limit(1).first()
 
 
 def previous(spark: SparkSession, store: Store, run_seq: int):
     """Newest commit before a run, or None."""
-    return next((c for c in commits(spark, store) if c.run_seq < run_seq), None)
+    return newest_commit(spark, store, f"run_seq < {run_seq}")
 
 
 def _state_of(spark: SparkSession, store: Store, commit) -> DataFrame:
@@ -106,11 +117,12 @@ def prepare(
     documents: DataFrame,
     feeds: DataFrame,
     targets: DataFrame,
+    max_bytes: int = MAX_DOCUMENT_BYTES,
 ) -> DataFrame:
     """Decode, gate, reconcile and write the outbox of a run; returns the outbox.
 
     ``documents`` is keyed as in ``sources.snapshots``, ``feeds`` is the checked registry, ``targets`` the
-    calendar catalogue.
+    calendar catalogue; documents of more than ``max_bytes`` are not read.
     """
     require_utc(configure(spark))
     last = previous(spark, store, run_seq)
@@ -120,10 +132,10 @@ def prepare(
     # Everything that is attached by feed below has at most a row per registered feed.
     small = fits_broadcast(feeds)
     current = newest_per_feed(documents, feed_state, feeds)
-    decoded = _saved(decode(admit(current), feeds, zones(spark)), store, "decoded", run_seq)
+    decoded = _saved(decode(admit(current, max_bytes), feeds, zones(spark)), store, "decoded", run_seq)
 
     resolved = resolve_targets(feeds, feed_state, targets)
-    gated = gate(polls(current), admit(current), decoded).join(resolved, "feed_id", "left")
+    gated = gate(polls(current), admit(current, max_bytes), decoded).join(resolved, "feed_id", "left")
     no_target = F.when(F.col("calendar_id").isNull(), TARGET_FAILED)
     gated = gated.withColumn("aborted", F.coalesce("aborted", no_target))
     gated = _saved(gated, store, "gate", run_seq)
@@ -231,11 +243,12 @@ def run(
     feeds: DataFrame,
     targets: DataFrame,
     applier: Applier,
+    max_bytes: int = MAX_DOCUMENT_BYTES,
 ) -> DataFrame:
     """Prepare, apply and finish one run. A run that is already committed is left alone."""
-    if any(c.run_seq == run_seq for c in commits(spark, store)):
+    if newest_commit(spark, store, f"run_seq = {run_seq}"):
         return spark.read.parquet(store.of_run("summary", run_seq))
-    requests = prepare(spark, store, run_seq, now, documents, feeds, targets)
+    requests = prepare(spark, store, run_seq, now, documents, feeds, targets, max_bytes)
     responses: DataFrame | None = spark.createDataFrame([], schemas.RESPONSES)
     if not requests.isEmpty():
         try:
@@ -248,8 +261,7 @@ def run(
 
 def current_state(spark: SparkSession, store: Store) -> DataFrame:
     """State of the newest commit."""
-    last = next(iter(commits(spark, store)), None)
-    return _state_of(spark, store, last)
+    return _state_of(spark, store, newest_commit(spark, store))
 
 
 def recent_additions(spark: SparkSession, store: Store, limit: int) -> DataFrame:
@@ -262,7 +274,11 @@ def recent_additions(spark: SparkSession, store: Store, limit: int) -> DataFrame
             raise
         return spark.createDataFrame([], schemas.RECENT)
     # A run that added anything adds at least one entry, so this many of them are enough.
-    filled = summary.where(F.col("created") > 0).select("run_seq").distinct()
-    newest = filled.orderBy(F.desc("run_seq")).limit(cap(limit))
+    committed = _commit_log(spark, store)
+    if committed is None:
+        return spark.createDataFrame([], schemas.RECENT)
+    committed = committed.select("run_seq").distinct()
+    filled = summary.where(F.col("created") > 0).select("run_seq").distinct().join(committed, "run_seq")
+    newest = filled.orderBy(F.desc("run_seq")).limit(max(limit, 1))
     oldest = newest.agg(F.min("run_seq")).first()[0]
-    return recent(log.where(F.col("run_seq") >= F.lit(oldest)), limit)
+    return recent(log.where(F.col("run_seq") >= F.lit(oldest)).join(committed, "run_seq", "left_semi"), limit)

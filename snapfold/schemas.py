@@ -4,7 +4,7 @@ from __future__ import annotations
 
 FEEDS = (
     "feed_id string, ics_url string, target_upn string, calendar_name string, event_category string, "
-    "default_duration_minutes int, display_tz string, state_retention_days int, recent_limit int"
+    "default_duration_minutes bigint, display_tz string, state_retention_days bigint, recent_limit bigint"
 )
 
 # The registry as operators type it in: every setting is text until it passed the rules.
@@ -13,10 +13,8 @@ RAW_FEEDS = (
     "default_duration_minutes string, display_tz string, state_retention_days string, recent_limit string"
 )
 
-SNAPSHOTS = "feed_id string, snapshot_seq bigint, snapshot_ts timestamp, parts int"
-
 DOCUMENTS = (
-    "feed_id string, snapshot_seq bigint, snapshot_ts timestamp, part int, parts int, "
+    "feed_id string, snapshot_seq bigint, snapshot_ts timestamp, part bigint, parts bigint, "
     "length bigint, content binary"
 )
 
@@ -32,11 +30,6 @@ FEED_STATE = (
     "applied_snapshot_seq bigint, run_seq bigint"
 )
 
-RESULTS = (
-    "run_seq bigint, feed_id string, uid string, kind string, ok boolean, status int, "
-    "event_id string, error string"
-)
-
 RESPONSES = (
     "run_seq bigint, feed_id string, batch_id bigint, attempt int, id string, status int, "
     "body string, retry_after string"

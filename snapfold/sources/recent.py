@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from snapfold.functions.jsons import is_object_text, members, number_at, parse, string_at
 
-# Hard ceiling and default size of the view, version that is read.
-MAX_ENTRIES = 1000
+# Default size of the view, version that is read.
 DEFAULT_PAGE = 100
 RECENT_VERSION = 1
 
@@ -44,16 +43,9 @@ def revive_recent(raw: DataFrame) -> DataFrame:
     )
 
 
-def write_recent(additions: DataFrame, path: str, run_seq: int) -> bool:
-    """Write a run's additions; nothing is written if there are none. Repeating a run replaces it."""
-    if additions.isEmpty():
-        return False
+def write_recent(additions: DataFrame, path: str, run_seq: int) -> None:
+    """Write a run's additions. Repeating a run replaces what an earlier try wrote, also by nothing."""
     additions.write.mode("overwrite").parquet(f"{path}/run_seq={run_seq}")
-    return True
-
-
-def cap(limit: int) -> int:
-    return min(max(limit, 1), MAX_ENTRIES)
 
 
 def newest_first() -> list[Column]:
@@ -62,21 +54,21 @@ def newest_first() -> list[Column]:
 
 
 def recent(log: DataFrame, limit: int = DEFAULT_PAGE) -> DataFrame:
-    """The newest entries across all feeds; at most 1000, taken by a top-N without a full sort."""
-    return log.orderBy(*newest_first()).limit(cap(limit))
+    """The newest entries across all feeds (one at least), taken by a top-N without a full sort."""
+    return log.orderBy(*newest_first()).limit(max(limit, 1))
 
 
 def page_size(requested: str | None, configured: int = DEFAULT_PAGE) -> int:
     """Entries of a page: the configured number if none is asked for, 100 for a request that is not a
-    positive number, never more than 1000."""
+    positive number."""
     text = str(configured) if requested is None else requested.strip()
     decimal = re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text, re.ASCII)
     number = float(text) if decimal else 0.0
-    return int(min(number if number > 0 else DEFAULT_PAGE, MAX_ENTRIES))
+    return int(number if number > 0 else DEFAULT_PAGE)
 
 
 def recent_page(log: DataFrame, requested: str | None, configured: int = DEFAULT_PAGE) -> DataFrame:
-    """A page of the view with ``count``, the size of the whole view (at most 1000) and not of the page."""
+    """A page of the view with ``count``, the size of the whole view and not of the page."""
     whole_view = W.partitionBy(F.lit(0))
     view = recent(log, configured).withColumn("count", F.count(F.lit(1)).over(whole_view))
     return view.orderBy(*newest_first()).limit(page_size(requested, configured))

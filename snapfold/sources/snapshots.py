@@ -27,9 +27,10 @@ def named(files: DataFrame) -> DataFrame:
     """Documents of landed files; the part numbers come from the file name."""
 
     def group(i: int) -> Column:
-        return F.regexp_extract("path", _PART, i).cast("int")
+        return F.regexp_extract("path", _PART, i).try_cast("bigint")
 
-    return files.where(F.col("path").rlike(_PART)).select(
+    # A number that does not fit is no part number.
+    return files.where(group(1).isNotNull() & group(2).isNotNull()).select(
         "feed_id",
         "snapshot_seq",
         F.col("modificationTime").alias("snapshot_ts"),
@@ -113,10 +114,10 @@ def ics_parts(events: DataFrame, per_part: int = 10_000) -> DataFrame:
         ).alias("__body")
     )
     # The number of parts comes from the keys alone, so that no text moves for it.
-    parts = cut.groupBy(*key).agg(F.countDistinct("__cut").cast("int").alias("parts"))
+    parts = cut.groupBy(*key).agg(F.countDistinct("__cut").alias("parts"))
     return attach(texts, parts, tuple(key), spread_by=("__cut",)).select(
         *key,
-        F.col("__cut").cast("int").alias("part"),
+        F.col("__cut").alias("part"),
         "parts",
         F.concat(
             F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n"), "__body", F.lit("\r\nEND:VCALENDAR\r\n")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from snapfold.plans.run import Applier, Store, run
+from snapfold.plans.run import Applier, Store, newest_commit, run
 from snapfold.session import configure
-from snapfold.sources.snapshots import FILE_SCHEMA, named
+from snapfold.sources.snapshots import FILE_SCHEMA, named, read_snapshots
 
 
 def start_stream(
@@ -23,9 +25,11 @@ def start_stream(
 ) -> StreamingQuery:
     """Process what has landed since the last call, then stop; a scheduler calls it again.
 
-    ``registry`` returns the checked feeds and the target catalogue as they are now. The run number is the
-    micro-batch id, so a batch that Spark repeats after a failure overwrites its own tables, and one that
-    was already committed does nothing.
+    ``registry`` returns the checked feeds and the target catalogue as they are now. A micro-batch only names
+    the snapshots that something was added to; their parts are read from the landing folder, and a snapshot
+    that still lacks a part stays as it is until a later batch names it again. Before a run starts its number,
+    the one after the newest commit, and its clock are saved under the stream's and the batch's id: a batch
+    that Spark repeats is the same run at the same time, and a new stream checkpoint goes on with new numbers.
     """
     configure(spark)
     files = (
@@ -36,8 +40,11 @@ def start_stream(
     )
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        run_seq, now = _run_of(spark, store, f"{stream}/{batch_id}", clock)
         feeds, targets = registry()
-        run(spark, store, batch_id, clock(), named(batch), feeds, targets, applier)
+        touched = named(batch).select("feed_id", "snapshot_seq").distinct()
+        run(spark, store, run_seq, now, complete(read_snapshots(spark, landing), touched), feeds, targets, applier)
 
     return (
         files.writeStream.foreachBatch(one_batch)
@@ -45,3 +52,33 @@ def start_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def complete(documents: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Documents of those of the given snapshots that have all their parts.
+
+    Only keys are aggregated; the join prunes the folders of other snapshots.
+    """
+    key = ["feed_id", "snapshot_seq"]
+    keys = documents.join(snapshots, key, "left_semi")
+    counted = keys.groupBy(*key).agg(F.countDistinct("part").alias("there"), F.max("parts").alias("parts"))
+    return documents.join(counted.where("there >= parts").select(*key), key, "left_semi")
+
+
+def _run_of(
+    spark: SparkSession, store: Store, batch: str, clock: Callable[[], dt.datetime]
+) -> tuple[int, dt.datetime]:
+    """Number and clock of a batch's run: as saved by an earlier try, else new ones, which are saved."""
+    folder = f"{store.folder('batches')}/{batch}"
+    try:
+        saved = spark.read.schema("run_seq bigint, now string").json(folder).first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        saved = None
+    if saved is None:
+        last = newest_commit(spark, store)
+        saved = (last.run_seq + 1 if last else 0, clock().isoformat())
+        row = spark.createDataFrame([saved], "run_seq bigint, now string")
+        row.coalesce(1).write.mode("overwrite").json(folder)
+    return saved[0], dt.datetime.fromisoformat(saved[1])

@@ -226,7 +226,7 @@ def as_documents(parts):
         "feed_id",
         "snapshot_seq",
         F.lit("2024-02-01").cast("timestamp").alias("snapshot_ts"),
-        F.col("part").cast("int").alias("part"),
+        F.col("part").cast("bigint").alias("part"),
         "parts",
         F.octet_length(content).cast("bigint").alias("length"),
         content.alias("content"),
@@ -384,7 +384,7 @@ def decoded_gate(spark, sf_dir):
     parts = e.select(
         F.col("event_type").alias("feed_id"),
         F.lit(1).cast("bigint").alias("snapshot_seq"),
-        F.col("event_id").cast("int").alias("part"),
+        F.col("event_id").alias("part"),
         F.lit(1).alias("parts"),
         block.alias("text"),
     )

@@ -106,7 +106,7 @@ def fingerprints(spark, sf_dir):
     SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+/[^?#]*)', 1) AS plain,
            CASE WHEN url LIKE 'https:%' THEN regexp_extract(url, '^(https://[^/?#]+)', 1) || '/'
                 ELSE regexp_extract(url, '^(http://[^/?#]+)', 1) || ':443/' END AS with_port,
-           '(unparseable ICS_URL)' AS broken
+           '(no readable address)' AS broken
     FROM pages
     """,
 )

@@ -593,7 +593,7 @@ def _log(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("recent_top_n", f"WITH {_LOG} SELECT * FROM log {_NEWEST} LIMIT 1000")
+@query("recent_top_n", f"WITH {_LOG} SELECT * FROM log {_NEWEST} LIMIT 5000")
 def recent_top_n(spark, sf_dir):
     return recent(_log(spark, sf_dir), 5000)
 

@@ -144,7 +144,9 @@ def response_scan(spark, sf_dir):
     key = F.col("event_id").cast("string")
     reply = F.concat(
         F.lit('{"responses":[{"id":"op-'), key,
-        F.lit('","status":201,"body":{"id":"x"}},{"id":5,"status":200},{"id":"y","status":"200"},"z",'),
+        F.lit('","status":500},{"id":"huge","status":1e12},{"id":5,"status":200},{"id":"y","status":"200"},"z",{"id":"op-'),
+        key,
+        F.lit('","status":201,"body":{"id":"x"}},'),
         F.lit('{"id":"throttled","status":429,"body":null,"headers":{"Retry-After":"'),
         F.col("user_id").cast("string"), F.lit('"}}]}'),
     )
@@ -280,12 +282,15 @@ def _raw_feeds(spark, sf_dir):
             "default_duration_minutes"
         ),
         F.when(nat == 3, "Mars/Olympus").when(nat == 4, "europe/oslo").otherwise("").alias("display_tz"),
-        F.when((bal >= 2000) & (bal < 4000), "1.5").otherwise("0x1E").alias("state_retention_days"),
+        F.when((bal >= 2000) & (bal < 4000), "1.5")
+        .when(bal >= 6000, "3000000000")
+        .otherwise("0x1E")
+        .alias("state_retention_days"),
         F.when(bal >= 9000, "0").otherwise("").alias("recent_limit"),
     )
 
 
-_NUMBER_RULE = " must be a positive whole number"
+_NUMBER_RULE = ": a whole number above zero is needed"
 
 
 @query(
@@ -293,13 +298,13 @@ _NUMBER_RULE = " must be a positive whole number"
     f"""
     WITH {_FEEDS}
     SELECT c_custkey, array_to_string(list_filter([
-      CASE WHEN bal < 0 THEN 'ics_url is required but missing or empty' END,
-      CASE WHEN bal >= 0 AND bal < 1000 THEN 'ics_url is not a valid URL' END,
-      CASE WHEN bal >= 1000 AND bal < 2000 THEN 'ics_url must use https' END,
-      CASE WHEN nat = 0 THEN 'target_upn is required but missing or empty' END,
-      CASE WHEN nat IN (1, 2) THEN 'target_upn does not look like user@domain.tld' END,
-      CASE WHEN nat = 3 THEN 'display_tz is not a recognised zone' END,
-      CASE WHEN seg = 'BUILDING' THEN 'feed_id must be 1-64 characters of [a-z0-9_-] and start alphanumeric' END,
+      CASE WHEN bal < 0 THEN 'ics_url: no feed address is given' END,
+      CASE WHEN bal >= 0 AND bal < 1000 THEN 'ics_url: this is no absolute address' END,
+      CASE WHEN bal >= 1000 AND bal < 2000 THEN 'ics_url: the scheme has to be https' END,
+      CASE WHEN nat = 0 THEN 'target_upn: no calendar owner is given' END,
+      CASE WHEN nat IN (1, 2) THEN 'target_upn: the owner has to be a mail address' END,
+      CASE WHEN nat = 3 THEN 'display_tz: no time zone has this name' END,
+      CASE WHEN seg = 'BUILDING' THEN 'feed_id: up to 64 small letters, digits, - and _ are allowed, a letter or digit first' END,
       CASE WHEN bal >= 8000 THEN 'default_duration_minutes{_NUMBER_RULE}' END,
       CASE WHEN odd THEN 'state_retention_days{_NUMBER_RULE}' END,
       CASE WHEN bal >= 9000 THEN 'recent_limit{_NUMBER_RULE}' END], lambda x: x IS NOT NULL), '; ') AS problems
@@ -320,7 +325,7 @@ def problems_of_registry(spark, sf_dir):
            'Customer-' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '@example.org' AS target_upn,
            CASE WHEN nat < 12 THEN 'TV' ELSE 'Shows' END AS calendar_name, 'TV' AS event_category,
            45 AS default_duration_minutes, CASE WHEN nat = 4 THEN 'Europe/Oslo' ELSE 'UTC' END AS display_tz,
-           30 AS state_retention_days, 100 AS recent_limit
+           CASE WHEN bal >= 6000 THEN 3000000000 ELSE 30 END AS state_retention_days, 100 AS recent_limit
     FROM r WHERE bal >= 4000 AND bal < 8000 AND nat > 3 AND seg <> 'BUILDING'
     """,
 )

@@ -169,7 +169,7 @@ def test_folding_and_escapes(spark):
     start = "DTSTART:20260701T120000Z"
     text = calendar(
         event("UID:1", start, "SUMMARY:One", "\tTwo"),
-        event("UID:2", start, "SUMMARY:A\\, b\; c\\\\d \\x \\N", "DESCRIPTION:first\\nsecond \\\\n"),
+        event("UID:2", start, "SUMMARY:A\\, b\\; c\\\\d \\x \\N", "DESCRIPTION:first\\nsecond \\\\n"),
         event("UID:3", start, "SUMMARY:tail\\"),
         event("UID:4", start, "SUMMARY:  　padded﻿ "),
         event("UID:5", start, "SUMMARY:", "DESCRIPTION:  ", "URL:"),

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from snapfold import schemas
 from snapfold.operators.fold import feed_status
 from snapfold.plans.run import Store, commits, current_state, read_feed_state, recent_additions, run
+from snapfold.sources.recent import write_recent
 from snapfold.sources.snapshots import read_snapshots
-from snapfold.streaming.landing import start_stream
+from snapfold.streaming.landing import _run_of, start_stream
 
 NOW = dt.datetime(2026, 7, 27, 12)
 
@@ -257,3 +258,50 @@ def test_stream_runs_once_per_batch_and_takes_the_newest(spark, folder):
     h.land(ics(SHOWS[0]))
     turn()
     assert sizes == [2, 1] and len(h.state()) == 3
+
+
+def turns_of(spark, h, clocks, checkpoint="stream"):
+    """Run the stream once, recording the times that runs are given."""
+
+    def clock():
+        clocks.append(NOW + dt.timedelta(days=len(clocks)))
+        return clocks[-1]
+
+    start_stream(spark, h.store, h.landing, lambda: (h.feeds, h.targets), answer, clock).awaitTermination()
+
+
+def test_parts_of_a_snapshot_may_land_in_two_batches(spark, folder):
+    h, clocks = Harness(spark, folder), []
+    h.land(ics(*SHOWS[:2]), part="part-0-of-2")
+    turns_of(spark, h, clocks)
+    assert not h.state()
+    h.seq -= 1
+    h.land(ics(SHOWS[2]), part="part-1-of-2")
+    turns_of(spark, h, clocks)
+    assert set(h.state()) == {"ep-1", "ep-2", "ep-3"}
+
+
+def test_a_new_checkpoint_goes_on_with_new_runs(spark, folder):
+    h, clocks = Harness(spark, folder), []
+    h.land(ics(*SHOWS[:2]))
+    turns_of(spark, h, clocks)
+    before = commits(spark, h.store)[0].run_seq
+    os.rename(h.store.folder("stream"), h.store.folder("stream-before"))
+    h.land(ics(*SHOWS))
+    turns_of(spark, h, clocks)
+    assert len(h.state()) == 3 and commits(spark, h.store)[0].run_seq > before
+
+
+def test_a_repeated_batch_keeps_its_number_and_clock(spark, folder):
+    store = Store(folder + "/store")
+    first = _run_of(spark, store, "s/0", lambda: NOW)
+    assert first == (0, NOW) == _run_of(spark, store, "s/0", lambda: NOW + dt.timedelta(days=9))
+
+
+def test_recent_additions_of_uncommitted_runs_do_not_show(spark, folder):
+    h = Harness(spark, folder)
+    h.land(ics(*SHOWS[:1]))
+    h.go()
+    row = spark.read.parquet(h.store.folder("recent")).drop("run_seq")
+    write_recent(row, h.store.folder("recent"), 99)
+    assert [r.run_seq for r in recent_additions(spark, h.store, 5000).collect()] == [commits(spark, h.store)[0].run_seq]
