@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,27 +49,49 @@ def suffixes(words: np.ndarray, min_words: int = MIN_WORDS, seed: int = SEED) ->
     return chosen[begins], begins, ends, seeds, passages
 
 
-ROWS = "key bigint, doc bigint, start int, shift int, passages array<int>"
+ROWS = "key bigint, doc bigint, shift int, starts array<int>, passages array<int>"
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def alike(key: np.ndarray, begins: np.ndarray, ends: np.ndarray, shift: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """Number of each suffix's kind: the same seed and passages around it. A text that repeats itself has few kinds."""
+    place = np.arange(len(passages)) - np.repeat(begins, ends - begins)
+    marks = (passages + place.astype(np.uint64) * _MIX[0]) * _MIX[1]
+    marks = np.add.reduceat((marks ^ (marks >> np.uint64(29))) * _MIX[2], begins)
+    return np.unique(key * _MIX[0] + marks * _MIX[1] + shift.astype(np.uint64), return_inverse=True)[1].ravel()
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
 def _kept(docs: DataFrame, min_words: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, docs_of = Words(batch.column(1), plain=True), batch.column(0).to_numpy(zero_copy_only=False)
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
             for i in range(batch.num_rows):
                 at, begins, ends, seeds, passages = suffixes(words.of(i), min_words, seed)
-                if len(at):
-                    row = (seeds[at].view(np.int64), np.full(len(at), docs_of[i]), begins, at - begins, ends - begins, passages)
-                    for p, x in zip(parts, row, strict=True):
-                        p.append(x)
+                if not len(at):
+                    continue
+                key, shift = seeds[at], at - begins
+                kind = alike(key, begins, ends, shift, passages)
+                # one row for each kind, with all places where it stands
+                order = np.argsort(kind, kind="stable")
+                counts = np.bincount(kind)
+                kept = order[np.cumsum(counts) - counts]
+                n = (ends - begins)[kept]
+                taken = np.arange(n.sum()) + np.repeat(begins[kept] - (np.cumsum(n) - n), n)
+                row = (key[kept].view(np.int64), np.full(len(kept), docs_of[i]), shift[kept], counts, begins[order], n, passages[taken])
+                for p, x in zip(parts, row, strict=True):
+                    p.append(x)
             if not parts[0]:
                 continue
-            key, doc, begin, shift, n, passages = (np.concatenate(p) for p in parts)
+            key, doc, shift, counts, starts, n, passages = (np.concatenate(p) for p in parts)
             # the upper half of a passage's hash; the seed's hash comes on top of it
-            values = pa.array((passages >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
-            cols = [pa.array(key), pa.array(doc), pa.array(begin.astype(np.int32)), pa.array(shift.astype(np.int32)), lists]
+            values = (passages >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            cols = [pa.array(key), pa.array(doc), pa.array(shift.astype(np.int32)), _lists(counts, starts), _lists(n, values)]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in ROWS.split(", ")])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), whole().alias("text"))
@@ -81,16 +104,20 @@ def _repeats(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, begins, ends in sorted_groups(batches, "key"):
             sizes = ends - begins
-            many = np.repeat(sizes > 1, sizes)
+            places = pc.list_value_length(rows.column("starts").chunk(0)).to_numpy()
+            many = np.repeat(np.add.reduceat(places, begins) > 1, sizes)
             if not many.any():
                 continue
-            group = np.repeat(np.arange(len(begins)), sizes)[many]
             some = rows.filter(pa.array(many)).combine_chunks()
-            doc, start, shift = (some.column(c).to_numpy() for c in ("doc", "start", "shift"))
-            lists = some.column("passages").chunk(0)
-            n = np.diff(lists.offsets.to_numpy())
-            value, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            starts, lists = some.column("starts").chunk(0), some.column("passages").chunk(0)
+            n, begin = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
+            # one entry for each place of a suffix, then one for each passage around it
+            held = np.repeat(np.arange(len(n)), places[many])
+            group, shift, doc = (x[held] for x in (np.repeat(np.arange(len(begins)), sizes)[many], some.column("shift").to_numpy(), some.column("doc").to_numpy()))
+            start, n, begin = starts.flatten().to_numpy(), n[held], begin[held]
+            row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)  # of the passage among its suffix's
+            value = lists.flatten().to_numpy()[begin[row] + place]
             at, side = start[row] + place, shift[row] - place
             order = np.lexsort((at, doc[row], value, side, group[row]))
             g, s, v, d, a = group[row][order], side[order], value[order], doc[row][order], at[order]
