@@ -110,7 +110,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     each = classes.select("place", *COPY, F.size("keys").alias("n_lines"), F.posexplode(F.arrays_zip("keys", "sizes")).alias("line", "x"))
     each = each.select("place", *COPY, "n_lines", "line", F.col("x.keys").alias("key"), F.col("x.sizes").alias("size")).where("key <> 0")
     first = each.groupBy("key", "size").agg(F.min(F.struct("place", *COPY, "line")).alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").drop("n")
+    # written, so that the join below shuffles its two sides by itself and Spark can split a very frequent line
+    first = cut(first.where("n > 1").drop("n"))
     shared = each.join(first, ["key", "size"]).where("h1 <> first.h1 or h2 <> first.h2")
     shared = shared.select(
         *COPY, "n_lines", "line", "size", F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2"), F.col("first.line").alias("other")
