@@ -138,7 +138,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     aligned = shared.repartition(n, *COPY).sortWithinPartitions(*COPY).mapInArrow(align, "h1 bigint, h2 bigint, gone array<boolean>")
-    per_class = classes.select(*COPY, "place").join(aligned, COPY, "left")
+    # written for the same reason: many copies share the key of the next join
+    per_class = cut(classes.select(*COPY, "place").join(aligned, COPY, "left"))
     rows = texts.select("doc_id", *COPY, F.size("keys").alias("n_lines")).distinct()
     copy = place > F.col("place")
     joined = rows.join(per_class, COPY).where(copy | F.col("gone").isNotNull())
