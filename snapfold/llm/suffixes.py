@@ -5,6 +5,9 @@ passage of MIN_WORDS words holds. Equal passages choose the same position, so so
 them next to each other. Around a seed both sides are extended to each of the passages that chose it; these are sorted
 within the seed, and equal neighbours are the same passage. All passages but the first are reported, joined to the longest
 stretches; a match of more words is made of passages that all match, so nothing of it is missed.
+
+A seed that very many suffixes share is no group of one task: its suffixes are dealt out by document, and their passages
+become rows, which are aggregated to the first of each before they are shuffled and then joined with it.
 """
 
 from __future__ import annotations
@@ -17,10 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapfold.llm.common import Words, prepare, sorted_groups, whole, windows
+from snapfold.llm.common import Words, cut, prepare, sorted_groups, whole, windows
 
 #: Words of the shortest repeat that is reported, and of a seed.
 MIN_WORDS, SEED = 50, 30
+#: A seed of more suffixes is dealt out by passages; of such seeds the most frequent ones, so many that their list can be sent
+#: to every task (8 bytes each). A seed beyond them has less than this part of all suffixes and stays a group.
+HOT_SUFFIXES, HOT_SEEDS = 16_384, 500_000
 #: Stands for a doc_id that is missing while documents are ordered.
 NO_ID = (1 << 63) - 1
 
@@ -49,7 +55,9 @@ def suffixes(words: np.ndarray, min_words: int = MIN_WORDS, seed: int = SEED) ->
     return chosen[begins], begins, ends, seeds, passages
 
 
-ROWS = "key bigint, doc bigint, shift int, starts array<int>, passages array<int>"
+ROWS = "key bigint, salt bigint, doc bigint, shift int, starts array<int>, passages array<int>"
+#: A stretch that is not the first, with the first; or, of a hot seed, a passage: its key, side and value, and where it begins.
+FOUND = "doc bigint, start bigint, end bigint, first_doc bigint, first_start bigint, key bigint, side int, value int"
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -66,11 +74,43 @@ def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
-def _kept(docs: DataFrame, min_words: int, seed: int) -> DataFrame:
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), whole().alias("text"))
+
+
+def _is_hot(key: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which seeds are in the sorted list."""
+    if not len(hot):
+        return np.zeros(len(key), bool)
+    return hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+
+
+def _hot_seeds(docs: DataFrame, min_words: int, seed: int, least: int, most: int = HOT_SEEDS) -> np.ndarray:
+    """Sorted seeds of more than ``least`` suffixes, the ``most`` most frequent ones; counted within batches first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = Words(batch.column(1), plain=True)
+            keys = []
+            for i in range(batch.num_rows):
+                seeds = windows(words.of(i), seed)
+                keys.append(seeds[np.unique(minimisers(seeds, min_words - seed + 1))])
+            if keys:
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    counts = _numbered(docs).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") > least).orderBy(F.desc("n"), "key").limit(most).toArrow()
+    return np.sort(found.column("key").to_numpy().view(np.uint64))
+
+
+def _kept(docs: DataFrame, min_words: int, seed: int, hot) -> DataFrame:
+    """Kept suffixes; salt is 0 but for the seeds of the list ``hot`` (a broadcast of it), whose suffixes it spreads."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, docs_of = Words(batch.column(1), plain=True), batch.column(0).to_numpy(zero_copy_only=False)
-            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(8)]
             for i in range(batch.num_rows):
                 at, begins, ends, seeds, passages = suffixes(words.of(i), min_words, seed)
                 if not len(at):
@@ -83,44 +123,60 @@ def _kept(docs: DataFrame, min_words: int, seed: int) -> DataFrame:
                 kept = order[np.cumsum(counts) - counts]
                 n = (ends - begins)[kept]
                 taken = np.arange(n.sum()) + np.repeat(begins[kept] - (np.cumsum(n) - n), n)
-                row = (key[kept].view(np.int64), np.full(len(kept), docs_of[i]), shift[kept], counts, begins[order], n, passages[taken])
+                salt = np.where(_is_hot(key[kept], hot.value), passages[begins[kept]] ^ (docs_of[i : i + 1].view(np.uint64) * _MIX[0]), np.uint64(0))
+                row = (key[kept].view(np.int64), salt.view(np.int64), np.full(len(kept), docs_of[i]), shift[kept], counts, begins[order], n, passages[taken])
                 for p, x in zip(parts, row, strict=True):
                     p.append(x)
             if not parts[0]:
                 continue
-            key, doc, shift, counts, starts, n, passages = (np.concatenate(p) for p in parts)
+            key, salt, doc, shift, counts, starts, n, passages = (np.concatenate(p) for p in parts)
             # the upper half of a passage's hash; the seed's hash comes on top of it
             values = (passages >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            cols = [pa.array(key), pa.array(doc), pa.array(shift.astype(np.int32)), _lists(counts, starts), _lists(n, values)]
+            cols = [pa.array(key), pa.array(salt), pa.array(doc), pa.array(shift.astype(np.int32)), _lists(counts, starts), _lists(n, values)]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in ROWS.split(", ")])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), whole().alias("text"))
-    return rows.mapInArrow(run, ROWS)
+    return _numbered(docs).mapInArrow(run, ROWS)
+
+
+def _spread(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """(row, side, value, doc, start) of every passage around every place of the suffixes."""
+    rows = rows.combine_chunks()
+    starts, lists = rows.column("starts").chunk(0), rows.column("passages").chunk(0)
+    places = pc.list_value_length(starts).to_numpy()
+    n, begin = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
+    # one entry for each place of a suffix, then one for each passage around it
+    held = np.repeat(np.arange(len(n)), places)
+    shift, doc, n, begin = (x[held] for x in (rows.column("shift").to_numpy(), rows.column("doc").to_numpy(), n, begin))
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)  # of the passage among its suffix's
+    return held[row], shift[row] - place, lists.flatten().to_numpy()[begin[row] + place], doc[row], starts.flatten().to_numpy()[row] + place
 
 
-def _repeats(min_words: int):
-    """From suffixes sorted by key: (doc, start, end, first_doc, first_start) of stretches that are not the first."""
+def _batch(doc, start, end=None, first_doc=None, first_start=None, key=None, side=None, value=None) -> pa.RecordBatch:
+    cols, names = (doc, start, end, first_doc, first_start, key, side, value), [x.split()[0] for x in FOUND.split(", ")]
+    kinds = [pa.int64()] * 6 + [pa.int32()] * 2
+    made = [pa.nulls(len(doc), k) if c is None else pa.array(c).cast(k) for c, k in zip(cols, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(made, names)
+
+
+def _repeats(min_words: int, hot):
+    """From suffixes sorted by key and salt: rows as in FOUND, passages where the key is in ``hot`` and stretches elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, begins, ends in sorted_groups(batches, "key"):
-            sizes = ends - begins
-            places = pc.list_value_length(rows.column("starts").chunk(0)).to_numpy()
-            many = np.repeat(np.add.reduceat(places, begins) > 1, sizes)
+        for rows, begins, ends in sorted_groups(batches, "key", "salt"):
+            key, sizes = rows.column("key").to_numpy(), ends - begins
+            spread = _is_hot(key.view(np.uint64), hot.value)
+            if spread.any():
+                row, side, value, doc, start = _spread(rows.filter(pa.array(spread)))
+                yield _batch(doc, start, key=key[spread][row], side=side, value=value)
+            places = pc.list_value_length(rows.column("starts").combine_chunks()).to_numpy()
+            many = np.repeat(np.add.reduceat(places, begins) > 1, sizes) & ~spread
             if not many.any():
                 continue
-            some = rows.filter(pa.array(many)).combine_chunks()
-            starts, lists = some.column("starts").chunk(0), some.column("passages").chunk(0)
-            n, begin = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
-            # one entry for each place of a suffix, then one for each passage around it
-            held = np.repeat(np.arange(len(n)), places[many])
-            group, shift, doc = (x[held] for x in (np.repeat(np.arange(len(begins)), sizes)[many], some.column("shift").to_numpy(), some.column("doc").to_numpy()))
-            start, n, begin = starts.flatten().to_numpy(), n[held], begin[held]
-            row = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)  # of the passage among its suffix's
-            value = lists.flatten().to_numpy()[begin[row] + place]
-            at, side = start[row] + place, shift[row] - place
-            order = np.lexsort((at, doc[row], value, side, group[row]))
-            g, s, v, d, a = group[row][order], side[order], value[order], doc[row][order], at[order]
+            row, s, v, d, a = _spread(rows.filter(pa.array(many)))
+            g = np.repeat(np.arange(len(begins)), sizes)[many][row]
+            order = np.lexsort((a, d, v, s, g))
+            g, s, v, d, a = (x[order] for x in (g, s, v, d, a))
             new = np.ones(len(order), bool)
             new[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (v[1:] != v[:-1])
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -134,26 +190,40 @@ def _repeats(min_words: int):
             step[1:] = (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)
             lo = np.flatnonzero(step)
             hi = np.append(lo[1:], len(d)) - 1
-            cols = [d[lo], a[lo].astype(np.int64), a[hi].astype(np.int64) + min_words, e[lo], b[lo].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc", "start", "end", "first_doc", "first_start"])
+            yield _batch(d[lo], a[lo], a[hi].astype(np.int64) + min_words, e[lo], b[lo])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> DataFrame:
+def _against_first(passages: DataFrame, min_words: int) -> DataFrame:
+    """Passages of hot seeds that are not the first of their kind, each a stretch of its own."""
+    same = ["key", "side", "value"]
+    first = passages.groupBy(*same).agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
+    # written, so that the join shuffles its two sides by itself and Spark can split a very frequent passage
+    first = cut(first.where("n > 1").drop("n"))
+    again = passages.select("doc", "start", *same).join(first, same).where("doc <> first.doc or start <> first.start")
+    return again.select(
+        "doc", "start", (F.col("start") + min_words).alias("end"), F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start")
+    )
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, hot_suffixes: int = HOT_SUFFIXES) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_ids): stretches of ``docs`` that also occur earlier, in words of the text.
 
     Words are runs of anything but ASCII white space, compared as they are. A stretch has ``min_words`` words or more, each
     run of that many of which occurs earlier: in a document with a smaller doc_id or further ahead in the same one;
     first_doc_ids lists, in order, the documents where these runs occur first. Null texts are empty and shorter texts have no
     stretch; rows without a doc_id come last and are one document, as rows with equal ids are. Columns beyond doc_id and text
-    are not read, and no rows give no rows.
+    are not read, and no rows give no rows. Seeds of more than ``hot_suffixes`` suffixes are dealt out by passages, with the
+    same result.
     """
-    prepare(docs.sparkSession)
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kept = _kept(docs, min_words, seed).repartition(n, "key").sortWithinPartitions("key")
-    schema = "doc bigint, start bigint, end bigint, first_doc bigint, first_start bigint"
-    found = kept.mapInArrow(_repeats(min_words), schema)
+    spark = prepare(docs.sparkSession)
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = spark.sparkContext.broadcast(_hot_seeds(docs, min_words, seed, hot_suffixes))
+    kept = _kept(docs, min_words, seed, hot).repartition(n, "key", "salt").sortWithinPartitions("key", "salt")
+    found = cut(kept.mapInArrow(_repeats(min_words, hot), FOUND))
+    stretches = found.where("key is null").select("doc", "start", "end", "first_doc", "first_start")
+    found = stretches.unionByName(_against_first(found.where("key is not null"), min_words))
     order = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))

@@ -283,3 +283,18 @@ def test_passage_rows(spark):
     rows = repeated_passages(awkward(spark)).collect()
     assert {r.doc_id for r in rows} == {5, 6} and all(r.first_doc_ids == [5] for r in rows)
     assert repeated_passages(empty(spark)).count() == 0
+
+
+def test_frequent_seeds_dealt_out_by_passages_change_nothing(spark):
+    shared = texts(1, 3, (120, 121))[0]
+    made = [f"{x} {shared} {y}" for x, y in zip(texts(40, 13), texts(40, 14), strict=True)] + ["a b " * 90]
+    docs = frame(spark, made)
+
+    def rows(hot):
+        return sorted((r.doc_id, r.start_word, r.end_word, r.first_doc_ids) for r in repeated_passages(docs, hot_suffixes=hot).collect())
+
+    want = rows(1 << 40)
+    assert len({d for d, *_ in want}) >= 40
+    assert rows(0) == rows(1) == rows(20) == want
+    assert sorted(map(str, repeated_passages(awkward(spark), hot_suffixes=0).collect())) == sorted(map(str, repeated_passages(awkward(spark)).collect()))
+    assert repeated_passages(empty(spark), hot_suffixes=0).count() == 0
