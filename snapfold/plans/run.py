@@ -29,15 +29,22 @@ from snapfold.operators.fold import (
     run_alerts,
     summarise,
 )
-from snapfold.operators.reconcile import APPLY_FAILED, CHANGES, TARGET_FAILED, gate, reconcile
+from snapfold.operators.reconcile import (
+    APPLY_FAILED,
+    CHANGES,
+    FETCH_FAILED,
+    TARGET_FAILED,
+    gate,
+    reconcile,
+)
 from snapfold.operators.settle import operation_results, settle
 from snapfold.operators.spread import attach, fits_broadcast
 from snapfold.operators.targets import resolve_targets
 from snapfold.session import configure, require_utc
 from snapfold.sources.batchlog import write_outbox
-from snapfold.sources.recent import recent, write_recent
+from snapfold.sources.recent import recent, recent_by_feed, write_recent
 from snapfold.sources.snapshots import MAX_DOCUMENT_BYTES, admit, newest_per_feed, polls
-from snapfold.sources.state import STATE_VERSION, read_state, register_keyed, write_keyed
+from snapfold.sources.state import STATE_VERSION, read_state, register_keyed, revive_state, write_keyed
 
 log = logging.getLogger(__name__)
 
@@ -118,11 +125,13 @@ def prepare(
     feeds: DataFrame,
     targets: DataFrame,
     max_bytes: int = MAX_DOCUMENT_BYTES,
+    silent: DataFrame | None = None,
 ) -> DataFrame:
     """Decode, gate, reconcile and write the outbox of a run; returns the outbox.
 
     ``documents`` is keyed as in ``sources.snapshots``, ``feeds`` is the checked registry, ``targets`` the
-    calendar catalogue; documents of more than ``max_bytes`` are not read.
+    calendar catalogue; documents of more than ``max_bytes`` are not read. Feeds in ``silent`` (feed_id, see
+    ``sources.snapshots.silent_feeds``) that have no snapshot in this run are reported as failed fetches.
     """
     require_utc(configure(spark))
     last = previous(spark, store, run_seq)
@@ -138,6 +147,10 @@ def prepare(
     gated = gate(polls(current), admit(current, max_bytes), decoded).join(resolved, "feed_id", "left")
     no_target = F.when(F.col("calendar_id").isNull(), TARGET_FAILED)
     gated = gated.withColumn("aborted", F.coalesce("aborted", no_target))
+    if silent is not None:
+        quiet = silent.select("feed_id").distinct().join(polls(current), "feed_id", "left_anti")
+        quiet = quiet.withColumn("aborted", F.lit(FETCH_FAILED))
+        gated = gated.unionByName(quiet, allowMissingColumns=True)
     gated = _saved(gated, store, "gate", run_seq)
 
     runs = (
@@ -225,11 +238,41 @@ def finish(
 
     summary = summary.withColumn("run_seq", F.lit(run_seq).cast("bigint"))
     summary = _saved(run_alerts(summary), store, "summary", run_seq)
-    record = spark.createDataFrame([(run_seq, state_run_seq, feed_state_run_seq, buckets)], COMMIT)
-    record.coalesce(1).write.mode("overwrite").json(store.of_run("commits", run_seq))
+    _commit(spark, store, run_seq, state_run_seq, feed_state_run_seq, buckets)
     return summary
 
 
+def _commit(spark: SparkSession, store: Store, run_seq: int, *state_of) -> None:
+    record = spark.createDataFrame([(run_seq, *state_of)], COMMIT)
+    record.coalesce(1).write.mode("overwrite").json(store.of_run("commits", run_seq))
+
+
+def adopt(spark: SparkSession, store: Store, blobs: DataFrame, run_seq: int = 0) -> DataFrame:
+    """Begin a store with stored JSON states (feed_id, json), so that a first run re-creates nothing.
+
+    Returns (feed_id, was_reset, dropped): whether a feed's text was unusable as a whole, and its broken
+    entries. A store that has a commit is left alone, as its own state is newer.
+    """
+    require_utc(configure(spark))
+    if newest_commit(spark, store):
+        raise ValueError(f"{store.root} has state already")
+    state, headers, dropped = revive_state(blobs)
+    fields = [x.split()[0] for x in schemas.STATE.split(", ")]
+    write_keyed(spark, state.select(*fields), store.folder("state"), run_seq, store.buckets)
+    header = headers.select(
+        "feed_id",
+        "version",
+        "calendar_id",
+        "last_sync_at",
+        F.lit(None).cast("bigint").alias("applied_snapshot_seq"),
+        F.lit(run_seq).cast("bigint").alias("run_seq"),
+    )
+    _saved(header, store, "feed_state", run_seq)
+    _commit(spark, store, run_seq, run_seq, run_seq, store.buckets)
+    counted = headers.select("feed_id", "was_reset").join(dropped, "feed_id", "left")
+    return counted.withColumn("dropped", F.coalesce("dropped", F.lit(0).cast("bigint")))
+
+
 def _moment(now: dt.datetime) -> Column:
     return F.lit(now).cast("timestamp")
 
@@ -244,11 +287,12 @@ def run(
     targets: DataFrame,
     applier: Applier,
     max_bytes: int = MAX_DOCUMENT_BYTES,
+    silent: DataFrame | None = None,
 ) -> DataFrame:
     """Prepare, apply and finish one run. A run that is already committed is left alone."""
     if newest_commit(spark, store, f"run_seq = {run_seq}"):
         return spark.read.parquet(store.of_run("summary", run_seq))
-    requests = prepare(spark, store, run_seq, now, documents, feeds, targets, max_bytes)
+    requests = prepare(spark, store, run_seq, now, documents, feeds, targets, max_bytes, silent)
     responses: DataFrame | None = spark.createDataFrame([], schemas.RESPONSES)
     if not requests.isEmpty():
         try:
@@ -264,21 +308,35 @@ def current_state(spark: SparkSession, store: Store) -> DataFrame:
     return _state_of(spark, store, newest_commit(spark, store))
 
 
-def recent_additions(spark: SparkSession, store: Store, limit: int) -> DataFrame:
-    """The newest additions of committed runs, read from no more runs than can fill the view."""
+def _recent_log(spark: SparkSession, store: Store) -> tuple[DataFrame, DataFrame] | None:
+    """The log of recent additions, and the runs that are committed."""
+    committed = _commit_log(spark, store)
     try:
-        summary = spark.read.schema(schemas.RUN_SUMMARY).parquet(store.folder("summary"))
         log = spark.read.schema(schemas.RECENT).parquet(store.folder("recent"))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
+        return None
+    return None if committed is None else (log, committed.select("run_seq").distinct())
+
+
+def recent_additions(spark: SparkSession, store: Store, limit: int) -> DataFrame:
+    """The newest additions of committed runs, read from no more runs than can fill the view."""
+    found = _recent_log(spark, store)
+    if found is None:
         return spark.createDataFrame([], schemas.RECENT)
-    # A run that added anything adds at least one entry, so this many of them are enough.
-    committed = _commit_log(spark, store)
-    if committed is None:
-        return spark.createDataFrame([], schemas.RECENT)
-    committed = committed.select("run_seq").distinct()
-    filled = summary.where(F.col("created") > 0).select("run_seq").distinct().join(committed, "run_seq")
+    log, committed = found
+    # A run in the log has at least one entry, so this many runs are enough; only the folder column is read.
+    filled = log.select("run_seq").distinct().join(committed, "run_seq")
     newest = filled.orderBy(F.desc("run_seq")).limit(max(limit, 1))
     oldest = newest.agg(F.min("run_seq")).first()[0]
     return recent(log.where(F.col("run_seq") >= F.lit(oldest)).join(committed, "run_seq", "left_semi"), limit)
+
+
+def feed_additions(spark: SparkSession, store: Store, feeds: DataFrame) -> DataFrame:
+    """The newest additions of committed runs per registered feed, as many as its ``recent_limit``."""
+    found = _recent_log(spark, store)
+    if found is None:
+        return spark.createDataFrame([], schemas.RECENT)
+    log, committed = found
+    return recent_by_feed(log.join(committed, "run_seq", "left_semi"), feeds).select(*log.columns)

@@ -14,6 +14,9 @@ from snapfold.functions.jsons import is_object_text, members, number_at, parse,
 DEFAULT_PAGE = 100
 RECENT_VERSION = 1
 
+# Tasks that one feed's log is ranked in at first.
+SALTS = 32
+
 FIELDS = ("uid", "summary", "start", "addedAt", "eventId")
 
 
@@ -58,6 +61,19 @@ def recent(log: DataFrame, limit: int = DEFAULT_PAGE) -> DataFrame:
     return log.orderBy(*newest_first()).limit(max(limit, 1))
 
 
+def recent_by_feed(log: DataFrame, feeds: DataFrame) -> DataFrame:
+    """The newest ``recent_limit`` entries (one at least) of each registered feed.
+
+    Ranked in salted parts of a feed first, so that no task gets the whole log of a large feed.
+    """
+    limits = feeds.select("feed_id", F.greatest("recent_limit", F.lit(1)).alias("__limit"))
+    rows = log.join(limits, "feed_id").withColumn("__salt", F.pmod(F.xxhash64("run_seq", "uid"), F.lit(SALTS)))
+    for keys in (["feed_id", "__salt"], ["feed_id"]):
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(*newest_first()))
+        rows = rows.withColumn("__place", place).where("__place <= __limit")
+    return rows.select(*log.columns)
+
+
 def page_size(requested: str | None, configured: int = DEFAULT_PAGE) -> int:
     """Entries of a page: the configured number if none is asked for, 100 for a request that is not a
     positive number."""

@@ -7,13 +7,19 @@ be landed as a line break to be reported as an empty feed.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snapfold.operators.spread import KEY_ROWS, attach, fits_broadcast
 
 # Fixed value: largest document that is read.
 MAX_DOCUMENT_BYTES = 8 * 1024 * 1024
+# A written part ends with the event that brings it over so many bytes, and stays below the ceiling
+# unless a single event has half of it.
+PART_BYTES = MAX_DOCUMENT_BYTES // 2
 
 _PART = r"/part-(\d+)-of-(\d+)\.ics$"
 # The columns of Spark's binaryFile source and those of the folders, with their types fixed.
@@ -62,6 +68,16 @@ def polls(documents: DataFrame) -> DataFrame:
     )
 
 
+def silent_feeds(
+    documents: DataFrame, feeds: DataFrame, now: dt.datetime, max_age: dt.timedelta
+) -> DataFrame:
+    """(feed_id) of the registered feeds that landed nothing since ``now - max_age``, or nothing ever."""
+    newest = documents.groupBy("feed_id").agg(F.max("snapshot_ts").alias("newest"))
+    oldest = F.lit(now - max_age).cast("timestamp")
+    landed = feeds.select("feed_id").join(newest, "feed_id", "left")
+    return landed.where(F.col("newest").isNull() | (F.col("newest") < oldest)).select("feed_id")
+
+
 def admit(documents: DataFrame, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
     """Documents within the size ceiling; the test is on the length, before any content is read."""
     return documents.where(F.col("length") <= max_bytes)
@@ -96,28 +112,41 @@ def newest_per_feed(documents: DataFrame, feed_state: DataFrame, feeds: DataFram
     return attach(documents, wanted, ("feed_id", "snapshot_seq"), "left_semi", ("part",), small)
 
 
-def ics_parts(events: DataFrame, per_part: int = 10_000) -> DataFrame:
+def ics_parts(events: DataFrame, per_part: int = 10_000, part_bytes: int = PART_BYTES) -> DataFrame:
     """Render events as documents: feed_id, snapshot_seq, part, parts, text.
 
-    The documents of a feed hold at most ``per_part`` events each, cut by ``feed_ord``, so a large feed
-    becomes many parts instead of one row that grows with it.
+    The events of a feed are cut by ``feed_ord`` into chunks of at most ``per_part``, and a chunk into as many
+    documents as its bytes ask for, so a large feed becomes many parts instead of one row that grows with it.
     """
     key = ["feed_id", "snapshot_seq"]
-    cut = events.withColumn("__cut", F.floor(F.col("feed_ord") / per_part))
-    texts = cut.groupBy(*key, "__cut").agg(
+    chunk = [*key, "__cut"]
+    texts = events.select(
+        *key,
+        F.floor(F.col("feed_ord") / per_part).alias("__cut"),
+        "feed_ord",
+        vevent_text().alias("text"),
+    )
+    before = W.partitionBy(*chunk).orderBy("feed_ord").rowsBetween(W.unboundedPreceding, -1)
+    running = F.coalesce(F.sum(F.octet_length("text") + 2).over(before), F.lit(0))
+    sized = texts.withColumn("__sub", F.floor(running / part_bytes))
+    bodies = sized.groupBy(*chunk, "__sub").agg(
         F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("feed_ord", vevent_text().alias("text")))),
-                lambda e: e.text,
-            ),
-            "\r\n",
+            F.transform(F.sort_array(F.collect_list(F.struct("feed_ord", "text"))), lambda e: e.text), "\r\n"
         ).alias("__body")
     )
-    # The number of parts comes from the keys alone, so that no text moves for it.
-    parts = cut.groupBy(*key).agg(F.countDistinct("__cut").alias("parts"))
-    return attach(texts, parts, tuple(key), spread_by=("__cut",)).select(
+    # Parts are numbered by a few rows per feed; no text moves for it. An event that is longer than a part
+    # leaves numbers out inside its chunk, so the numbers in use are ranked.
+    whole_feed = W.partitionBy(*key)
+    used = sized.select(*chunk, "__sub").distinct()
+    places = used.withColumns(
+        {
+            "part": F.row_number().over(whole_feed.orderBy("__cut", "__sub")).cast("bigint") - 1,
+            "parts": F.count(F.lit(1)).over(whole_feed),
+        }
+    )
+    return bodies.join(places, [*chunk, "__sub"]).select(
         *key,
-        F.col("__cut").alias("part"),
+        "part",
         "parts",
         F.concat(
             F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n"), "__body", F.lit("\r\nEND:VCALENDAR\r\n")

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from snapfold.plans.run import Applier, Store, newest_commit, run
 from snapfold.session import configure
-from snapfold.sources.snapshots import FILE_SCHEMA, named, read_snapshots
+from snapfold.sources.snapshots import FILE_SCHEMA, named, read_snapshots, silent_feeds
 
 
 def start_stream(
@@ -22,6 +22,7 @@ def start_stream(
     registry: Callable[[], tuple[DataFrame, DataFrame]],
     applier: Applier,
     clock: Callable[[], dt.datetime],
+    max_age: dt.timedelta | None = None,
 ) -> StreamingQuery:
     """Process what has landed since the last call, then stop; a scheduler calls it again.
 
@@ -30,6 +31,8 @@ def start_stream(
     that still lacks a part stays as it is until a later batch names it again. Before a run starts its number,
     the one after the newest commit, and its clock are saved under the stream's and the batch's id: a batch
     that Spark repeats is the same run at the same time, and a new stream checkpoint goes on with new numbers.
+    With ``max_age`` a run also reports the registered feeds that have landed nothing for so long; a call for
+    which nothing at all has landed makes no run.
     """
     configure(spark)
     files = (
@@ -44,7 +47,9 @@ def start_stream(
         run_seq, now = _run_of(spark, store, f"{stream}/{batch_id}", clock)
         feeds, targets = registry()
         touched = named(batch).select("feed_id", "snapshot_seq").distinct()
-        run(spark, store, run_seq, now, complete(read_snapshots(spark, landing), touched), feeds, targets, applier)
+        landed = read_snapshots(spark, landing)
+        silent = None if max_age is None else silent_feeds(landed, feeds, now, max_age)
+        run(spark, store, run_seq, now, complete(landed, touched), feeds, targets, applier, silent=silent)
 
     return (
         files.writeStream.foreachBatch(one_batch)

@@ -327,3 +327,21 @@ def test_random_texts_survive_the_round_trip(spark):
     assert [(r.uid, r.summary, r.description, r.url, r.is_all_day) for r in got] == [
         (u, s, d, w, a) for _, _, u, _, s, d, w, _, _, a, _ in rows
     ]
+
+
+def test_parts_are_cut_by_bytes(spark):
+    from snapfold.schemas import EVENTS
+    from snapfold.sources.snapshots import ics_parts
+
+    def row(feed, i, size):
+        return (feed, 1, f"u{i:03}", i, "x" * size, None, None, utc(2026, 7, 1), utc(2026, 7, 2), False, None)
+
+    rows = [row("f", i, 900) for i in range(100)] + [row("g", i, 5000 if i == 3 else 10) for i in range(0, 20, 2)]
+    rows.append(row("g", 3, 9000))
+    parts = ics_parts(spark.createDataFrame(rows, EVENTS), per_part=64, part_bytes=4000).collect()
+    for feed, n in (("f", 100), ("g", 11)):
+        own = sorted((r.part, r.parts, r.text) for r in parts if r.feed_id == feed)
+        assert [p for p, _, _ in own] == list(range(len(own))) and {k for _, k, _ in own} == {len(own)}
+        uids = [line for _, _, t in own for line in t.split("\r\n") if line.startswith("UID:")]
+        assert len(uids) == n and uids == sorted(uids)
+    assert max(len(r.text) for r in parts if r.feed_id == "f") < 5200

@@ -1,6 +1,7 @@
 """Whole runs over landed documents, with an applier that answers as a calendar service would."""
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -8,9 +9,18 @@ from pyspark.sql import functions as F
 
 from snapfold import schemas
 from snapfold.operators.fold import feed_status
-from snapfold.plans.run import Store, commits, current_state, read_feed_state, recent_additions, run
+from snapfold.plans.run import (
+    Store,
+    adopt,
+    commits,
+    current_state,
+    feed_additions,
+    read_feed_state,
+    recent_additions,
+    run,
+)
 from snapfold.sources.recent import write_recent
-from snapfold.sources.snapshots import read_snapshots
+from snapfold.sources.snapshots import read_snapshots, silent_feeds
 from snapfold.streaming.landing import _run_of, start_stream
 
 NOW = dt.datetime(2026, 7, 27, 12)
@@ -305,3 +315,57 @@ def test_recent_additions_of_uncommitted_runs_do_not_show(spark, folder):
     row = spark.read.parquet(h.store.folder("recent")).drop("run_seq")
     write_recent(row, h.store.folder("recent"), 99)
     assert [r.run_seq for r in recent_additions(spark, h.store, 5000).collect()] == [commits(spark, h.store)[0].run_seq]
+
+
+def test_a_feed_that_stopped_landing_is_reported(spark, folder):
+    h = Harness(spark, folder, ("f", "never", "old"))
+    h.land(ics(*SHOWS), feed="old")
+    h.go()
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) + dt.timedelta(days=2)
+    old = f"{h.landing}/feed_id=old/snapshot_seq=1/part-0-of-1.ics"
+    os.utime(old, (os.path.getmtime(old) - 86400 * 9,) * 2)
+    h.land(ics(*SHOWS))
+    landed = read_snapshots(spark, h.landing)
+    silent = silent_feeds(landed, h.feeds, now, dt.timedelta(days=5))
+    assert {r.feed_id for r in silent.collect()} == {"never", "old"}
+    rows = run(spark, h.store, 1, NOW, landed, h.feeds, h.targets, answer, silent=silent).collect()
+    assert {r.feed_id: (r.created, r.errors, r.aborted) for r in rows} == {
+        "f": (3, 0, None),
+        "never": (0, 1, "ics-fetch-failed"),
+        "old": (0, 1, "ics-fetch-failed"),
+    }
+    assert len(h.state("old")) == 3
+
+
+def test_stored_json_is_adopted_and_nothing_is_created_again(spark, folder):
+    h = Harness(spark, folder)
+    h.land(ics(*SHOWS))
+    h.go()
+    entries = {
+        u: {"eventId": r.event_id, "hash": r.hash, "start": r.start} for u, r in h.state().items()
+    }
+    text = json.dumps(
+        {"version": 1, "calendarId": "cal-1", "lastSyncAt": "2026-07-01T00:00:00.000Z", "events": {**entries, "x": {}}}
+    )
+    blobs = spark.createDataFrame([("f", text), ("g", "no json")], "feed_id string, json string")
+    h.store = Store(folder + "/second", buckets=4)
+    report = {r.feed_id: (r.was_reset, r.dropped) for r in adopt(spark, h.store, blobs).collect()}
+    assert report == {"f": (False, 1), "g": (True, 0)}
+    assert set(h.state()) == set(entries)
+    assert h.go() == {"f": (0, 0, 0, 3, 0, 0, None)} and h.sent == []
+    with pytest.raises(ValueError):
+        adopt(spark, h.store, blobs)
+
+
+def test_recent_limit_of_each_feed(spark, folder):
+    h = Harness(spark, folder, ("f", "g"))
+    for feed in ("f", "g"):
+        h.land(ics(*SHOWS), feed=feed)
+    h.go()
+    h.land(ics(*SHOWS, ("ep-4", "Fourth", "20260728T210000Z")))
+    h.go()
+    limits = F.when(F.col("feed_id") == "f", 2).otherwise(0).cast("bigint")
+    rows = feed_additions(spark, h.store, h.feeds.withColumn("recent_limit", limits)).collect()
+    assert sorted((r.feed_id, r.uid) for r in rows) == [("f", "ep-2"), ("f", "ep-4"), ("g", "ep-2")]
+    assert len(feed_additions(spark, h.store, h.feeds).collect()) == 7
+    assert feed_additions(spark, Store(folder + "/none"), h.feeds).collect() == []
