@@ -56,6 +56,13 @@ def settle(requests: DataFrame, responses: DataFrame, max_attempts: int = MAX_AT
     return match_responses(slim, settling_attempts(responses, max_attempts))
 
 
+def unmatched(requests: DataFrame, responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """(feed_id, unmatched): per requested feed the answers that end a request nobody made; each is an error."""
+    strange = settling_attempts(responses, max_attempts).join(requests.select(*REQUEST_KEY), REQUEST_KEY, "left_anti")
+    counted = strange.groupBy("feed_id").agg(F.count(F.lit(1)).alias("unmatched"))
+    return counted.join(requests.select("feed_id").distinct(), "feed_id", "left_semi")
+
+
 def operation_results(answers: DataFrame) -> DataFrame:
     """Settled answers as results; a successful create without an id is a failure with status 502."""
     status = F.col("status")

@@ -37,7 +37,7 @@ from snapfold.operators.reconcile import (
     gate,
     reconcile,
 )
-from snapfold.operators.settle import operation_results, settle
+from snapfold.operators.settle import operation_results, settle, unmatched
 from snapfold.operators.spread import attach, fits_broadcast
 from snapfold.operators.targets import resolve_targets
 from snapfold.session import configure, require_utc
@@ -234,7 +234,11 @@ def finish(
         counted = ["feed_id", "action", "outcome"]
         unchanged = actions.where(F.col("action") == "unchanged").withColumn("outcome", F.lit(None))
         rows = settled.select(*counted).unionByName(unchanged.select(*counted))
-        summary = summarise(rows).unionByName(aborted_summary(rejects))
+        # An answer to no request never gives a uid an id, but it shows in the summary.
+        errors = F.col("errors") + F.coalesce("unmatched", F.lit(0))
+        counts = summarise(rows).join(unmatched(requests, responses), "feed_id", "left")
+        counts = counts.withColumn("errors", errors).drop("unmatched")
+        summary = counts.unionByName(aborted_summary(rejects))
 
     summary = summary.withColumn("run_seq", F.lit(run_seq).cast("bigint"))
     summary = _saved(run_alerts(summary), store, "summary", run_seq)

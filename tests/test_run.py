@@ -369,3 +369,15 @@ def test_recent_limit_of_each_feed(spark, folder):
     assert sorted((r.feed_id, r.uid) for r in rows) == [("f", "ep-2"), ("f", "ep-4"), ("g", "ep-2")]
     assert len(feed_additions(spark, h.store, h.feeds).collect()) == 7
     assert feed_additions(spark, Store(folder + "/none"), h.feeds).collect() == []
+
+
+def test_an_answer_to_no_request_is_an_error(spark, folder):
+    h = Harness(spark, folder)
+    h.land(ics(*SHOWS))
+
+    def applier(requests):
+        made = answer(requests)
+        return made.unionByName(made.limit(1).withColumn("id", F.lit("nobody")))
+
+    assert h.go(applier=applier) == {"f": (3, 0, 0, 0, 0, 1, None)}
+    assert set(h.state()) == {"ep-1", "ep-2", "ep-3"}
