@@ -31,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go that an earlier document has in an aligned block; n_chars follows the text."""
-    return line_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    return line_dedup(docs.select(*COLUMNS), all_pairs=True).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

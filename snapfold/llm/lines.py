@@ -5,6 +5,10 @@ proposes as many pairs as it has holders and not their square; rare and frequent
 a pair can rest on a single line that only its two documents have. The lines of a pair are aligned as patience diff
 does: lines are made unique by numbering their repeats, the longest run that is in order in both documents is kept, and
 its unbroken blocks are deleted from the later document.
+
+With ``all_pairs`` the result is that of aligning every two documents that share a line, over all lines that they share.
+Lines that one partner deletes need no other, so partners are tried in rounds: in each, the first document among the
+holders that still keep a line stands for the others. What the rounds leave is aligned with every earlier holder.
 """
 
 from __future__ import annotations
@@ -16,13 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapfold.llm.common import cut, prepare, sorted_groups, whole
 
 #: A line of fewer characters only counts together with the lines around it, and a block of fewer stays.
 MIN_CHARS = 24
+#: Rounds in which one document stands for the holders of a line, before all that are left are tried.
+ROUNDS = 3
 #: Two hashes stand for a text.
 COPY = ["h1", "h2"]
 
@@ -95,20 +101,8 @@ def _texts(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, keys array<bigint>, sizes array<int>")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, h1, h2, n_lines, copy, gone): rows of ``docs`` that lose lines, gone tells for each line whether it goes.
-
-    copy is true where an earlier document has the same text: then gone is null and the whole text goes.
-    """
-    texts = cut(_texts(docs, min_chars))
-    place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    classes = cut(
-        texts.groupBy(*COPY).agg(
-            F.min(place).alias("place"), F.min_by("keys", place).alias("keys"), F.min_by("sizes", place).alias("sizes")
-        )
-    )
-    each = classes.select("place", *COPY, F.size("keys").alias("n_lines"), F.posexplode(F.arrays_zip("keys", "sizes")).alias("line", "x"))
-    each = each.select("place", *COPY, "n_lines", "line", F.col("x.keys").alias("key"), F.col("x.sizes").alias("size")).where("key <> 0")
+def _by_first(each: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, gone): what aligning every text with the first holders of its lines deletes, over those lines."""
     first = each.groupBy("key", "size").agg(F.min(F.struct("place", *COPY, "line")).alias("first"), F.count("*").alias("n"))
     # written, so that the join below shuffles its two sides by itself and Spark can split a very frequent line
     first = cut(first.where("n > 1").drop("n"))
@@ -136,8 +130,105 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 h1, h2 = np.array(keys).T
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(masks, pa.list_(pa.bool_()))], [*COPY, "gone"])
 
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    aligned = shared.repartition(n, *COPY).sortWithinPartitions(*COPY).mapInArrow(align, "h1 bigint, h2 bigint, gone array<boolean>")
+    n = max(1, int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return shared.repartition(n, *COPY).sortWithinPartitions(*COPY).mapInArrow(align, "h1 bigint, h2 bigint, gone array<boolean>")
+
+
+def _aligned(pairs: DataFrame, held: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, line): lines that go from the first text of the pairs (h1, h2, f1, f2), aligned over all they share."""
+    own = held.select(*COPY, F.col("lines").alias("l"), F.col("keys").alias("k"), F.col("sizes").alias("s"))
+    other = held.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("lines").alias("fl"), F.col("keys").alias("fk"), F.col("sizes").alias("fs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, h2, made = [], [], []
+            lists = [batch.column(n) for n in ("l", "k", "s", "fl", "fk", "fs")]
+            for i, (a, b) in enumerate(zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True)):
+                l, k, s, fl, fk, fs = (x[i].values.to_numpy() for x in lists)
+                _, x, y = np.intersect1d(k, fk, return_indices=True)
+                same = s[x] == fs[y]
+                x, y = x[same], y[same]
+                found = common_lines(list(zip(l[x].tolist(), fl[y].tolist(), s[x].tolist(), strict=True)), min_chars)
+                h1 += [a] * len(found)
+                h2 += [b] * len(found)
+                made += found
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(made, pa.int32())], [*COPY, "line"])
+
+    rows = pairs.join(own, COPY).join(other, ["f1", "f2"]).select(*COPY, "l", "k", "s", "fl", "fk", "fs")
+    return rows.mapInArrow(run, "h1 bigint, h2 bigint, line int").distinct()
+
+
+def _all_pairs(each: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, gone): what aligning every text with every earlier one that shares a line deletes."""
+    by = ["key", "size"]
+    n = cut(each.groupBy(*by).count().where("count > 1").drop("count"))
+    text = Window.partitionBy(*COPY)
+    shared = each.join(n, by).withColumn("run", F.col("line") - F.row_number().over(text.orderBy("line")))
+    # a block is unbroken, so a line whose run of shared lines is too short never goes
+    shared = shared.withColumn("fit", F.sum("size").over(Window.partitionBy(*COPY, "run")) >= min_chars).drop("run")
+    shared = cut(shared)
+    rows = shared.groupBy(*COPY).agg(F.sort_array(F.collect_list(F.struct("line", "key", "size"))).alias("x"))
+    held = cut(rows.select(*COPY, F.col("x.line").alias("lines"), F.col("x.key").alias("keys"), F.col("x.size").alias("sizes")))
+    holders = shared.where("fit").select("place", *COPY, "n_lines", "line", *by)
+    left, tried, found, late = holders, [], [], []
+    for turn in range(ROUNDS):
+        first = left.groupBy(*by).agg(F.min(F.struct("place", *COPY)).alias("first"))
+        # written, so that Spark can split a very frequent line or holder in the joins
+        met = cut(left.join(cut(first), by))
+        leads = (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))
+        pairs = cut(met.where(~leads).select(*COPY, F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2")).distinct())
+        gone = cut(_aligned(pairs, held, min_chars))
+        tried.append(pairs)
+        found.append(gone)
+        open_ = met.join(gone, [*COPY, "line"], "left_anti")
+        if turn:
+            late.append(open_.where(leads).drop("first"))
+        left = cut(open_.where(~leads).drop("first"))
+        if left.isEmpty():
+            break
+    for x in late:
+        left = left.unionByName(x)
+    left = cut(left)
+    if not left.isEmpty():
+        every = holders.select(*by, F.col("place").alias("p"), F.col("h1").alias("f1"), F.col("h2").alias("f2"))
+        rest = left.join(every, by).where(F.struct("p", "f1", "f2") < F.struct("place", *COPY)).select(*COPY, "f1", "f2").distinct()
+        for x in tried:
+            rest = rest.join(x, [*COPY, "f1", "f2"], "left_anti")
+        found.append(cut(_aligned(cut(rest), held, min_chars)))
+    gone = found[0]
+    for x in found[1:]:
+        gone = gone.unionByName(x)
+    gone = gone.groupBy(*COPY).agg(F.collect_set("line").alias("found"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = []
+            for n, x in zip(batch.column("n_lines").to_pylist(), batch.column("found"), strict=True):
+                mask = np.zeros(n, bool)
+                mask[x.values.to_numpy()] = True
+                masks.append(mask)
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(masks, pa.list_(pa.bool_()))], [*COPY, "gone"])
+
+    sizes = holders.select(*COPY, "n_lines").distinct()
+    rows = gone.join(sizes, COPY).select(*COPY, "n_lines", "found")
+    return rows.mapInArrow(mark, "h1 bigint, h2 bigint, gone array<boolean>")
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, all_pairs: bool = False) -> DataFrame:
+    """(doc_id, h1, h2, n_lines, copy, gone): rows of ``docs`` that lose lines, gone tells for each line whether it goes.
+
+    copy is true where an earlier document has the same text: then gone is null and the whole text goes.
+    """
+    texts = cut(_texts(docs, min_chars))
+    place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    classes = cut(
+        texts.groupBy(*COPY).agg(
+            F.min(place).alias("place"), F.min_by("keys", place).alias("keys"), F.min_by("sizes", place).alias("sizes")
+        )
+    )
+    each = classes.select("place", *COPY, F.size("keys").alias("n_lines"), F.posexplode(F.arrays_zip("keys", "sizes")).alias("line", "x"))
+    each = each.select("place", *COPY, "n_lines", "line", F.col("x.keys").alias("key"), F.col("x.sizes").alias("size")).where("key <> 0")
+    aligned = (_all_pairs if all_pairs else _by_first)(each, min_chars)
     # written for the same reason: many copies share the key of the next join
     per_class = cut(classes.select(*COPY, "place").join(aligned, COPY, "left"))
     rows = texts.select("doc_id", *COPY, F.size("keys").alias("n_lines")).distinct()
@@ -146,9 +237,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return joined.select("doc_id", *COPY, "n_lines", copy.alias("copy"), F.when(~copy, F.col("gone")).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, all_pairs: bool = False) -> DataFrame:
     """``docs`` with the lines deleted that an earlier document has in an aligned block; adds n_lines and n_removed.
 
+    all_pairs aligns with every earlier document that shares a line, else with the first holder of each line only.
     Earlier means a smaller doc_id; a row without doc_id comes last. A text that an earlier document has word for
     word becomes empty. Rows with equal doc_id and text are one document and keep the same lines; of equal ids with
     different texts either may be the earlier one, by a hash of the text. A null text stays null and has no lines; an
@@ -156,7 +248,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     added ones are replaced. No rows give no rows.
     """
     prepare(docs.sparkSession)
-    found = repeated_lines(docs, min_chars).select(
+    found = repeated_lines(docs, min_chars, all_pairs).select(
         F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("copy").alias("__copy"), F.col("gone").alias("__gone")
     )
     h1, h2 = copy_keys(whole())

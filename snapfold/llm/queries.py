@@ -73,7 +73,7 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup(table(spark, sf_dir, "documents"))
+    kept = line_dedup(table(spark, sf_dir, "documents"), all_pairs=True)
     return kept.select("doc_id", "text", "n_lines", "n_removed")
 
 

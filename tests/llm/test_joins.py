@@ -298,3 +298,38 @@ def test_frequent_seeds_dealt_out_by_passages_change_nothing(spark):
     assert rows(0) == rows(1) == rows(20) == want
     assert sorted(map(str, repeated_passages(awkward(spark), hot_suffixes=0).collect())) == sorted(map(str, repeated_passages(awkward(spark)).collect()))
     assert repeated_passages(empty(spark), hot_suffixes=0).count() == 0
+
+
+def slow_pairs(docs):
+    """Kept lines of each document by aligning it with every earlier one, for texts whose lines are all long."""
+    made, whole, kept = [], set(), {}
+    for doc, text in docs:
+        lines, count, keys = text.split("\n"), defaultdict(int), {}
+        for i, line in enumerate(lines):
+            count[line] += 1
+            keys[line, count[line]] = i
+        gone = set()
+        for other in made:
+            gone.update(common_lines([(i, other[k], len(k[0])) for k, i in keys.items() if k in other]))
+        kept[doc] = "" if text in whole else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        whole.add(text)
+        made.append(keys)
+    return kept
+
+
+def test_line_dedup_of_all_pairs_equals_brute_force(spark):
+    rnd = random.Random(18)
+    lines = [f"shared line {i} that the first document has reversed" for i in range(8)]
+    docs = [(0, "\n".join(lines[::-1])), (1, "\n".join(lines)), (2, "\n".join([*lines, "and one that only the third document has"]))]
+    assert slow_pairs(docs)[2] == "and one that only the third document has" != slow_lines(docs)[2]
+    pool = [f"line number {i} with enough text to stand on its own" for i in range(40)]
+    for i in range(3, 120):
+        at = rnd.randrange(len(pool) - 10)
+        mine = pool[at : at + rnd.randrange(10)] + rnd.sample(pool, rnd.randrange(4)) + rnd.sample(lines, rnd.randrange(4))
+        if rnd.random() < 0.5:
+            rnd.shuffle(mine)
+        docs.append((i, "\n".join([*mine, f"only here: {i} and nowhere else at all"])))
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), all_pairs=True).collect()}
+    assert got == slow_pairs(docs) != slow_lines(docs)
+    few = {r.doc_id: r.n_removed for r in line_dedup(awkward(spark).drop("n_lines"), all_pairs=True).collect()}
+    assert few[6] == 1 and line_dedup(empty(spark), all_pairs=True).count() == 0
