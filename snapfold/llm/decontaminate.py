@@ -50,16 +50,35 @@ def overlap(doc: np.ndarray, item: np.ndarray, at: int, where: int, size: int) -
     """
     left, right = min(at, where), min(len(doc) - at, len(item) - where)
     same = doc[at - left : at + right] == item[where - left : where + right]
+    a, b = longest(same, left, left + size)
+    return at - left + a, at - left + b, int(same[a:b].sum())
+
+
+def longest(same: np.ndarray, begin: int, end: int) -> tuple[int, int]:
+    """The longest overlap of a diagonal that holds begin to end, which are ends of equal words."""
     worth = np.where(same, 1 - MIN_SAME, -MIN_SAME)  # an overlap's sum is 0 or more
-    behind = np.concatenate([[0.0], np.cumsum(worth[:left][::-1])])
-    ahead = np.concatenate([[0.0], np.cumsum(worth[left + size :])]) + worth[left : left + size].sum()
+    behind = np.concatenate([[0.0], np.where(same[:begin], np.cumsum(worth[:begin][::-1])[::-1], -np.inf)[::-1]])
+    ahead = np.concatenate([[0.0], np.where(same[end:], np.cumsum(worth[end:]), -np.inf)]) + worth[begin:end].sum()
     reach = np.maximum.accumulate(behind[::-1])  # the best sum from so far left on, farthest first
     first = np.minimum(np.searchsorted(reach, -ahead - 1e-9, "left"), len(reach) - 1)
-    lengths = len(reach) - 1 - first + np.arange(len(ahead))
+    lengths = begin - first + np.arange(len(ahead))
     y = int(np.argmax(np.where(reach[first] >= -ahead - 1e-9, lengths, -1)))
-    held = np.flatnonzero(same[int(first[y]) : left + size + y]) + int(first[y])
-    a, b = int(held[0]), int(held[-1]) + 1
-    return at - left + a, at - left + b, int(same[a:b].sum())
+    return int(first[y]), end + y
+
+
+def diagonal(doc: np.ndarray, item: np.ndarray, shift: int, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(begin in doc, end in doc, same words) of the longest overlap around each of the hits on a diagonal.
+
+    An overlap that holds a word of a run of equal ones holds the run, so hits between the same runs are one.
+    """
+    low, high = max(0, shift), min(len(doc), len(item) + shift)
+    same = doc[low:high] == item[low - shift : high - shift]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+    first = edges[::2][np.searchsorted(edges[::2], begins - low, "right") - 1]
+    last = edges[1::2][np.searchsorted(edges[1::2], ends - low, "left")]
+    for a, b in np.unique(np.stack([first, last], 1), axis=0).tolist():
+        a, b = longest(same, a, b)
+        yield low + a, low + b, int(same[a:b].sum())
 
 
 class Index:
@@ -91,8 +110,8 @@ class Index:
 
     def find(self, words: Words) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, begin, end, same words): the best overlap of each text with each item."""
-        done: dict[tuple[int, int, int], int] = {}  # by diagonal: the end of what has been compared
         best: dict[tuple[int, int], tuple] = {}
+        hits = [np.empty((5, 0), np.int64)]
         for mask, keys, which, where, table in self.masks:
             made = seeds(words.hashes, mask)
             at = np.flatnonzero(table[self.place(made)])
@@ -105,13 +124,15 @@ class Index:
             n = high - low
             hit = np.repeat(np.arange(len(at)), n)
             entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[hit]
-            for t, p, i, q in zip(text[hit].tolist(), at[hit].tolist(), which[entry].tolist(), where[entry].tolist(), strict=True):
-                begin = p - int(words.first[t])
-                if begin < done.get((t, i, begin - q), -1):
-                    continue
-                item, _, total, own = self.pieces[i]
-                a, b, same = overlap(words.of(t), own, begin, q, len(mask))
-                done[t, i, begin - q] = b
+            begin = at[hit] - words.first[text[hit]]
+            hits.append(np.stack([text[hit], which[entry], begin - where[entry], begin, begin + len(mask)]))
+        found = np.concatenate(hits, axis=1)
+        found = found[:, np.lexsort(found[2::-1])]
+        edges = np.flatnonzero(np.any(np.diff(found[:3], axis=1), axis=0)) + 1
+        for group in np.split(found, edges, axis=1) if found.shape[1] else []:
+            t, i, shift = group[:3, 0].tolist()
+            item, _, total, own = self.pieces[i]
+            for a, b, same in diagonal(words.of(t), own, shift, group[3], group[4]):
                 if b - a >= min(MIN_WORDS, total) and same >= MIN_SAME * (b - a):
                     best[t, item] = max(best.get((t, item), (-1,)), (same, -a, -b))
         for (t, item), (same, a, b) in best.items():

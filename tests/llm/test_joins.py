@@ -6,11 +6,13 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from helpers import awkward, empty, texts
 
+from snapfold.llm.common import Words
 from snapfold.llm.components import components
-from snapfold.llm.decontaminate import MASKS, MIN_SAME, MIN_WORDS, decontaminate, overlaps
+from snapfold.llm.decontaminate import MASKS, MIN_SAME, MIN_WORDS, Index, decontaminate, overlaps
 from snapfold.llm.lines import MIN_CHARS, common_lines, in_order, line_dedup
 from snapfold.llm.neighbours import Tree, nearest
 from snapfold.llm.simhash import fingerprint, roots, simhash_dedup, simhash_groups
@@ -333,3 +335,26 @@ def test_line_dedup_of_all_pairs_equals_brute_force(spark):
     assert got == slow_pairs(docs) != slow_lines(docs)
     few = {r.doc_id: r.n_removed for r in line_dedup(awkward(spark).drop("n_lines"), all_pairs=True).collect()}
     assert few[6] == 1 and line_dedup(empty(spark), all_pairs=True).count() == 0
+
+
+def equal_words(pattern, text="d"):
+    """(document, item) on one diagonal, with the same word where the pattern has a 1."""
+    return [f"s{i}" if x == "1" else f"{text}{i}" for i, x in enumerate(pattern)], [f"s{i}" if x == "1" else f"i{i}" for i, x in enumerate(pattern)]
+
+
+def best_overlaps(doc, item):
+    bench = [(0, 0, len(item), Words(pa.array([" ".join(item)]), plain=False).of(0))]
+    return list(Index(bench).find(Words(pa.array([" ".join(doc)]), plain=False)))
+
+
+def test_no_hit_hides_an_overlap():
+    doc, item = equal_words("1111011110111" + "0" * 7 + "111111" + "0" * 5)
+    assert best_overlaps(doc, item) == [(0, 0, 0, 13, 11)]
+    rnd = random.Random(31)
+    for _ in range(400):
+        pattern = "".join("1" if rnd.random() < 0.7 else "0" for _ in range(rnd.randrange(14, 45)))
+        least = [(a, b) for a in range(len(pattern)) for b in range(a + MIN_WORDS, len(pattern) + 1) if pattern[a] == pattern[b - 1] == "1"]
+        good = [(a, b) for a, b in least if pattern[a:b].count("1") >= MIN_SAME * (b - a)]
+        got = best_overlaps(*equal_words(pattern))
+        assert bool(got) == bool(good), pattern
+        assert all((a, b) in good for _, _, a, b, _ in got)
