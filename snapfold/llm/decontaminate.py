@@ -20,9 +20,20 @@ from pyspark.sql import functions as F
 from snapfold.llm.common import Words, cut, prepare, whole
 
 #: Places of a mask that count are 1; each mask has six. Together they hit every stretch of 13 words with 2 substituted,
-#: of 15 with 3 and of 20 with 4, whichever these are.
+#: of 15 with 3 and of 20 with 4, whichever these are, and those of 12 with 2.
 MASKS = ("111111", "101101011", "11101001001", "1010101011", "10110011001")
-#: Words that an overlap must have, and the share of them that must be the same; a shorter item counts whole.
+#: Masks for items of fewer words, by their words: any words that may be substituted leave a place where one of these fits.
+SHORT = {
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("1111", "11011"),
+    7: ("11011",),
+    8: ("1111",),
+    9: ("1111",),
+    10: ("1111", "11101"),
+    11: ("11101",),
+}
+#: Words that an overlap must have, and the share of them that must be the same; of an item of no more words all count,
+#: from its first to its last, whether these are the same or not.
 MIN_WORDS, MIN_SAME = 13, 0.8
 #: An item of fewer words is no evidence and matches nothing.
 LEAST = 5
@@ -81,18 +92,23 @@ def diagonal(doc: np.ndarray, item: np.ndarray, shift: int, begins: np.ndarray,
         yield low + a, low + b, int(same[a:b].sum())
 
 
+def entire(doc: np.ndarray, item: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
+    """(begin in doc, end in doc, same words) of the whole item on a diagonal, where the document holds its span."""
+    if 0 <= shift <= len(doc) - len(item):
+        yield shift, shift + len(item), int((doc[shift : shift + len(item)] == item).sum())
+
+
 class Index:
     """Seeds of the pieces of a block: (item, first word in the item, words in the item, word hashes)."""
 
     def __init__(self, pieces: list[tuple[int, int, int, np.ndarray]]):
         self.pieces = pieces
         self.masks: list[tuple] = []
-        longest = max((p[2] for p in pieces), default=0)
-        short = sorted({len(p[3]) for p in pieces if p[2] < len(MASKS[0])})
-        for mask in (*(m for m in MASKS if len(m) <= longest), *("1" * n for n in short if n >= LEAST)):
+        fitting = [SHORT.get(p[2], MASKS) if p[2] >= LEAST else () for p in pieces]
+        for mask in dict.fromkeys(m for masks in dict.fromkeys(fitting) for m in masks):
             keys, which, where = [], [], []
-            for i, (_, _, total, words) in enumerate(pieces):
-                if total >= len(MASKS[0]) and len(mask) >= len(MASKS[0]) or total == len(mask):
+            for i, (_, _, _, words) in enumerate(pieces):
+                if mask in fitting[i]:
                     made = seeds(words, mask)
                     keys.append(made)
                     which.append(np.full(len(made), i))
@@ -132,7 +148,7 @@ class Index:
         for group in np.split(found, edges, axis=1) if found.shape[1] else []:
             t, i, shift = group[:3, 0].tolist()
             item, _, total, own = self.pieces[i]
-            for a, b, same in diagonal(words.of(t), own, shift, group[3], group[4]):
+            for a, b, same in diagonal(words.of(t), own, shift, group[3], group[4]) if total > MIN_WORDS else entire(words.of(t), own, shift):
                 if b - a >= min(MIN_WORDS, total) and same >= MIN_SAME * (b - a):
                     best[t, item] = max(best.get((t, item), (-1,)), (same, -a, -b))
         for (t, item), (same, a, b) in best.items():

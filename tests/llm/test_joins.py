@@ -358,3 +358,14 @@ def test_no_hit_hides_an_overlap():
         got = best_overlaps(*equal_words(pattern))
         assert bool(got) == bool(good), pattern
         assert all((a, b) in good for _, _, a, b, _ in got)
+
+
+def test_short_items_are_found_with_every_allowed_substitution():
+    for size in range(5, MIN_WORDS + 1):
+        for changed in range(4):
+            for places in combinations(range(size), changed):
+                pattern = "".join("01"[i not in places] for i in range(size))
+                doc, item = equal_words(pattern)
+                got = best_overlaps(["before", "it", *doc, "behind"], item)
+                assert got == ([(0, 0, 2, 2 + size, size - changed)] if size - changed >= MIN_SAME * size else []), pattern
+    assert best_overlaps(["only", "four", "of", "them"], ["only", "four", "of", "them"]) == []
