@@ -28,7 +28,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9]([ ().0-9-]++)")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}((?: ?[A-Z0-9]){11,30}))")
+_INSIDE = re.compile(r"[A-Za-z0-9]")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){1,4}(?![0-9A-Za-z])")
 _SSN = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
 
@@ -55,6 +56,25 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Codes that pass mod 97, each as long as it can be; capitals and digits behind it, after a blank, do no harm."""
+    found, done = [], 0
+    for m in _IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        end = m.end(1)
+        while end > m.start(1):
+            plain = text[m.start() : end].replace(" ", "")
+            if len(plain) < 15:
+                break
+            if not _INSIDE.match(text, end) and mod97(plain):
+                found.append((m.start(), end))
+                done = end
+                break
+            end -= 1 + (text[end - 2] == " ")
+    return found
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -130,10 +150,8 @@ def find(text: str) -> list[tuple[str, int, int, float, bool]]:
             spans.append((kind, start, end, round(p, 2), False))
             taken.insert(i, (start, end))
 
-    for m in _IBAN.finditer(text):
-        plain = m.group().replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            propose("iban", *m.span(), 0.8)
+    for s, e in ibans(text):
+        propose("iban", s, e, 0.8)
     for s, e in short:
         propose("card", s, e, 0.3)
     for m in _SSN.finditer(text):

@@ -150,3 +150,12 @@ def test_page_rows(spark):
     got = sorted(((r.page_id or 0, r.url, r.text) for r in extract_pages(pages).collect()), key=str)
     assert got == [(0, None, ""), (1, "u", "a"), (1, "u", "a"), (2, "v", "")]
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def test_ibans_with_capitals_behind():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for text in (f"IBAN: {iban} BIC COBADEFFXXX", f"IBAN {iban} 12 EUR", f"{iban.replace(' ', '')} BIC COBADEFF", f"bank account {iban} and {iban} BIC"):
+        spans = [text[s:e] for kind, s, e, *_ in find(text) if kind == "iban"]
+        assert spans and {x.replace(" ", "") for x in spans} == {iban.replace(" ", "")}, text
+        assert len(spans) == text.replace(" ", "").count(iban.replace(" ", ""))
+    assert not [x for x in find(f"IBAN {iban}7X") if x[0] == "iban"]
