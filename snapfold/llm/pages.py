@@ -55,6 +55,8 @@ NO_NAME = re.compile(
     r"newsletter|subscribe|signup|login|share|sharing|social|related|recommended|pagination|pager|skip)(?=$|[\s_-]|[0-9])",
     re.I,
 )
+# Names that say how a page is laid out, of elements that can hold all of it.
+STATE = re.compile(r"(?:has|no|not|with|without|is|show|hide)[_-]|.*[_-](?:open|opened|closed|enabled|disabled|on|off)$", re.I)
 HOME = frozenset(["article", "main"])
 NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
 REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
@@ -62,10 +64,10 @@ ATTRIBUTE = re.compile(r"(?:^|(?<=[\s\"'/]))(class|id|role|hidden|aria-hidden)(?
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "chars", "tags", "links", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "drop", "named", "chars", "tags", "links", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, named: bool = False):
+        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
@@ -82,11 +84,39 @@ def _dropped(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in NO_ROLE:
             return True
-        if name in ("class", "id") and tag not in HOME and NO_NAME.search(value):
-            return True
     return False
 
 
+def _named(tag: str, attributes: str) -> bool:
+    """Whether class or id say that this is no article text."""
+    if not attributes or tag in HOME or tag in ("html", "body"):
+        return False
+    values = ["".join(x[1:]) for x in ATTRIBUTE.findall(attributes) if x[0].lower() in ("class", "id")]
+    return any(NO_NAME.search(x) and not STATE.match(x) for value in values for x in value.split())
+
+
+def _drop_named(root: Node) -> None:
+    """Drop elements by name, but none that holds the page's articles or most of its plain text."""
+    order, stack = [], [(root, False, False)]
+    plain, homes, apart = {}, {}, False
+    while stack:
+        node, linked, inside = stack.pop()
+        linked, inside = linked or node.tag == "a", inside or node.named
+        order.append(node)
+        plain[id(node)] = 0 if linked else sum(len(x) for p in node.parts if isinstance(p, str) for x in p.split())
+        homes[id(node)] = node.tag in HOME
+        apart = apart or (node.tag in HOME and not inside)
+        stack.extend((p, linked, inside) for p in node.parts if not isinstance(p, str) and not p.drop)
+    for node in reversed(order):
+        if node.parent is not None:
+            plain[id(node.parent)] += plain[id(node)]
+            homes[id(node.parent)] |= homes[id(node)]
+    for node in order:
+        if node.named:
+            # where an article lies outside of such elements, those inside are comments or teasers
+            node.drop = apart or not (homes[id(node)] or 2 * plain[id(node)] > plain[id(root)])
+
+
 def parse(html: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are closed as a browser would in the common cases.
 
@@ -150,7 +180,7 @@ def parse(html: str) -> Node:
         if tag in CLOSES and any(opened[x] for x in CLOSES[tag][0]):
             if (found := upward(*CLOSES[tag], outermost=True)) is not None:
                 now = close(found)
-        node = Node(tag, now, _dropped(tag, attributes))
+        node = Node(tag, now, _dropped(tag, attributes), _named(tag, attributes))
         now.parts.append(node)
         if tag in RAW:
             shut = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -158,6 +188,7 @@ def parse(html: str) -> Node:
         elif tag not in VOID and not attributes.endswith("/"):
             now = node
             opened[tag] += 1
+    _drop_named(root)
     return root
 
 
@@ -194,7 +225,8 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _select(root: Node, order: list[Node]) -> Node:
+def _select(root: Node, order: list[Node]) -> tuple[Node, Node]:
+    """(selected element, article): the article is the article element or the core; in it no list of links is dropped."""
     body = next((x for x in order if x.tag == "body"), root)
     inside, held = [], {id(body)}
     for node in order:
@@ -212,12 +244,13 @@ def _select(root: Node, order: list[Node]) -> Node:
     homes = [x for x in path if x.tag in HOME]
     if homes:
         articles = [x for x in homes if x.tag == "article"]
-        return (articles or homes)[-1]
+        home = (articles or homes)[-1]
+        return home, home
     chosen = core
     for below, node in zip(path, path[1:], strict=False):
         if any(not isinstance(p, str) and not p.drop and p is not below and p.chars and p.density >= threshold for p in node.parts):
             chosen = node
-    return chosen
+    return chosen, core
 
 
 def _menu(node: Node) -> bool:
@@ -239,21 +272,26 @@ def extract(html: str) -> str:
             blocks.append(text)
         line.clear()
 
-    stack: list = [_select(root, order)]
+    selected, article = _select(root, order)
+    whole_page = article is root or article.tag in ("html", "body")
+    stack: list = [(selected, False)]
     while stack:
-        part = stack.pop()
+        part, inside = stack.pop()
         if part is None:
             end()
         elif isinstance(part, str):
             line.append(part)
         elif part.tag == "br":
             line.append(" ")
-        elif not part.drop and not _menu(part):
+        elif not part.drop:
+            inside = inside or part.tag in HOME or (part is article and not whole_page)
+            if not inside and part is not selected and _menu(part):
+                continue
             block = part.tag in BLOCKS
             if block:
                 end()
-                stack.append(None)
-            stack.extend(reversed(part.parts))
+                stack.append((None, inside))
+            stack.extend((x, inside) for x in reversed(part.parts))
     end()
     return "\n\n".join(blocks)
 

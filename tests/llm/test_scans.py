@@ -159,3 +159,29 @@ def test_ibans_with_capitals_behind():
         assert spans and {x.replace(" ", "") for x in spans} == {iban.replace(" ", "")}, text
         assert len(spans) == text.replace(" ", "").count(iban.replace(" ", ""))
     assert not [x for x in find(f"IBAN {iban}7X") if x[0] == "iban"]
+
+
+WORDS = "<p>The whole story, told at some length in several words.</p><p>And then a second part, as long as the first.</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body><div class='content has-sidebar'>{WORDS}</div></body>",
+        f"<body><div class='site no-sidebar'><article>{WORDS}</article></div></body>",
+        f"<body><div class='hentry comments-open'>{WORDS}</div></body>",
+        f"<body><div class='site-header-wide widget'><div><article>{WORDS}</article></div></div><div class=ad>Buy it now.</div></body>",
+        f"<body><div class='promotion'>{WORDS}</div><div class=ad>Buy it now.</div></body>",
+        f"<body><article>{WORDS}</article><div id=comments><article class=comment>Not so, I think.</article></div></body>",
+    ],
+)
+def test_no_name_drops_the_article(html):
+    assert extract(html) == "The whole story, told at some length in several words.\n\nAnd then a second part, as long as the first."
+
+
+def test_lists_of_links_of_an_article_stay():
+    links = "<ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul>"
+    assert extract(f"<body><article>{WORDS}{links}</article></body>").endswith("First source\n\nSecond source")
+    assert extract(f"<body><article>{links}</article></body>") == "First source\n\nSecond source"
+    assert extract(f"<body><div id=content>{WORDS}<p><a href=a>One</a> <a href=b>two</a></p></div></body>").endswith("One two")
+    assert "First" not in extract(f"<body>{links}{WORDS}</body>")
