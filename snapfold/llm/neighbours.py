@@ -21,6 +21,8 @@ from snapfold.llm.common import cut, prepare
 SHARD_ROWS, QUERY_ROWS, LEAF = 16_384, 2048, 256
 #: Candidates kept beside those asked for, as exact products decide at last.
 SPARE = 12
+#: Squared distances that differ by less count as equal until exact products decide.
+SLACK = 1e-12
 
 
 class Tree:
@@ -78,6 +80,8 @@ class Tree:
         which = np.full((len(queries), wide), -1)
         sole = np.array([x[0] if len(x) == 1 else -1 for x in self.ids])
         alone = np.array([len(x) == 1 for x in self.ids])
+        low = np.array([x[0] for x in self.ids])
+        second = np.array([x[min(1, len(x) - 1)] for x in self.ids])
 
         def visit(node: int, active: np.ndarray) -> None:
             if not len(active):
@@ -90,6 +94,15 @@ class Tree:
                 every = np.c_[near[active], far]
                 place = np.c_[which[active], np.broadcast_to(np.arange(a, b), far.shape)]
                 best = np.argpartition(every, wide - 1, axis=1)[:, :wide]
+                last = np.partition(every, k - 1, axis=1)[:, k - 1 : k]
+                within = (every**2 <= last**2 + SLACK) & np.isfinite(every)
+                for r in np.flatnonzero(within.sum(axis=1) > wide).tolist():
+                    # more ties than there is room for: exact product, then the smallest id but the query's own
+                    at = np.flatnonzero(within[r])
+                    own, query = place[r, at], active[r]
+                    score = (self.vectors[own] * queries[query]).sum(axis=1)
+                    least = np.where(low[own] == ids[query], second[own], low[own])
+                    best[r] = at[np.lexsort((least, -score))[:wide]]
                 near[active] = np.take_along_axis(every, best, 1)
                 which[active] = np.take_along_axis(place, best, 1)
                 return
@@ -98,7 +111,7 @@ class Tree:
             first = far <= (reach + begin) / 2
             visit(inner, active[first])
             visit(outer, active[~first])
-            limit = np.partition(near[active], k, axis=1)[:, k] + 1e-9
+            limit = np.sqrt(np.partition(near[active], k, axis=1)[:, k] ** 2 + SLACK) + 1e-9
             visit(inner, active[~first & (factor * (far - reach) <= limit)])
             visit(outer, active[first & (factor * (begin - far) <= limit)])
 

@@ -369,3 +369,18 @@ def test_short_items_are_found_with_every_allowed_substitution():
                 got = best_overlaps(["before", "it", *doc, "behind"], item)
                 assert got == ([(0, 0, 2, 2 + size, size - changed)] if size - changed >= MIN_SAME * size else []), pattern
     assert best_overlaps(["only", "four", "of", "them"], ["only", "four", "of", "them"]) == []
+
+
+def test_ties_of_many_distinct_vectors_go_to_the_smaller_ids():
+    rng = np.random.default_rng(9)
+    quantised = np.unique(rng.integers(-1, 2, (1500, 9)), axis=0)
+    for x in (np.eye(700), quantised[np.abs(quantised).sum(axis=1) > 0].astype(float)):
+        x = rng.permutation(x)
+        ids = rng.permutation(len(x)) * 3
+        asked = np.arange(0, len(x), 17)
+        rows, found, scores = Tree(ids, x, float(np.linalg.norm(x, axis=1).max()), 20).search(ids[asked], x[asked], 20, 1.0)
+        for i, q in enumerate(asked.tolist()):
+            product = x @ x[q]
+            order = [j for j in np.lexsort((ids, -product)).tolist() if j != q][:20]
+            assert found[rows == i].tolist() == ids[order].tolist()
+            assert scores[rows == i].tolist() == product[order].tolist()
