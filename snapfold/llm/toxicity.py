@@ -27,6 +27,8 @@ TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS, ROW_CHARS, CLASS_CHARS = 2000, 3000
 #: Bytes of a window, of the common content, and of what is told apart by its counts.
 WINDOW, COMMON, GRAM = 128, 16_384, 6
 FOLDS = 5
+#: Windows that the trainer of the common dictionary sees at most.
+WINDOWS = 60_000
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,10 @@ def _segments(own: list[bytes], other: list[bytes], counted, against, size: int)
 
 
 def _distinct(texts: list[str], held: int = CLASS_CHARS) -> list[bytes]:
-    """Normalised texts without near copies (same smallest word hash), up to a total length."""
+    """Normalised texts without near copies, up to a total length.
+
+    Of texts with the same smallest word hash one is kept, so unrelated ones that share that word go too.
+    """
     made, seen, used = [], set(), 0
     for text in texts:
         data = normalised(text)
@@ -166,7 +171,7 @@ def fit(toxic: list[str], ordinary: list[str], calibration: list[tuple[str, int]
     behind = _segments(good, bad, n_good, n_bad, len(front)) or b""
     behind += plain[: len(front) - len(behind)]
     try:
-        common = zs.train_dictionary(COMMON, [w for text in good for w in windows_of(text)][:60_000]).as_bytes()
+        common = zs.train_dictionary(COMMON, [w for text in good for w in windows_of(text)][:WINDOWS]).as_bytes()
     except zs.ZstdError:  # too few samples for the trainer
         common = plain[-COMMON:]
     a, b = behind + common, front + common
@@ -181,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Fit on a bounded sample of labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     Folds 1 to 3 serve the dictionaries, fold 4 the calibration. Ids with contradicting labels and null labels are
-    left out. The bounds are TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS, ROW_CHARS and CLASS_CHARS; the sampled ids
+    left out. The bounds are TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS, ROW_CHARS, CLASS_CHARS and WINDOWS; the sampled ids
     are so few that they are broadcast.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
