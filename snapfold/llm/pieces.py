@@ -21,11 +21,30 @@ from snapfold.llm.common import prepare, whole
 
 #: The sign that stands for a blank in pieces.
 BLANK = "▁"
-#: Characters whose matches are held at once.
-BLOCK = 4096
+#: Characters that are matched at once.
+BLOCK = 256
 #: Chunks and pairs a worker remembers; it forgets all of them when there are more.
-REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
+REMEMBERED, REMEMBERED_CHARS = 1 << 19, 64
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+NEVER = float("-inf")
+
+
+class Remembered(dict):
+    """Values found once; a key of more than so many characters is not kept."""
+
+    def __init__(self, find: Callable, longest: int | None = None):
+        super().__init__()
+        self.find, self.longest = find, longest
+
+    def __missing__(self, key):
+        value = self.find(key)
+        if self.longest is None or len(key) <= self.longest:
+            self[key] = value
+        return value
+
+    def forget(self) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
 
 
 class Vocabulary:
@@ -60,20 +79,20 @@ class Vocabulary:
         self.reached = [p for p in self.scores if self.merge(p) == [p]]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("matcher", "chunks", "letters", "known", "pairs", "surfaces", "values")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("matcher", "chunks", "letters", "known", "pairs", "shorter", "surfaces", "high")}
 
     def merge(self, text: str) -> list[str]:
         """Merge neighbours, those of the highest score first and the leftmost of equal ones; for short texts."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                break
+        score, parts = self.scores.get, list(text)
+        scores = [score(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) > NEVER:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], NEVER)
         return parts
 
     @cached_property
@@ -96,61 +115,62 @@ class Vocabulary:
         return frozenset(p for p in self.scores if len(p) == 1)
 
     @cached_property
-    def known(self) -> dict[str, list[int]]:
-        return {}
+    def known(self) -> Remembered:
+        """The ids of a chunk as bytes of 32-bit numbers."""
+        return Remembered(lambda chunk: np.array(self._chunk(chunk), np.int32).tobytes(), REMEMBERED_CHARS)
 
     @cached_property
-    def pairs(self) -> dict[tuple[int, int], bool]:
-        return {}
-
-    def fits(self, a: int, b: int) -> bool:
+    def pairs(self) -> Remembered:
         """Whether two pieces stay as they are when their text is merged anew."""
-        held = self.pairs.get((a, b))
-        if held is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            x, y = self.pieces[a], self.pieces[b]
-            held = self.pairs[a, b] = self.merge(x + y) == [x, y]
-        return held
-
-    def _matches(self, text: str) -> Callable[[int], list[int]]:
-        """The pieces that begin at a place of a text, short ones first; found a block at a time."""
-        held, reach = [-1, []], self.longest - 1
-
-        def at(place: int) -> list[int]:
-            block, offset = divmod(place, BLOCK)
-            if block != held[0]:
-                low = block * BLOCK
-                found: list[list[int]] = [[] for _ in range(min(BLOCK, len(text) - low))]
-                for last, piece in self.matcher.iter(text[low : low + BLOCK + reach]):
-                    start = last + 1 - self.sizes[piece]
-                    if start < len(found):
-                        found[start].append(piece)
-                held[:] = block, found
-            return held[1][offset]
-
-        return at
+
+        def stay(pair: tuple[int, int]) -> bool:
+            both = [self.pieces[x] for x in pair]
+            return self.merge("".join(both)) == both
+
+        return Remembered(stay)
+
+    @cached_property
+    def shorter(self) -> dict[int, list[int]]:
+        """A piece and the pieces it begins with, from the longest to the shortest."""
+        reached = {p: self.ids[p] for p in self.reached}
+        return {i: [reached[p[:k]] for k in range(len(p), 0, -1) if p[:k] in reached] for p, i in reached.items()}
 
     def cut(self, text: str) -> list[int]:
         """The pieces of a text of known characters."""
-        matches, failed = self._matches(text), bytearray(len(text) // 8 + 1)
+        sizes, pairs, shorter, longest, failed = self.sizes, self.pairs, self.shorter, self.longest, bytearray(len(text) // 8 + 1)
         pieces: list[int] = []
-        tried: list[int] = []  # how many of the matches at a piece's place were too long
-        place = skip = 0
+        tried: list[tuple[int, int]] = []  # the longest match where a piece stands, and which of its beginnings is taken
+        place = 0
         while place < len(text):
-            options = matches(place)
-            for n in range(skip, len(options)):
-                piece = options[-1 - n]
-                end = place + self.sizes[piece]
-                if not failed[end >> 3] >> (end & 7) & 1 and (not pieces or self.fits(pieces[-1], piece)):
-                    pieces.append(piece)
-                    tried.append(n)
-                    place, skip = end, 0
+            # the longest matches, one behind the other, as long as they fit
+            low, match = place, -1
+            for last, match in self.matcher.iter_long(text[low : low + BLOCK] if len(text) > BLOCK else text[low:]):
+                if place > low + BLOCK - longest:
+                    match = -1
                     break
+                end = low + last + 1
+                if failed[end >> 3] >> (end & 7) & 1 or (pieces and not pairs[pieces[-1], match]):
+                    break
+                pieces.append(match)
+                tried.append((match, 0))
+                place = end
             else:
-                failed[place >> 3] |= 1 << (place & 7)
-                place -= self.sizes[pieces.pop()]
-                skip = tried.pop() + 1
+                match = -1
+            # else shorter ones, and if none fits, shorter ones of the piece before
+            n = 0
+            while match >= 0:
+                for n in range(n + 1, len(shorter[match])):
+                    piece = shorter[match][n]
+                    end = place + sizes[piece]
+                    if not failed[end >> 3] >> (end & 7) & 1 and (not pieces or pairs[pieces[-1], piece]):
+                        pieces.append(piece)
+                        tried.append((match, n))
+                        place, match = end, -1
+                        break
+                else:
+                    failed[place >> 3] |= 1 << (place & 7)
+                    place -= sizes[pieces.pop()]
+                    match, n = tried.pop()
         return pieces
 
     def _chunk(self, chunk: str) -> list[int]:
@@ -164,55 +184,48 @@ class Vocabulary:
             done = at + 1
         return made + self.cut(chunk[done:]) if done < len(chunk) else made
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a text, the end id last."""
-        ids: list[int] = []
         text = text.replace(" ", BLANK)
+        chunks = self.chunks.findall(BLANK + text if self.prefix and text else text)
         known = self.known
-        for chunk in self.chunks.findall(BLANK + text if self.prefix and text else text):
-            held = known.get(chunk)
-            if held is None:
-                held = self._chunk(chunk)
-                if len(chunk) <= REMEMBERED_CHARS:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[chunk] = held
-            ids += held
-        ids.append(self.end)
-        return ids
+        ids = b"".join(map(known.__getitem__, chunks)) + np.int32(self.end).tobytes()
+        known.forget()
+        self.pairs.forget()
+        return np.frombuffer(ids, np.int32)
 
     @cached_property
     def surfaces(self) -> list[str]:
-        """The text of each id but bytes, blanks as in pieces."""
-        instead = {UNKNOWN: self.unknown, CONTROL: ""}
-        return [instead.get(k, p) for p, k in zip(self.pieces, self.kinds, strict=True)]
+        """The text of each id, blanks as in pieces; bytes beyond ASCII have none of their own."""
+        made = []
+        for p, kind in zip(self.pieces, self.kinds, strict=True):
+            byte = int(p[3:5], 16) if kind == BYTE else 0
+            made.append({UNKNOWN: self.unknown, CONTROL: "", BYTE: chr(byte) if byte < 128 else ""}.get(kind, p))
+        return made
 
     @cached_property
-    def values(self) -> dict[int, int]:
-        return {x: b for b, x in enumerate(self.bytes)}
+    def high(self) -> np.ndarray:
+        """The byte beyond ASCII that an id stands for, else 0."""
+        made = np.zeros(len(self.pieces), np.uint8)
+        made[self.bytes[128:]] = np.arange(128, 256)
+        return made
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids; a byte that is no part of UTF-8 becomes U+FFFD, the blank put in front goes."""
-        parts: list[str] = []
-        held = bytearray()
-        surfaces, values, front = self.surfaces, self.values, self.prefix
-        for x in ids:
-            if x in values:
-                held.append(values[x])
-                continue
-            if held:
-                parts.append(_utf8(bytes(held)))
-                held.clear()
-                front = False
-            part = surfaces[x]
-            if front and part:
-                front = False
-                if self.kinds[x] == NORMAL and part[0] == BLANK:
-                    part = part[1:]
-            parts.append(part.replace(BLANK, " ") if self.kinds[x] == NORMAL else part)
-        if held:
-            parts.append(_utf8(bytes(held)))
-        return "".join(parts)
+        surface = self.surfaces.__getitem__
+        high = self.high[ids] if len(ids) else np.empty(0, np.uint8)
+        places = np.flatnonzero(high)
+        parts, done = [], 0
+        if len(places):
+            for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
+                parts += map(surface, ids[done : run[0]].tolist())
+                parts.append(_utf8(high[run].tobytes()))
+                done = run[-1] + 1
+        parts += map(surface, ids[done:].tolist())
+        text = "".join(parts)
+        if self.prefix and text[:1] == BLANK:
+            text = text[1:]
+        return text.replace(BLANK, " ")
 
 
 def _utf8(data: bytes) -> str:
@@ -248,7 +261,7 @@ def encode_texts(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
-            made = [np.array(words.encode(x), np.int32) for x in batch.column(1).to_pylist()]
+            made = [words.encode(x) for x in batch.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in made], dtype=np.int64)])
             data = pa.array(np.concatenate([np.empty(0, np.int32), *made]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), data)], ["doc_id", "ids"])
@@ -266,7 +279,7 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
-            made = pa.array([None if x is None else words.decode(x) for x in (y.as_py() for y in batch.column(at))], pa.string())
+            made = pa.array([words.decode(x.values.to_numpy()) if x.is_valid else None for x in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, rows.withColumn("decoded", F.lit(None).cast("string")).schema)
