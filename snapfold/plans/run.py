@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +24,6 @@ from snapfold.operators.fold import (
     aborted_summary,
     additions,
     advance_feed_state,
-    fold,
     outcomes,
     run_alerts,
     summarise,
@@ -44,11 +43,25 @@ from snapfold.session import configure, require_utc
 from snapfold.sources.batchlog import write_outbox
 from snapfold.sources.recent import recent, recent_by_feed, write_recent
 from snapfold.sources.snapshots import MAX_DOCUMENT_BYTES, admit, newest_per_feed, polls
-from snapfold.sources.state import STATE_VERSION, read_state, register_keyed, revive_state, write_keyed
+from snapfold.sources.state import (
+    STATE_VERSION,
+    Layout,
+    read_state,
+    register_keyed,
+    revive_state,
+    wanted_buckets,
+    write_base,
+    write_changes,
+    write_keyed,
+)
 
 log = logging.getLogger(__name__)
 
-COMMIT = "run_seq bigint, state_run_seq bigint, feed_state_run_seq bigint, buckets int"
+# ``base_run_seq`` and ``log`` name the state's base and the runs whose changes follow it.
+COMMIT = (
+    "run_seq bigint, base_run_seq bigint, log array<bigint>, feed_state_run_seq bigint, buckets int, "
+    "feed_buckets int"
+)
 
 # Applies the requests of an outbox and returns the logged responses (schemas.RESPONSES).
 Applier = Callable[[DataFrame], DataFrame]
@@ -58,12 +71,17 @@ Applier = Callable[[DataFrame], DataFrame]
 class Store:
     """Folders of a deployment below one shared root.
 
-    With at least as many ``buckets`` as shuffle partitions the state is never shuffled, with equally many
-    the events are shuffled once. Give it files of about 100 to 500 MB.
+    State is a base and a log of changes, which are merged into a new base every ``compact_every`` runs that
+    change something. Both lie in ``feed_buckets`` folders by feed, of which a run reads those of its feeds;
+    the base is bucketed by key in each of them. With at least as many ``buckets`` as shuffle partitions the
+    base is never shuffled, with equally many the events are shuffled once. The files of a base, at most
+    ``buckets`` times ``feed_buckets``, should have 100 to 500 MB.
     """
 
     root: str
     buckets: int = 8
+    feed_buckets: int = 16
+    compact_every: int = 16
 
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -98,10 +116,19 @@ def previous(spark: SparkSession, store: Store, run_seq: int):
     return newest_commit(spark, store, f"run_seq < {run_seq}")
 
 
-def _state_of(spark: SparkSession, store: Store, commit) -> DataFrame:
-    """State a commit points to, with the number of buckets it was written with."""
-    run_seq, buckets = (commit.state_run_seq, commit.buckets) if commit else (None, store.buckets)
-    return read_state(spark, store.folder("state"), run_seq, buckets)
+def _layout(commit) -> Layout | None:
+    """Layout of the state a commit points to."""
+    if commit is None or (commit.base_run_seq is None and not commit.log):
+        return None
+    return Layout(commit.base_run_seq, tuple(commit.log or ()), commit.buckets, commit.feed_buckets)
+
+
+def _state_of(
+    spark: SparkSession, store: Store, layout: Layout | None, feeds: DataFrame | None = None
+) -> DataFrame:
+    """State of a layout; with ``feeds``, only the feed buckets that these are in."""
+    wanted = None if layout is None or feeds is None else wanted_buckets(feeds, layout)
+    return read_state(spark, store.folder("state"), store.folder("state_log"), layout, wanted)
 
 
 def read_feed_state(spark: SparkSession, store: Store, run_seq: int | None) -> DataFrame:
@@ -135,7 +162,6 @@ def prepare(
     """
     require_utc(configure(spark))
     last = previous(spark, store, run_seq)
-    state = _state_of(spark, store, last)
     feed_state = read_feed_state(spark, store, last and last.feed_state_run_seq)
 
     # Everything that is attached by feed below has at most a row per registered feed.
@@ -158,6 +184,7 @@ def prepare(
         .join(feeds.select("feed_id", "state_retention_days"), "feed_id")
         .withColumn("now", _moment(now))
     )
+    state = _state_of(spark, store, _layout(last), runs)
     actions = reconcile(normalised(decoded, ("feed_id", "uid")), state, runs, small)
     changed = F.col("action").isin(*CHANGES)
     payload = (*schemas.EVENT_FIELDS, "event_id", "stored_hash", "stored_start")
@@ -203,9 +230,8 @@ def finish(
         responses = spark.createDataFrame([], schemas.RESPONSES)
     rejects = gated.where(F.col("aborted").isNotNull()).select("feed_id", "aborted")
     usable = gated.where(F.col("aborted").isNull())
-    state_run_seq = last and last.state_run_seq
+    layout = _layout(last)
     feed_state_run_seq = last and last.feed_state_run_seq
-    buckets = last.buckets if last else store.buckets
 
     if usable.isEmpty():
         summary = aborted_summary(rejects)
@@ -215,8 +241,7 @@ def finish(
         settled = write_keyed(
             spark, outcomes(changes, results), store.folder("settled"), run_seq, store.buckets
         )
-        state = fold(_state_of(spark, store, last), settled)
-        write_keyed(spark, state, store.folder("state"), run_seq, store.buckets)
+        layout = _advance(spark, store, run_seq, layout, settled)
         write_recent(additions(settled, iso_ms(_moment(now))), store.folder("recent"), run_seq)
         finished = usable.select(
             "feed_id",
@@ -228,8 +253,7 @@ def finish(
         )
         header = advance_feed_state(read_feed_state(spark, store, feed_state_run_seq), finished)
         _saved(header, store, "feed_state", run_seq)
-        state_run_seq = feed_state_run_seq = run_seq
-        buckets = store.buckets
+        feed_state_run_seq = run_seq
         # Every usable feed has events, hence rows to count.
         counted = ["feed_id", "action", "outcome"]
         unchanged = actions.where(F.col("action") == "unchanged").withColumn("outcome", F.lit(None))
@@ -242,12 +266,35 @@ def finish(
 
     summary = summary.withColumn("run_seq", F.lit(run_seq).cast("bigint"))
     summary = _saved(run_alerts(summary), store, "summary", run_seq)
-    _commit(spark, store, run_seq, state_run_seq, feed_state_run_seq, buckets)
+    _commit(spark, store, run_seq, layout, feed_state_run_seq)
     return summary
 
 
-def _commit(spark: SparkSession, store: Store, run_seq: int, *state_of) -> None:
-    record = spark.createDataFrame([(run_seq, *state_of)], COMMIT)
+def _advance(
+    spark: SparkSession, store: Store, run_seq: int, layout: Layout | None, settled: DataFrame
+) -> Layout:
+    """Layout of the state after a run: its changes are logged, and merged into a new base when it is time.
+
+    A first base, and one after the numbers of buckets have changed, is written at once.
+    """
+    if layout is None:
+        layout = Layout(None, (), store.buckets, store.feed_buckets)
+    moved = (layout.buckets, layout.feed_buckets) != (store.buckets, store.feed_buckets)
+    if write_changes(settled, store.folder("state_log"), run_seq, layout.feed_buckets):
+        layout = replace(layout, log=(*layout.log, run_seq))
+    if layout.base is not None and not moved and len(layout.log) < store.compact_every:
+        return layout
+    whole = Layout(run_seq, (), store.buckets, store.feed_buckets)
+    write_base(_state_of(spark, store, layout), store.folder("state"), run_seq, whole)
+    return whole
+
+
+def _commit(
+    spark: SparkSession, store: Store, run_seq: int, layout: Layout | None, feed_state_run_seq: int | None
+) -> None:
+    state = layout or Layout(None, (), store.buckets, store.feed_buckets)
+    row = (run_seq, state.base, list(state.log), feed_state_run_seq, state.buckets, state.feed_buckets)
+    record = spark.createDataFrame([row], COMMIT)
     record.coalesce(1).write.mode("overwrite").json(store.of_run("commits", run_seq))
 
 
@@ -262,7 +309,9 @@ def adopt(spark: SparkSession, store: Store, blobs: DataFrame, run_seq: int = 0)
         raise ValueError(f"{store.root} has state already")
     state, headers, dropped = revive_state(blobs)
     fields = [x.split()[0] for x in schemas.STATE.split(", ")]
-    write_keyed(spark, state.select(*fields), store.folder("state"), run_seq, store.buckets)
+    layout = Layout(run_seq, (), store.buckets, store.feed_buckets)
+    dealt = state.select(*fields).repartition(store.buckets, "feed_id", "uid")
+    write_base(dealt, store.folder("state"), run_seq, layout)
     header = headers.select(
         "feed_id",
         "version",
@@ -272,7 +321,7 @@ def adopt(spark: SparkSession, store: Store, blobs: DataFrame, run_seq: int = 0)
         F.lit(run_seq).cast("bigint").alias("run_seq"),
     )
     _saved(header, store, "feed_state", run_seq)
-    _commit(spark, store, run_seq, run_seq, run_seq, store.buckets)
+    _commit(spark, store, run_seq, layout, run_seq)
     counted = headers.select("feed_id", "was_reset").join(dropped, "feed_id", "left")
     return counted.withColumn("dropped", F.coalesce("dropped", F.lit(0).cast("bigint")))
 
@@ -309,7 +358,7 @@ def run(
 
 def current_state(spark: SparkSession, store: Store) -> DataFrame:
     """State of the newest commit."""
-    return _state_of(spark, store, newest_commit(spark, store))
+    return _state_of(spark, store, _layout(newest_commit(spark, store)))
 
 
 def _recent_log(spark: SparkSession, store: Store) -> tuple[DataFrame, DataFrame] | None:

@@ -25,6 +25,12 @@ EVENTS = (
 
 STATE = "feed_id string, uid string, event_id string, hash string, start string"
 
+# The changes of a run: the state row a key has from then on (put), or that it has none (drop).
+STATE_LOG = (
+    "feed_id string, uid string, effect string, event_id string, hash string, start string, "
+    "run_seq bigint, feed_bucket int"
+)
+
 FEED_STATE = (
     "feed_id string, version int, calendar_id string, last_sync_at timestamp, "
     "applied_snapshot_seq bigint, run_seq bigint"

@@ -1,8 +1,9 @@
-"""State tables: one folder per run, found through a commit record that is written last."""
+"""State tables: a base and the changes of later runs, found through a commit record that is written last."""
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,9 +84,9 @@ def revive_state(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def write_keyed(
-    spark: SparkSession, df: DataFrame, path: str, run_seq: int, buckets: int
+    spark: SparkSession, df: DataFrame, path: str, run_seq: int, buckets: int, parts: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Write a run's table bucketed by (feed_id, uid) and return it.
+    """Write a run's table bucketed by (feed_id, uid), in folders by ``parts``, and return it.
 
     The next join on the key then reads it without a shuffle. A frame that comes out of such a join is
     already partitioned alike, so it is written without one too. ``buckets`` should give files of about
@@ -97,6 +98,7 @@ def write_keyed(
         df.write.mode("overwrite")
         .format("parquet")
         .option("path", f"{path}/run_seq={run_seq}")
+        .partitionBy(*parts)
         .bucketBy(buckets, "feed_id", "uid")
         .sortBy("feed_id", "uid")
         .saveAsTable(name)
@@ -104,25 +106,107 @@ def write_keyed(
     return spark.table(name)
 
 
-def read_state(spark: SparkSession, path: str, run_seq: int | None, buckets: int) -> DataFrame:
-    """State of a committed run, registered again as a bucketed table if this session has not seen it."""
-    if run_seq is None:
-        return spark.createDataFrame([], schemas.STATE)
-    return spark.table(register_keyed(spark, path, run_seq, schemas.STATE, buckets))
-
-
-def register_keyed(spark: SparkSession, path: str, run_seq: int, schema: str, buckets: int) -> str:
+def register_keyed(
+    spark: SparkSession, path: str, run_seq: int, schema: str, buckets: int, parts: tuple[str, ...] = ()
+) -> str:
     """Catalog name of a keyed table, declared again in a session that did not write it."""
     name = table_name(path, run_seq)
     if not spark.catalog.tableExists(name):
+        by = f"PARTITIONED BY ({', '.join(parts)}) " if parts else ""
         spark.sql(
-            f"CREATE TABLE {name} ({schema}) USING parquet "
+            f"CREATE TABLE {name} ({schema}) USING parquet {by}"
             f"CLUSTERED BY (feed_id, uid) SORTED BY (feed_id, uid) INTO {buckets} BUCKETS "
             f"LOCATION '{path}/run_seq={run_seq}'"
         )
+        if parts:
+            spark.sql(f"MSCK REPAIR TABLE {name}")
     return name
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Where a state is and how it is laid out: a base, and the runs whose changes come on top of it.
+
+    The folders of base and changes are by ``feed_bucket``, a hash of the feed, so that a run reads those of
+    its feeds only; the base is bucketed by key within them, so that a feed of any size is spread.
+    """
+
+    base: int | None
+    log: tuple[int, ...]
+    buckets: int
+    feed_buckets: int
+
+
+def feed_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("feed_id"), F.lit(buckets)).cast("int")
+
+
+def wanted_buckets(feeds: DataFrame, layout: Layout) -> list[int]:
+    """Feed buckets of the given feeds; at most as many numbers as there are buckets."""
+    return [r[0] for r in feeds.select(feed_bucket(layout.feed_buckets)).distinct().collect()]
+
+
+def write_changes(settled: DataFrame, path: str, run_seq: int, feed_buckets: int) -> bool:
+    """Write the rows of ``settled`` that have an effect as a run's part of the change log; whether there are any.
+
+    The files follow the amount of changes: small feed buckets share a task, large ones are split.
+    """
+    folder = f"{path}/run_seq={run_seq}"
+    changed = settled.where(F.col("effect") != "keep").select("feed_id", "uid", "effect", "next.*")
+    (
+        changed.withColumn("feed_bucket", feed_bucket(feed_buckets))
+        .hint("rebalance", "feed_bucket")
+        .write.mode("overwrite")
+        .partitionBy("feed_bucket")
+        .parquet(folder)
+    )
+    return not settled.sparkSession.read.schema(schemas.STATE_LOG).parquet(folder).isEmpty()
+
+
+def write_base(state: DataFrame, path: str, run_seq: int, layout: Layout) -> None:
+    """Write a whole state as a base."""
+    rows = state.withColumn("feed_bucket", feed_bucket(layout.feed_buckets))
+    write_keyed(state.sparkSession, rows, path, run_seq, layout.buckets, ("feed_bucket",))
+
+
+def read_state(
+    spark: SparkSession, base_path: str, log_path: str, layout: Layout | None, wanted: list[int] | None = None
+) -> DataFrame:
+    """The state of a layout: the newest change of a key, else its row of the base.
+
+    ``wanted`` restricts it to some feed buckets; folders of others are not read. The base does not move:
+    only the changes are shuffled.
+    """
+    if layout is None:
+        return spark.createDataFrame([], schemas.STATE)
+
+    def pruned(df: DataFrame) -> DataFrame:
+        return df if wanted is None else df.where(F.col("feed_bucket").isin(wanted))
+
+    state = spark.createDataFrame([], schemas.STATE)
+    if layout.base is not None:
+        base = register_keyed(
+            spark, base_path, layout.base, schemas.STATE + ", feed_bucket int", layout.buckets, ("feed_bucket",)
+        )
+        state = pruned(spark.table(base)).drop("feed_bucket")
+    if not layout.log:
+        return state
+    log = (
+        spark.read.schema(schemas.STATE_LOG)
+        .option("basePath", log_path)
+        .parquet(*(f"{log_path}/run_seq={r}" for r in layout.log))
+    )
+    newest = newest_changes(pruned(log))
+    kept = state.join(newest.select("feed_id", "uid"), ["feed_id", "uid"], "left_anti")
+    return kept.unionByName(newest.where("effect = 'put'").drop("effect"))
+
+
+def newest_changes(log: DataFrame) -> DataFrame:
+    """The last change of each key, whatever the number of runs."""
+    last = F.max_by(F.struct("effect", "event_id", "hash", "start"), "run_seq").alias("__last")
+    return log.groupBy("feed_id", "uid").agg(last).select("feed_id", "uid", "__last.*")
+
+
 def table_name(path: str, run_seq: int) -> str:
     """Catalog name of a run's table; the folder's digest keeps different stores apart."""
     return f"snapfold_{hashlib.sha256(path.encode()).hexdigest()[:12]}_{run_seq}"
