@@ -14,6 +14,7 @@ from snapfold.functions.text import (
 )
 from snapfold.operators.batching import body_content, payload
 from snapfold.operators.reconcile import shared_digests
+from snapfold.operators.redaction import redact_by_table
 from snapfold.sources.snapshots import escape_text
 from snapfold.workloads.catalog import hash_sql, query, table
 
@@ -95,6 +96,26 @@ def redact_documents(spark, sf_dir):
     )
 
 
+_LITERALS = "SELECT substr(text, {0}, {1}) AS literal FROM benchmark"
+
+
+@query(
+    "redact_by_table",
+    f"""
+    WITH literals AS (
+      {_LITERALS.format(1, 40)} UNION {_LITERALS.format(1, 20)} UNION {_LITERALS.format(11, 30)} UNION {_LITERALS.format(60, 9)}),
+    pattern AS (
+      SELECT string_agg(regexp_escape(literal), '|' ORDER BY length(literal) DESC) AS p FROM literals WHERE length(literal) >= 8)
+    SELECT doc_id, regexp_replace(text, p, '[redacted]', 'g') AS text FROM documents, pattern
+    """,
+)
+def redact_by_literals(spark, sf_dir):
+    text = F.col("text")
+    parts = [F.substring(text, a, n) for a, n in ((1, 40), (1, 20), (11, 30), (60, 9))]
+    literals = table(spark, sf_dir, "benchmark").select(F.explode(F.array(*parts)).alias("literal"))
+    return redact_by_table(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", literals)
+
+
 @query("fingerprint", "SELECT doc_id, substr(sha256(text), 1, 8) AS print FROM documents")
 def fingerprints(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.col("text")).alias("print"))
