@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapfold.functions.text import js_trim
+from snapfold.functions.zones import DAY_MS, at_most_longest
 
 # Shapes of a date, a date-time and a duration.
 DATE_SHAPE = r"[0-9]{8}"
@@ -14,6 +15,8 @@ DURATION_SHAPE = (
     r"([+-])?P(?:([0-9]+)W)?(?:([0-9]+)D)?"
     r"(?:T(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+)S)?)?"
 )
+# The last millisecond of the year 9999.
+LAST_US = 253_402_300_799_999_000
 UNIT_MS = {2: 604_800_000, 3: 86_400_000, 4: 3_600_000, 5: 60_000, 6: 1_000}
 
 
@@ -99,11 +102,13 @@ def duration_ms(col: Column) -> Column:
     """Signed milliseconds of a duration, NULL where the text is not one."""
     text = js_trim(col)
     whole = f"^{DURATION_SHAPE}$"
-    magnitude = F.lit(0).cast("bigint")
+    # Doubles hold all sums below the longest span exactly; what is longer counts as it.
+    magnitude = F.lit(0.0)
     for group, unit in UNIT_MS.items():
         # The leading zero gives an absent part a value; a failing cast costs an exception per row.
-        part = F.concat(F.lit("0"), F.regexp_extract(text, whole, group)).try_cast("bigint")
-        magnitude = magnitude + F.coalesce(part, F.lit(0)) * unit
+        part = F.concat(F.lit("0"), F.regexp_extract(text, whole, group)).try_cast("double")
+        magnitude = magnitude + F.coalesce(part, F.lit(0.0)) * unit
+    magnitude = at_most_longest(magnitude, DAY_MS).cast("bigint")
     sign = F.when(F.startswith(text, F.lit("-")), F.lit(-1)).otherwise(F.lit(1))
     return F.when(text.rlike(whole), sign * magnitude)
 
@@ -113,9 +118,16 @@ def event_end(
 ) -> Column:
     """End of an event: given end, else duration, else one day or the default length.
 
-    An end before the start is replaced by that default; an end equal to the start is kept.
+    An end before the start is replaced by that default; an end equal to the start is kept. A length that goes
+    beyond the year 9999 ends with it.
     """
     start_us = F.unix_micros(start)
-    filler = F.when(is_all_day, F.lit(86_400_000)).otherwise(default_minutes.cast("bigint") * 60_000)
-    wanted = F.coalesce(F.unix_micros(dtend), start_us + duration * 1000, start_us + filler * 1000)
-    return F.timestamp_micros(F.when(wanted < start_us, start_us + filler * 1000).otherwise(wanted))
+    minutes = at_most_longest(default_minutes.cast("bigint"), 1440)
+    filler = F.when(is_all_day, F.lit(86_400_000)).otherwise(minutes * 60_000)
+
+    def after(span: Column) -> Column:
+        end = start_us + span * 1000
+        return F.when(end > LAST_US, F.greatest(start_us, F.lit(LAST_US))).otherwise(end)
+
+    wanted = F.coalesce(F.unix_micros(dtend), after(duration), after(filler))
+    return F.timestamp_micros(F.when(wanted < start_us, after(filler)).otherwise(wanted))

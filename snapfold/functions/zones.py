@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 MICROS = 1_000_000
 DAY_MS = 86_400_000
+# More days than any two timestamps are apart; a span is never longer, so that sums of micros fit 64 bits.
+LONGEST_DAYS = 50_000_000
 
 _zone_lists: dict[str, list[tuple[str, str]]] = {}
 
 
+
+def at_most_longest(span: Column, per_day: int) -> Column:
+    """A span, of so many units a day, that is cut at the longest one; NULL stays NULL."""
+    longest = LONGEST_DAYS * per_day
+    return F.when(span > longest, F.lit(longest)).otherwise(span)
+
+
 def zones(spark: SparkSession) -> DataFrame:
     """Dimension lower-cased id -> id, of every zone this runtime converts with (about 600 rows).
 

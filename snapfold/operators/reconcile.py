@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapfold.functions.zones import DAY_MS, parse_iso
+from snapfold.functions.zones import DAY_MS, at_most_longest, parse_iso
 from snapfold.operators.spread import attach, digest_bucket, fits_broadcast, position_within
 from snapfold.schemas import EVENT_FIELDS
 
@@ -52,8 +52,12 @@ def is_deletable(start: Column, now: Column) -> Column:
 
 
 def is_prunable(start: Column, now: Column, retention_days: Column) -> Column:
-    """A key that left the feed is forgotten if its start is unreadable or past the retention."""
-    cutoff = F.unix_micros(now) - retention_days.cast("bigint") * (DAY_MS * 1000)
+    """A key that left the feed is forgotten if its start is unreadable or past the retention.
+
+    A retention longer than all time is never over.
+    """
+    days = at_most_longest(retention_days.cast("bigint"), 1)
+    cutoff = F.unix_micros(now) - days * (DAY_MS * 1000)
     return F.coalesce(F.unix_micros(start) < cutoff, F.lit(True))
 
 

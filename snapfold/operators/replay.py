@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from snapfold.functions.zones import DAY_MS
+from snapfold.functions.zones import DAY_MS, at_most_longest
 from snapfold.operators.spread import BROADCAST_ROWS, attach
 
 DAY_US = DAY_MS * 1000
@@ -167,7 +167,7 @@ def replay(
     )
     linked = neighbours(rows, chunked)
 
-    retention_us = F.col("state_retention_days").cast("bigint") * DAY_US
+    retention_us = at_most_longest(F.col("state_retention_days").cast("bigint"), 1) * DAY_US
     cutoff = F.col("start_us") + retention_us
 
     def ended(absent: Column, start: Column, next_us: Column, last_absent_us: Column) -> Column:

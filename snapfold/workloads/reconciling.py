@@ -316,7 +316,7 @@ ops AS (
            CASE action WHEN 'create' THEN 0 WHEN 'update' THEN 1 ELSE 2 END, feed_ord,
            substr(sha256(uid), 1, 3), uid) - 1 AS op_ord
   FROM actions WHERE action IN ('create', 'update', 'delete')),
-requests AS (
+requests AS MATERIALIZED (
   SELECT *, CAST(floor(op_ord / 20) AS BIGINT) AS batch_id, 'op-' || op_ord AS id FROM ops)
 """
 
@@ -394,35 +394,35 @@ def outbox_rows(spark, sf_dir):
 # Attempts of the operations: a response per attempt up to the third, some of them missing.
 _ATTEMPTS = f"""
 {_OPS},
-responses AS (
-  SELECT r.feed_id, r.batch_id, r.id, r.uid, r.kind, a.attempt, a.status,
-         CASE WHEN a.status = 200 AND substr(md5(r.feed_id || '/' || r.uid), 9, 1) <> '0'
-              THEN '{{"id":"new-' || r.uid || '"}}'
+attempts AS MATERIALIZED (
+  SELECT feed_id, batch_id, id, uid, kind, unnest([1, 2, 3]) AS attempt,
+         unnest([{status_sql(1)}, {status_sql(2)}, {status_sql(3)}]) AS status
+  FROM requests r),
+responses AS MATERIALIZED (
+  SELECT a.feed_id, a.batch_id, a.id, a.uid, a.kind, a.attempt, a.status,
+         CASE WHEN a.status = 200 AND substr(md5(a.feed_id || '/' || a.uid), 9, 1) <> '0'
+              THEN '{{"id":"new-' || a.uid || '"}}'
               WHEN a.status = 200 THEN '{{}}'
               ELSE '{{"error":{{"code":"E' || a.status || '","message":"attempt ' || a.attempt || '"}}}}'
          END AS body,
-         CASE a.status WHEN 429 THEN substr(r.uid, 1, 1) WHEN 503 THEN 'soon' END AS retry_after
-  FROM requests r, LATERAL (
-    SELECT 1 AS attempt, {status_sql(1)} AS status
-    UNION ALL SELECT 2, {status_sql(2)}
-    UNION ALL SELECT 3, {status_sql(3)}) a
-  WHERE a.status IS NOT NULL),
-answers AS (
+         CASE a.status WHEN 429 THEN substr(a.uid, 1, 1) WHEN 503 THEN 'soon' END AS retry_after
+  FROM attempts a WHERE a.status IS NOT NULL),
+answers AS MATERIALIZED (
   SELECT feed_id, batch_id, id, min(attempt) AS settled_attempt,
          arg_min(status, attempt) AS status, arg_min(body, attempt) AS body
   FROM responses WHERE status NOT IN (429, 500, 502, 503, 504) OR attempt = 3 GROUP BY ALL),
-settled AS (
+settled AS MATERIALIZED (
   SELECT r.feed_id, r.batch_id, r.id, r.uid, r.kind, a.settled_attempt, coalesce(a.status, 503) AS status,
          coalesce(a.body, '{{"error":{{"code":"batchRetriesExhausted"}}}}') AS body
   FROM requests r LEFT JOIN answers a USING (feed_id, batch_id, id)),
-results AS (
+results AS MATERIALIZED (
   SELECT feed_id, uid, kind,
          CASE WHEN status = 200 AND kind = 'create' THEN json_extract_string(body, '$.id') END AS event_id,
          CASE WHEN status <> 200 THEN json_extract_string(body, '$.error.message') END AS error,
          CASE WHEN status = 200 AND kind = 'create' AND json_extract_string(body, '$.id') IS NULL
               THEN 502 ELSE status END AS status
   FROM settled),
-outcomes AS (
+outcomes AS MATERIALIZED (
   SELECT a.*, r.status, r.kind, r.event_id AS new_id,
          CASE WHEN r.kind IS NULL THEN NULL
               WHEN r.kind = 'create' THEN CASE WHEN r.status = 200 THEN 'created' ELSE 'error' END
