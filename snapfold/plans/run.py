@@ -12,7 +12,6 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +40,8 @@ from snapfold.operators.spread import attach, fits_broadcast
 from snapfold.operators.targets import resolve_targets
 from snapfold.session import configure, require_utc
 from snapfold.sources.batchlog import write_outbox
+from snapfold.sources.commitlog import read_commits, write_commit
+from snapfold.sources.folders import exists, remove, runs_below
 from snapfold.sources.recent import recent, recent_by_feed, write_recent
 from snapfold.sources.snapshots import MAX_DOCUMENT_BYTES, admit, newest_per_feed, polls
 from snapfold.sources.state import (
@@ -49,6 +50,7 @@ from snapfold.sources.state import (
     read_state,
     register_keyed,
     revive_state,
+    table_name,
     wanted_buckets,
     write_base,
     write_changes,
@@ -57,12 +59,6 @@ from snapfold.sources.state import (
 
 log = logging.getLogger(__name__)
 
-# ``base_run_seq`` and ``log`` name the state's base and the runs whose changes follow it.
-COMMIT = (
-    "run_seq bigint, base_run_seq bigint, log array<bigint>, feed_state_run_seq bigint, buckets int, "
-    "feed_buckets int"
-)
-
 # Applies the requests of an outbox and returns the logged responses (schemas.RESPONSES).
 Applier = Callable[[DataFrame], DataFrame]
 
@@ -75,13 +71,15 @@ class Store:
     change something. Both lie in ``feed_buckets`` folders by feed, of which a run reads those of its feeds;
     the base is bucketed by key in each of them. With at least as many ``buckets`` as shuffle partitions the
     base is never shuffled, with equally many the events are shuffled once. The files of a base, at most
-    ``buckets`` times ``feed_buckets``, should have 100 to 500 MB.
+    ``buckets`` times ``feed_buckets``, should have 100 to 500 MB. Commit records are folded into one file when
+    there are more than ``fold_every``.
     """
 
     root: str
     buckets: int = 8
     feed_buckets: int = 16
     compact_every: int = 16
+    fold_every: int = 64
 
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -97,12 +95,7 @@ def commits(spark: SparkSession, store: Store) -> list:
 
 
 def _commit_log(spark: SparkSession, store: Store) -> DataFrame | None:
-    try:
-        return spark.read.schema(COMMIT).json(store.folder("commits"))
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    return read_commits(spark, store.root)
 
 
 def newest_commit(spark: SparkSession, store: Store, condition: str = "true"):
@@ -294,8 +287,39 @@ def _commit(
 ) -> None:
     state = layout or Layout(None, (), store.buckets, store.feed_buckets)
     row = (run_seq, state.base, list(state.log), feed_state_run_seq, state.buckets, state.feed_buckets)
-    record = spark.createDataFrame([row], COMMIT)
-    record.coalesce(1).write.mode("overwrite").json(store.of_run("commits", run_seq))
+    write_commit(spark, store.root, row, store.fold_every)
+
+
+#: What a run leaves that nothing reads once the run is committed and another follows.
+RUN_FOLDERS = ("decoded", "gate", "actions", "outbox", "responses", "settled", "summary")
+
+
+def vacuum(spark: SparkSession, store: Store, keep: int = 2) -> int:
+    """Remove what the newest ``keep`` commits don't need; returns the number of folders removed.
+
+    The state's bases and changes, the feed headers and the run folders of older runs go, with their tables
+    in the catalogue, unless a kept commit refers to them. So do those of runs that stopped before they were
+    committed, but not of a run after the newest commit, which may be under way. The log of additions stays.
+    """
+    found = _commit_log(spark, store)
+    kept = [] if found is None else found.orderBy(F.desc("run_seq")).limit(max(keep, 1)).collect()
+    if not kept:
+        return 0
+    newest, oldest = kept[0].run_seq, kept[-1].run_seq
+    needed = {
+        "state": {c.base_run_seq for c in kept},
+        "state_log": {r for c in kept for r in c.log or ()},
+        "feed_state": {c.feed_state_run_seq for c in kept},
+    }
+    removed = 0
+    for name in (*needed, *RUN_FOLDERS):
+        for run_seq in runs_below(spark, store.folder(name)):
+            if run_seq >= oldest if name not in needed else run_seq in needed[name] or run_seq > newest:
+                continue
+            spark.sql(f"DROP TABLE IF EXISTS {table_name(store.folder(name), run_seq)}")
+            remove(spark, store.of_run(name, run_seq))
+            removed += 1
+    return removed
 
 
 def adopt(spark: SparkSession, store: Store, blobs: DataFrame, run_seq: int = 0) -> DataFrame:
@@ -364,13 +388,10 @@ def current_state(spark: SparkSession, store: Store) -> DataFrame:
 def _recent_log(spark: SparkSession, store: Store) -> tuple[DataFrame, DataFrame] | None:
     """The log of recent additions, and the runs that are committed."""
     committed = _commit_log(spark, store)
-    try:
-        log = spark.read.schema(schemas.RECENT).parquet(store.folder("recent"))
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if committed is None or not exists(spark, store.folder("recent")):
         return None
-    return None if committed is None else (log, committed.select("run_seq").distinct())
+    log = spark.read.schema(schemas.RECENT).parquet(store.folder("recent"))
+    return log, committed.select("run_seq").distinct()
 
 
 def recent_additions(spark: SparkSession, store: Store, limit: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snapfold.operators.spread import KEY_ROWS, attach, fits_broadcast
+from snapfold.sources.folders import exists
 
 # Fixed value: largest document that is read.
 MAX_DOCUMENT_BYTES = 8 * 1024 * 1024
@@ -61,6 +62,22 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return named(files)
 
 
+def read_folders(spark: SparkSession, path: str, keys: list[tuple[str, int]]) -> DataFrame:
+    """Documents of some snapshots' folders, those that are still there; no other folder is listed."""
+    folders = [f"{path}/feed_id={feed}/snapshot_seq={seq}" for feed, seq in keys]
+    folders = [x for x in folders if exists(spark, x)]
+    if not folders:
+        return named(spark.createDataFrame([], FILE_SCHEMA))
+    files = (
+        spark.read.format("binaryFile")
+        .schema(FILE_SCHEMA)
+        .option("basePath", path)
+        .option("pathGlobFilter", "*.ics")
+        .load(folders)
+    )
+    return named(files)
+
+
 def polls(documents: DataFrame) -> DataFrame:
     """One row per snapshot: the time its last part arrived and the number of parts it should have."""
     return documents.groupBy("feed_id", "snapshot_seq").agg(

@@ -7,12 +7,12 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from snapfold.plans.run import Applier, Store, newest_commit, run
 from snapfold.session import configure
-from snapfold.sources.snapshots import FILE_SCHEMA, named, read_snapshots, silent_feeds
+from snapfold.sources.snapshots import FILE_SCHEMA, named, read_folders, read_snapshots
+from snapfold.streaming.ledger import Ledger
 
 
 def start_stream(
@@ -26,9 +26,10 @@ def start_stream(
 ) -> StreamingQuery:
     """Process what has landed since the last call, then stop; a scheduler calls it again.
 
-    ``registry`` returns the checked feeds and the target catalogue as they are now. A micro-batch only names
-    the snapshots that something was added to; their parts are read from the landing folder, and a snapshot
-    that still lacks a part stays as it is until a later batch names it again. Before a run starts its number,
+    ``registry`` returns the checked feeds and the target catalogue as they are now. A ledger tells which snapshots
+    a micro-batch completes: those that it holds as a whole are read from the batch, those that earlier ones began
+    from their own folders; the landing folder is not listed again. A snapshot that still lacks a part stays as it
+    is until a later batch completes it. Before a run starts its number,
     the one after the newest commit, and its clock are saved under the stream's and the batch's id: a batch
     that Spark repeats is the same run at the same time, and a new stream checkpoint goes on with new numbers.
     With ``max_age`` a run also reports the registered feeds that have landed nothing for so long; a call for
@@ -46,10 +47,18 @@ def start_stream(
         stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         run_seq, now = _run_of(spark, store, f"{stream}/{batch_id}", clock)
         feeds, targets = registry()
-        touched = named(batch).select("feed_id", "snapshot_seq").distinct()
-        landed = read_snapshots(spark, landing)
-        silent = None if max_age is None else silent_feeds(landed, feeds, now, max_age)
-        run(spark, store, run_seq, now, complete(landed, touched), feeds, targets, applier, silent=silent)
+        documents = named(batch)
+        ledger = Ledger(spark, f"{store.folder('ledger')}/{stream}")
+        ledger.begin(batch_id, lambda: read_snapshots(spark, landing))
+        done, begun = ledger.add(batch_id, documents)
+        key = ["feed_id", "snapshot_seq"]
+        # of registered feeds only, whose names are plain
+        known = begun.join(feeds.select("feed_id"), "feed_id", "left_semi")
+        begun_keys = [(r.feed_id, r.snapshot_seq) for r in known.collect()]
+        mine = documents.join(done.join(begun, key, "left_anti"), key, "left_semi")
+        whole = mine.unionByName(read_folders(spark, landing, begun_keys))
+        silent = None if max_age is None else ledger.silent(batch_id, feeds, now, max_age)
+        run(spark, store, run_seq, now, whole, feeds, targets, applier, silent=silent)
 
     return (
         files.writeStream.foreachBatch(one_batch)
@@ -59,17 +68,6 @@ def start_stream(
     )
 
 
-def complete(documents: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Documents of those of the given snapshots that have all their parts.
-
-    Only keys are aggregated; the join prunes the folders of other snapshots.
-    """
-    key = ["feed_id", "snapshot_seq"]
-    keys = documents.join(snapshots, key, "left_semi")
-    counted = keys.groupBy(*key).agg(F.countDistinct("part").alias("there"), F.max("parts").alias("parts"))
-    return documents.join(counted.where("there >= parts").select(*key), key, "left_semi")
-
-
 def _run_of(
     spark: SparkSession, store: Store, batch: str, clock: Callable[[], dt.datetime]
 ) -> tuple[int, dt.datetime]:
