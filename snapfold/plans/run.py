@@ -41,8 +41,9 @@ from snapfold.operators.targets import resolve_targets
 from snapfold.session import configure, require_utc
 from snapfold.sources.batchlog import write_outbox
 from snapfold.sources.commitlog import read_commits, write_commit
+from snapfold.sources.export import state_parts, write_states
 from snapfold.sources.folders import exists, remove, runs_below
-from snapfold.sources.recent import recent, recent_by_feed, write_recent
+from snapfold.sources.recent import recent, recent_by_feed, revive_recent, write_recent
 from snapfold.sources.snapshots import MAX_DOCUMENT_BYTES, admit, newest_per_feed, polls
 from snapfold.sources.state import (
     STATE_VERSION,
@@ -322,9 +323,20 @@ def vacuum(spark: SparkSession, store: Store, keep: int = 2) -> int:
     return removed
 
 
-def adopt(spark: SparkSession, store: Store, blobs: DataFrame, run_seq: int = 0) -> DataFrame:
+def export_states(spark: SparkSession, store: Store, path: str, per_part: int = 10_000) -> None:
+    """Write the newest state as one JSON file per feed, which ``adopt`` can read again."""
+    last = newest_commit(spark, store)
+    headers = read_feed_state(spark, store, last and last.feed_state_run_seq)
+    write_states(state_parts(_state_of(spark, store, _layout(last)), headers, per_part), path)
+
+
+def adopt(
+    spark: SparkSession, store: Store, blobs: DataFrame, run_seq: int = 0, log_json: DataFrame | None = None
+) -> DataFrame:
     """Begin a store with stored JSON states (feed_id, json), so that a first run re-creates nothing.
 
+    ``log_json`` (json) brings in a stored log of recent additions. Its entries count as additions of runs before
+    all runs of the store, one each, so that they keep their stored order behind whatever is added later.
     Returns (feed_id, was_reset, dropped): whether a feed's text was unusable as a whole, and its broken
     entries. A store that has a commit is left alone, as its own state is newer.
     """
@@ -345,6 +357,10 @@ def adopt(spark: SparkSession, store: Store, blobs: DataFrame, run_seq: int = 0)
         F.lit(run_seq).cast("bigint").alias("run_seq"),
     )
     _saved(header, store, "feed_state", run_seq)
+    if log_json is not None:
+        entries = revive_recent(log_json).withColumn("run_seq", -1 - F.col("ord"))
+        names = [x.split()[0] for x in schemas.RECENT.split(", ")]
+        entries.select(*names).write.mode("overwrite").parquet(store.folder("recent_adopted"))
     _commit(spark, store, run_seq, layout, run_seq)
     counted = headers.select("feed_id", "was_reset").join(dropped, "feed_id", "left")
     return counted.withColumn("dropped", F.coalesce("dropped", F.lit(0).cast("bigint")))
@@ -385,32 +401,33 @@ def current_state(spark: SparkSession, store: Store) -> DataFrame:
     return _state_of(spark, store, _layout(newest_commit(spark, store)))
 
 
-def _recent_log(spark: SparkSession, store: Store) -> tuple[DataFrame, DataFrame] | None:
-    """The log of recent additions, and the runs that are committed."""
+def _adopted(spark: SparkSession, store: Store) -> DataFrame:
+    """Entries of the log that the store began with."""
+    if not exists(spark, store.folder("recent_adopted")):
+        return spark.createDataFrame([], schemas.RECENT)
+    return spark.read.schema(schemas.RECENT).parquet(store.folder("recent_adopted"))
+
+
+def _recent_log(spark: SparkSession, store: Store) -> DataFrame:
+    """The log of recent additions of the committed runs."""
     committed = _commit_log(spark, store)
     if committed is None or not exists(spark, store.folder("recent")):
-        return None
+        return spark.createDataFrame([], schemas.RECENT)
     log = spark.read.schema(schemas.RECENT).parquet(store.folder("recent"))
-    return log, committed.select("run_seq").distinct()
+    return log.join(committed.select("run_seq").distinct(), "run_seq", "left_semi")
 
 
 def recent_additions(spark: SparkSession, store: Store, limit: int) -> DataFrame:
-    """The newest additions of committed runs, read from no more runs than can fill the view."""
-    found = _recent_log(spark, store)
-    if found is None:
-        return spark.createDataFrame([], schemas.RECENT)
-    log, committed = found
+    """The newest additions of committed runs, read from no more runs than can fill the view, then the adopted ones."""
+    log, adopted = _recent_log(spark, store), _adopted(spark, store)
     # A run in the log has at least one entry, so this many runs are enough; only the folder column is read.
-    filled = log.select("run_seq").distinct().join(committed, "run_seq")
-    newest = filled.orderBy(F.desc("run_seq")).limit(max(limit, 1))
+    newest = log.select("run_seq").distinct().orderBy(F.desc("run_seq")).limit(max(limit, 1))
     oldest = newest.agg(F.min("run_seq")).first()[0]
-    return recent(log.where(F.col("run_seq") >= F.lit(oldest)).join(committed, "run_seq", "left_semi"), limit)
+    if oldest is not None:
+        adopted = log.where(F.col("run_seq") >= F.lit(oldest)).unionByName(recent(adopted, limit))
+    return recent(adopted, limit)
 
 
 def feed_additions(spark: SparkSession, store: Store, feeds: DataFrame) -> DataFrame:
-    """The newest additions of committed runs per registered feed, as many as its ``recent_limit``."""
-    found = _recent_log(spark, store)
-    if found is None:
-        return spark.createDataFrame([], schemas.RECENT)
-    log, committed = found
-    return recent_by_feed(log.join(committed, "run_seq", "left_semi"), feeds).select(*log.columns)
+    """The newest additions per registered feed, as many as its ``recent_limit``; adopted ones come last."""
+    return recent_by_feed(_recent_log(spark, store).unionByName(_adopted(spark, store)), feeds)

@@ -42,6 +42,7 @@ from snapfold.operators.settle import (
 from snapfold.functions.zones import iso_ms
 from snapfold.sources.recent import recent, recent_page
 from snapfold.sources.snapshots import newest_per_feed
+from snapfold.sources.export import state_parts
 from snapfold.workloads.catalog import (
     ACTIONS,
     EV,
@@ -691,3 +692,30 @@ def newest_snapshots(spark, sf_dir):
     )
     # Every user is registered, so the registry leaves all of them in.
     return newest_per_feed(docs, applied, docs).withColumnRenamed("part", "event_id")
+
+
+@query(
+    "state_export",
+    f"""
+    WITH {SIDES},
+    placed AS (
+      SELECT *, CAST('0x' || substr(sha256(uid), 1, 6) AS BIGINT) AS place, count(*) OVER (PARTITION BY feed_id) AS n FROM stored),
+    bodies AS (
+      SELECT feed_id, CAST(floor(place * ceil(n / 200.0) / 16777216) AS BIGINT) AS cut,
+             string_agg(to_json(uid) || ':' || to_json({{'eventId': event_id, 'hash': hash, 'start': "start"}}), ',' ORDER BY place, uid) AS body
+      FROM placed GROUP BY ALL),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY cut) AS part FROM bodies),
+    heads AS (
+      SELECT f.feed_id, 'cal-' || f.feed_id AS cal, coalesce(max(part), 0) + 1 AS last
+      FROM (SELECT DISTINCT event_type AS feed_id FROM events) f LEFT JOIN numbered USING (feed_id) GROUP BY ALL)
+    SELECT feed_id, part, CASE WHEN part > 1 THEN ',' ELSE '' END || body AS text FROM numbered
+    UNION ALL
+    SELECT feed_id, 0, '{{"version":1,"calendarId":"' || cal || '","lastSyncAt":"2024-01-01T00:00:00.000Z","events":{{' FROM heads
+    UNION ALL SELECT feed_id, last, '}}}}' FROM heads
+    """,
+)
+def state_export(spark, sf_dir):
+    headers = all_feeds(spark, sf_dir).select(
+        "feed_id", F.concat(F.lit("cal-"), "feed_id").alias("calendar_id"), F.lit("2024-01-01").cast("timestamp").alias("last_sync_at")
+    )
+    return state_parts(sides(spark, sf_dir)[1], headers, per_part=200)
