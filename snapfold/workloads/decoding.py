@@ -414,3 +414,46 @@ def admission(spark, sf_dir):
         warn_content_type(shown_as).alias("warn"),
     )
     return admit(pages, MAX_DOCUMENT_BYTES // 1000)
+
+
+# Events as feeds of other tools write them: folded lines, a zone by name or by a name that none has, a length in
+# place of an end, a title given twice, a byte that is no UTF-8, and a blank uid from a value of 100 on.
+@query(
+    "decoded_oddities",
+    f"""
+    WITH odd AS (
+      SELECT event_type AS feed_id, CAST(event_id AS VARCHAR) AS uid, event_type || ' ' || props AS summary,
+             'a' || chr(65533) || 'b ' || props AS description, CAST(NULL AS VARCHAR) AS url,
+             timezone('UTC', timezone(CASE user_id % 3 WHEN 0 THEN 'Europe/Oslo' WHEN 1 THEN 'America/New_York'
+               ELSE CASE WHEN event_type < 'f' THEN 'Europe/Oslo' ELSE 'UTC' END END, date_trunc('second', ts))) AS "start",
+             event_id % 90 AS minutes
+      FROM events WHERE value < 100),
+    ev AS (SELECT *, "start" + to_minutes(CAST(minutes AS BIGINT)) AS "end" FROM odd)
+    SELECT feed_id, uid, summary, description, {iso_sql('"start"')} AS "start", {iso_sql('"end"')} AS "end", {hash_sql()} AS hash FROM ev
+    """,
+)
+def decoded_oddities(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    uid = F.when(F.col("value") < 100, F.col("event_id").cast("string")).otherwise(F.lit(" "))
+    zone = F.when(F.col("user_id") % 3 == 0, "Europe/Oslo").when(F.col("user_id") % 3 == 1, '"america/new_york"').otherwise("Mars/Olympus")
+    wall = F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd'T'HHmmss")
+    head = F.concat(
+        F.lit("BEGIN:VEVENT\r\nUID:"), uid, F.lit("\r\nDTSTART;TZID="), zone, F.lit(":"), wall,
+        F.lit("\r\nDURATION:PT"), (F.col("event_id") % 90).cast("string"),
+        F.lit("M\r\nSUMMARY:not this\r\nsum\r\n mary:"), "event_type", F.lit("\r\n\t "), "props", F.lit("\nDESCRIPTION:a"),
+    )
+    tail = F.concat(F.lit("b "), "props", F.lit("\r\nEND:VEVENT\r\n"))
+    blocks = e.select(
+        F.col("event_type").alias("feed_id"),
+        F.floor(F.col("event_id") / 200).alias("part"),
+        "event_id",
+        F.concat(F.hex(F.encode(head, "UTF-8")), F.lit("FF"), F.hex(F.encode(tail, "UTF-8"))).alias("block"),
+    )
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "block"))), lambda b: b["block"])
+    docs = blocks.groupBy("feed_id", "part").agg(F.unhex(F.array_join(listed, "")).alias("content"))
+    docs = docs.withColumn("snapshot_seq", F.lit(1).cast("bigint"))
+    feeds = e.select(F.col("event_type").alias("feed_id")).distinct()
+    events = normalised(decode(docs, feed_settings(feeds), zones(spark)))
+    return events.select(
+        "feed_id", "uid", "summary", "description", iso_ms(F.col("start")).alias("start"), iso_ms(F.col("end")).alias("end"), "hash"
+    )
