@@ -18,9 +18,9 @@ from snapfold.sources.folders import exists
 
 # Fixed value: largest document that is read.
 MAX_DOCUMENT_BYTES = 8 * 1024 * 1024
-# A written part ends with the event that brings it over so many bytes, and stays below the ceiling
-# unless a single event has half of it.
-PART_BYTES = MAX_DOCUMENT_BYTES // 2
+# A written part ends with the event that brings it over so many bytes; an event that is larger is a part of
+# its own. So a part stays below the ceiling unless a single event doesn't.
+PART_BYTES = MAX_DOCUMENT_BYTES // 2 - 1024
 
 _PART = r"/part-(\d+)-of-(\d+)\.ics$"
 # The columns of Spark's binaryFile source and those of the folders, with their types fixed.
@@ -144,8 +144,12 @@ def ics_parts(events: DataFrame, per_part: int = 10_000, part_bytes: int = PART_
         vevent_text().alias("text"),
     )
     before = W.partitionBy(*chunk).orderBy("feed_ord").rowsBetween(W.unboundedPreceding, -1)
-    running = F.coalesce(F.sum(F.octet_length("text") + 2).over(before), F.lit(0))
-    sized = texts.withColumn("__sub", F.floor(running / part_bytes))
+    size = F.octet_length("text") + 2
+    large = F.when(size > part_bytes, F.lit(1)).otherwise(F.lit(0))
+    running = F.coalesce(F.sum(size).over(before), F.lit(0))
+    # Odd where the event is a part of its own, one more behind it.
+    alone = 2 * F.coalesce(F.sum(large).over(before), F.lit(0)) + large
+    sized = texts.withColumn("__sub", F.struct(alone.alias("alone"), F.floor(running / part_bytes).alias("by_size")))
     bodies = sized.groupBy(*chunk, "__sub").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("feed_ord", "text"))), lambda e: e.text), "\r\n"

@@ -345,3 +345,7 @@ def test_parts_are_cut_by_bytes(spark):
         uids = [line for _, _, t in own for line in t.split("\r\n") if line.startswith("UID:")]
         assert len(uids) == n and uids == sorted(uids)
     assert max(len(r.text) for r in parts if r.feed_id == "f") < 5200
+    # an event that is larger than a part stands alone, so no part is larger than two of them because of its neighbours
+    for r in parts:
+        if len(r.text) > 5200:
+            assert r.text.count("BEGIN:VEVENT") == 1
