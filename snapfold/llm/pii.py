@@ -84,7 +84,9 @@ def emails(text: str) -> list[tuple[int, int]]:
     found, done = [], 0
     for m in _DOMAIN.finditer(text):
         at = m.start()
-        start = done + len(text[done:at].rstrip(_LOCAL))
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
         if start < at:
             found.append((start, m.end()))
             done = m.end()
