@@ -66,6 +66,16 @@ def vevent_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def is_begin(line: Column) -> Column:
+    """Whether an unfolded line opens an event block."""
+    return line.rlike(_BEGIN)
+
+
+def is_end(line: Column) -> Column:
+    """Whether an unfolded line closes an event block."""
+    return line.rlike(_END)
+
+
 def pick(block: Column, name: str) -> Column:
     """The last line called ``name`` in a block from its colon on; empty if there is none."""
     return F.regexp_extract(block, rf"(?s)^.*\n(?i:{name}){_PARAMS}(:[^\n]*+)", 1)
@@ -120,31 +130,55 @@ def properties(blocks: DataFrame) -> DataFrame:
     )
 
 
-def decode(docs: DataFrame, feeds: DataFrame, zone_dim: DataFrame) -> DataFrame:
-    """One row per event block of the documents, with ``bad`` and ``kept`` flags, before dedupe.
-
-    ``bad`` rows spoil their whole snapshot (see the gate); ``kept`` rows are closed and have an
-    identity. ``feeds`` gives the default length and the fallback zone.
-    """
-    zone_of = resolve_zone(
+def _settings(feeds: DataFrame, zone_dim: DataFrame) -> DataFrame:
+    """Default length and fallback zone per feed."""
+    return resolve_zone(
         feeds.select("feed_id", "default_duration_minutes", "display_tz"),
         zone_dim,
         "display_tz",
         "fallback_zone",
         F.lit("UTC"),
     ).drop("display_tz")
+
+
+def _settings_columns() -> list[Column]:
+    return [
+        F.coalesce("default_duration_minutes", F.lit(30)).alias("default_minutes"),
+        F.coalesce("fallback_zone", F.lit("UTC")).alias("fallback_zone"),
+    ]
+
+
+def decode(docs: DataFrame, feeds: DataFrame, zone_dim: DataFrame) -> DataFrame:
+    """One row per event block of the documents, with ``bad`` and ``kept`` flags, before dedupe.
+
+    ``bad`` rows spoil their whole snapshot (see the gate); ``kept`` rows are closed and have an
+    identity. ``feeds`` gives the default length and the fallback zone.
+    """
     spread = ("snapshot_seq", "part")
     small = fits_broadcast(feeds, KEY_ROWS)
-    with_settings = attach(docs, zone_of, how="left", spread_by=spread, small=small)
+    settings = _settings(feeds, zone_dim)
+    with_settings = attach(docs, settings, how="left", spread_by=spread, small=small)
     texts = with_settings.select(
         "feed_id",
         "snapshot_seq",
         "part",
-        F.coalesce("default_duration_minutes", F.lit(30)).alias("default_minutes"),
-        F.coalesce("fallback_zone", F.lit("UTC")).alias("fallback_zone"),
+        *_settings_columns(),
         unfold(document_text(F.col("content"))).alias("text"),
     )
-    dated = properties(vevent_blocks(texts)).withColumn(
+    return _events(vevent_blocks(texts), zone_dim)
+
+
+def decode_blocks(blocks: DataFrame, feeds: DataFrame, zone_dim: DataFrame) -> DataFrame:
+    """As ``decode``, of blocks (feed_id, snapshot_seq, part, pos, block, closed) that were cut out before."""
+    settings = _settings(feeds, zone_dim)
+    spread = ("snapshot_seq", "part", "pos")
+    rows = attach(blocks, settings, how="left", spread_by=spread, small=fits_broadcast(feeds))
+    names = ("feed_id", "snapshot_seq", "part", "pos", "block", "closed")
+    return _events(rows.select(*names, *_settings_columns()), zone_dim)
+
+
+def _events(blocks: DataFrame, zone_dim: DataFrame) -> DataFrame:
+    dated = properties(blocks).withColumn(
         "feed_ord", F.shiftleft(F.col("part").cast("bigint"), 32) + F.col("pos")
     )
     for side in ("start", "end"):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from snapfold import schemas
 from snapfold.functions.zones import iso_ms, zones
 from snapfold.operators.batching import assign_batches, number_ops, operations, outbox
-from snapfold.operators.decode import decode, normalised
+from snapfold.operators.decode import decode, decode_blocks, normalised
 from snapfold.operators.fold import (
     aborted_summary,
     additions,
@@ -147,12 +147,14 @@ def prepare(
     targets: DataFrame,
     max_bytes: int = MAX_DOCUMENT_BYTES,
     silent: DataFrame | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Decode, gate, reconcile and write the outbox of a run; returns the outbox.
 
     ``documents`` is keyed as in ``sources.snapshots``, ``feeds`` is the checked registry, ``targets`` the
     calendar catalogue; documents of more than ``max_bytes`` are not read. Feeds in ``silent`` (feed_id, see
     ``sources.snapshots.silent_feeds``) that have no snapshot in this run are reported as failed fetches.
+    With ``blocks`` (``sources.scan.read_blocks``) documents may be of any size: only their keys are used then.
     """
     require_utc(configure(spark))
     last = previous(spark, store, run_seq)
@@ -161,10 +163,17 @@ def prepare(
     # Everything that is attached by feed below has at most a row per registered feed.
     small = fits_broadcast(feeds)
     current = newest_per_feed(documents, feed_state, feeds)
-    decoded = _saved(decode(admit(current, max_bytes), feeds, zones(spark)), store, "decoded", run_seq)
+    if blocks is None:
+        read = admit(current, max_bytes)
+        events = decode(read, feeds, zones(spark))
+    else:
+        read = current.drop("content")
+        wanted = read.select("feed_id", "snapshot_seq").distinct()
+        events = decode_blocks(blocks.join(wanted, ["feed_id", "snapshot_seq"], "left_semi"), feeds, zones(spark))
+    decoded = _saved(events, store, "decoded", run_seq)
 
     resolved = resolve_targets(feeds, feed_state, targets)
-    gated = gate(polls(current), admit(current, max_bytes), decoded).join(resolved, "feed_id", "left")
+    gated = gate(polls(current), read, decoded).join(resolved, "feed_id", "left")
     no_target = F.when(F.col("calendar_id").isNull(), TARGET_FAILED)
     gated = gated.withColumn("aborted", F.coalesce("aborted", no_target))
     if silent is not None:
@@ -381,11 +390,12 @@ def run(
     applier: Applier,
     max_bytes: int = MAX_DOCUMENT_BYTES,
     silent: DataFrame | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Prepare, apply and finish one run. A run that is already committed is left alone."""
     if newest_commit(spark, store, f"run_seq = {run_seq}"):
         return spark.read.parquet(store.of_run("summary", run_seq))
-    requests = prepare(spark, store, run_seq, now, documents, feeds, targets, max_bytes, silent)
+    requests = prepare(spark, store, run_seq, now, documents, feeds, targets, max_bytes, silent, blocks)
     responses: DataFrame | None = spark.createDataFrame([], schemas.RESPONSES)
     if not requests.isEmpty():
         try:

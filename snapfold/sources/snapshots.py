@@ -30,6 +30,12 @@ FILE_SCHEMA = (
 )
 
 
+def part_number(path: Column) -> Column:
+    """Part that a landed file holds; NULL if its name is not that of a part."""
+    number = [F.regexp_extract(path, _PART, i).try_cast("bigint") for i in (1, 2)]
+    return F.when(number[1].isNotNull(), number[0])
+
+
 def named(files: DataFrame) -> DataFrame:
     """Documents of landed files; the part numbers come from the file name."""
 
