@@ -215,7 +215,8 @@ def finish(
     """Settle the responses, fold them into the next state and commit; returns the run summary.
 
     ``responses`` is None when applying failed outright: the feeds that had operations are then aborted
-    and keep their state, so that the next run repeats the work.
+    and keep their state, so that the next run repeats the work. If the state can't be written the run is
+    committed with the state before it, and every feed it changed reports one error more.
     """
     require_utc(configure(spark))
     last = previous(spark, store, run_seq)
@@ -244,8 +245,6 @@ def finish(
         settled = write_keyed(
             spark, outcomes(changes, results), store.folder("settled"), run_seq, store.buckets
         )
-        layout = _advance(spark, store, run_seq, layout, settled)
-        write_recent(additions(settled, iso_ms(_moment(now))), store.folder("recent"), run_seq)
         finished = usable.select(
             "feed_id",
             F.lit(STATE_VERSION).alias("version"),
@@ -254,15 +253,23 @@ def finish(
             F.col("snapshot_seq").alias("applied_snapshot_seq"),
             F.lit(run_seq).cast("bigint").alias("run_seq"),
         )
-        header = advance_feed_state(read_feed_state(spark, store, feed_state_run_seq), finished)
-        _saved(header, store, "feed_state", run_seq)
-        feed_state_run_seq = run_seq
+        lost = 0
+        try:
+            advanced = _advance(spark, store, run_seq, layout, settled)
+            header = advance_feed_state(read_feed_state(spark, store, feed_state_run_seq), finished)
+            _saved(header, store, "feed_state", run_seq)
+            layout, feed_state_run_seq = advanced, run_seq
+        except Exception:
+            # The operations are done, so the run is reported; the next one finds them out again from the old state.
+            log.exception("run %s: the operations were applied, but the state could not be written", run_seq)
+            lost = 1
+        write_recent(additions(settled, iso_ms(_moment(now))), store.folder("recent"), run_seq)
         # Every usable feed has events, hence rows to count.
         counted = ["feed_id", "action", "outcome"]
         unchanged = actions.where(F.col("action") == "unchanged").withColumn("outcome", F.lit(None))
         rows = settled.select(*counted).unionByName(unchanged.select(*counted))
         # An answer to no request never gives a uid an id, but it shows in the summary.
-        errors = F.col("errors") + F.coalesce("unmatched", F.lit(0))
+        errors = F.col("errors") + F.coalesce("unmatched", F.lit(0)) + lost
         counts = summarise(rows).join(unmatched(requests, responses), "feed_id", "left")
         counts = counts.withColumn("errors", errors).drop("unmatched")
         summary = counts.unionByName(aborted_summary(rejects))

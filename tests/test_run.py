@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import snapfold.plans.run as run_module
 from snapfold import schemas
 from snapfold.operators.fold import feed_status
 from snapfold.plans.run import (
@@ -381,3 +382,19 @@ def test_an_answer_to_no_request_is_an_error(spark, folder):
 
     assert h.go(applier=applier) == {"f": (3, 0, 0, 0, 0, 1, None)}
     assert set(h.state()) == {"ep-1", "ep-2", "ep-3"}
+
+
+def test_a_state_that_could_not_be_written_is_an_error_of_each_feed(spark, folder, monkeypatch):
+    h = Harness(spark, folder)
+    h.land(ics(*SHOWS[:1]))
+    assert h.go() == {"f": (1, 0, 0, 0, 0, 0, None)}
+    h.land(ics(*SHOWS))
+
+    def full(*_):
+        raise OSError("no space")
+
+    with monkeypatch.context() as m:
+        m.setattr(run_module, "_advance", full)
+        assert h.go() == {"f": (2, 0, 0, 1, 0, 1, None)}
+    assert set(h.state()) == {"ep-1"} and len(commits(spark, h.store)) == 2
+    assert h.go() == {"f": (2, 0, 0, 1, 0, 0, None)} and len(h.state()) == 3
