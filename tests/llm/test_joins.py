@@ -343,7 +343,7 @@ def equal_words(pattern, text="d"):
 
 
 def best_overlaps(doc, item):
-    bench = [(0, 0, len(item), Words(pa.array([" ".join(item)]), plain=False).of(0))]
+    bench = [(0, Words(pa.array([" ".join(item)]), plain=False).of(0))]
     return list(Index(bench).find(Words(pa.array([" ".join(doc)]), plain=False)))
 
 
@@ -384,3 +384,42 @@ def test_ties_of_many_distinct_vectors_go_to_the_smaller_ids():
             order = [j for j in np.lexsort((ids, -product)).tolist() if j != q][:20]
             assert found[rows == i].tolist() == ids[order].tolist()
             assert scores[rows == i].tolist() == product[order].tolist()
+
+
+def split_hashes(made):
+    words = Words(pa.array(made), plain=False)
+    return [words.of(i) for i in range(len(made))]
+
+
+def test_items_that_share_a_phrase_cost_no_step_per_occurrence():
+    for phrase, many in ((10, 0), (11, 0), (13, 400)):
+        shared = " ".join(f"p{i}" for i in range(phrase))
+        index = Index(list(enumerate(split_hashes([f"a{i} b{i} {shared} c{i} d{i}" for i in range(400)]))))
+        taken = []
+        index._longest, kept = lambda words, rows, size, best: taken.append(rows.shape[1]) or kept(words, rows, size, best), index._longest
+        got = list(index.find(Words(pa.array([" ".join(f"{shared} x{j}" for j in range(200))]), plain=False)))
+        assert len(got) == many and all(x[2:] == (0, 13, 13) for x in got)
+        assert sum(taken) == many * 200
+
+
+def test_long_items_are_compared_whole():
+    rnd = random.Random(8)
+    item = [f"w{i}" for i in range(10_000)]
+    near = [x if rnd.random() < 0.9 else "changed" for x in item]
+    near[0], near[-1] = item[0], item[-1]
+    for doc in (item, near):
+        ((_, _, a, b, same),) = best_overlaps(["pre", *doc, "post"], item)
+        assert (a, b, same) == (1, 10_001, sum(x == y for x, y in zip(doc, item, strict=True)))
+
+
+def test_overlaps_over_blocks_and_short_items(spark, monkeypatch):
+    made = texts(40, 5, (30, 60))
+    bench = spark.createDataFrame([*enumerate(x[:200] for x in made[::4]), (70, "Two words"), (71, "no such thing")], "item_id bigint, text string")
+    docs = frame(spark, [*made, "here are two words, too", "two other words"])
+    one = {tuple(r) for r in overlaps(docs, bench).collect()}
+    kept = {r.doc_id for r in decontaminate(docs, bench).collect()}
+    monkeypatch.setattr("snapfold.llm.decontaminate.BLOCK_WORDS", 90)
+    assert {tuple(r) for r in overlaps(docs, bench).collect()} == one
+    assert {r.doc_id for r in decontaminate(docs, bench).collect()} == kept == set(range(42)) - {r[0] for r in one}
+    short = {tuple(r) for r in overlaps(docs, bench, least=1).collect()} - one
+    assert short == {(40, 70, 2, 4, 2)}
