@@ -4,6 +4,11 @@ A page is read into a tree of elements. Each gets its characters, tags, link cha
 density is characters per tag, adjusted by the share of links (and by that share on the whole page). The element with
 the largest sum of its children's densities is the core. From there the selection grows towards the body as long as
 the parent holds another child that is as dense as the least dense element on the path from the body to the core.
+Articles and sections that lie beside the selected one belong to it.
+
+Elements that HTML itself gives another purpose are never text. Names (words of class and id) only say which elements
+do not compete for the selection; inside the selected article a box goes only if one of its class or id words as a whole
+names a part that is no article, or if it begins with a heading of reader comments.
 """
 
 from __future__ import annotations
@@ -44,8 +49,8 @@ HOLDS_P = frozenset(["button", "table", "td", "th", "caption", "object", "html",
 
 # What is no article text: by element, by role, and by words of class and id.
 NO_TEXT = RAW | frozenset(
-    "head nav header footer aside form button select option template noscript svg math canvas audio video object "
-    "embed dialog menu input label datalist".split()
+    "head nav footer aside form button select option template noscript svg canvas audio video "
+    "embed dialog menu input datalist".split()
 )
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NO_NAME = re.compile(
@@ -57,17 +62,34 @@ NO_NAME = re.compile(
 )
 # Names that say how a page is laid out, of elements that can hold all of it.
 STATE = re.compile(r"(?:has|no|not|with|without|is|show|hide)[_-]|.*[_-](?:open|opened|closed|enabled|disabled|on|off)$", re.I)
+# A whole class or id word of a box that is no article text wherever it stands.
+JUNK = re.compile(
+    r"(?:(?:user|reader|article|post|entry)[_-]?)?(?:comments?|repl(?:y|ies))(?:[_-]?(?:list|area|section|thread|form|box))?|disqus_thread|"
+    r"ads?|advert|adverts|advertisement|advertising|ad[_-](?:slot|unit|box|banner|container|wrapper)|sponsored|promo|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|footer|"
+    r"cookies?|cookie[_-](?:notice|banner|bar|consent)|notice|popup|modal|newsletter|newsletter[_-](?:signup|form|box)|subscribe|"
+    r"share|sharing|share[_-](?:buttons|links|bar)|social[_-](?:share|links|buttons)|related[_-](?:posts|articles|stories)",
+    re.I,
+)
+# Headings of reader comments.
+REMARKS = re.compile(r"(?:(?:reader|user)s?['’]?s? )?comments?(?: ?\(?\d+\)?)?:?|\d+ comments|leave a (?:comment|reply)|join the discussion", re.I)
 HOME = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Where a header belongs to the text.
+OWN_HEADER = ("article", "main", "section")
+#: Elements that hold boxes; only their names count.
+BOXES = BLOCKS - HEADINGS - frozenset("p pre blockquote caption dt dd figcaption legend html body".split())
 NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
 REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 ATTRIBUTE = re.compile(r"(?:^|(?<=[\s\"'/]))(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "named", "chars", "tags", "links", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "drop", "named", "junk", "away", "chars", "tags", "links", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, named: bool = False):
-        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, named: bool = False, junk: bool = False):
+        self.tag, self.parent, self.drop, self.named, self.junk = tag, parent, drop, named, junk
+        self.away = False  # does not compete for the selection
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
@@ -87,21 +109,37 @@ def _dropped(tag: str, attributes: str) -> bool:
     return False
 
 
-def _named(tag: str, attributes: str) -> bool:
-    """Whether class or id say that this is no article text."""
-    if not attributes or tag in HOME or tag in ("html", "body"):
+def _named(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether class or id hint, and whether a whole word of them says, that this box is no article text."""
+    if not attributes or tag not in BOXES:
+        return False, False
+    given = [(x[0].lower(), "".join(x[1:])) for x in ATTRIBUTE.findall(attributes)]
+    # ids of sections and articles are made from their headings
+    words = [x for name, value in given if name == "class" or (name == "id" and tag not in ("section", *HOME)) for x in value.split()]
+    junk = any(JUNK.fullmatch(x) for x in words)
+    return tag not in HOME and (junk or any(NO_NAME.search(x) and not STATE.match(x) for x in words)), junk
+
+
+def _remarks(node: Node) -> bool:
+    """Whether a box begins with a heading of reader comments."""
+    if node.tag not in BOXES or node.tag in HOME:
         return False
-    values = ["".join(x[1:]) for x in ATTRIBUTE.findall(attributes) if x[0].lower() in ("class", "id")]
-    return any(NO_NAME.search(x) and not STATE.match(x) for value in values for x in value.split())
+    first = next((p for p in node.parts if not isinstance(p, str) or p.strip()), "")
+    if isinstance(first, str) or first.tag not in HEADINGS:
+        return False
+    own = " ".join(x for p in first.parts for x in ([p] if isinstance(p, str) else [y for y in p.parts if isinstance(y, str)]))
+    return bool(REMARKS.fullmatch(" ".join(own.split())))
 
 
 def _drop_named(root: Node) -> None:
-    """Drop elements by name, but none that holds the page's articles or most of its plain text."""
+    """Mark elements as away by name, but none that holds the page's articles or most of its plain text."""
     order, stack = [], [(root, False, False)]
     plain, homes, apart = {}, {}, False
     while stack:
         node, linked, inside = stack.pop()
-        linked, inside = linked or node.tag == "a", inside or node.named
+        if _remarks(node):
+            node.named = node.junk = True
+        linked, inside = linked or node.tag == "a", inside or node.named or node.junk
         order.append(node)
         plain[id(node)] = 0 if linked else sum(len(x) for p in node.parts if isinstance(p, str) for x in p.split())
         homes[id(node)] = node.tag in HOME
@@ -112,9 +150,9 @@ def _drop_named(root: Node) -> None:
             plain[id(node.parent)] += plain[id(node)]
             homes[id(node.parent)] |= homes[id(node)]
     for node in order:
-        if node.named:
+        if node.named or node.junk:
             # where an article lies outside of such elements, those inside are comments or teasers
-            node.drop = apart or not (homes[id(node)] or 2 * plain[id(node)] > plain[id(root)])
+            node.away = apart or not (homes[id(node)] or 2 * plain[id(node)] > plain[id(root)])
 
 
 def parse(html: str) -> Node:
@@ -180,7 +218,8 @@ def parse(html: str) -> Node:
         if tag in CLOSES and any(opened[x] for x in CLOSES[tag][0]):
             if (found := upward(*CLOSES[tag], outermost=True)) is not None:
                 now = close(found)
-        node = Node(tag, now, _dropped(tag, attributes), _named(tag, attributes))
+        drop = _dropped(tag, attributes) or (tag == "header" and not any(opened[x] for x in OWN_HEADER))
+        node = Node(tag, now, drop, *_named(tag, attributes))
         now.parts.append(node)
         if tag in RAW:
             shut = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -204,7 +243,7 @@ def _measure(root: Node) -> list[Node]:
                 size = sum(map(len, part.split()))
                 node.chars += size
                 node.links += size * linked
-        stack.extend((p, linked) for p in reversed(node.parts) if not isinstance(p, str) and not p.drop)
+        stack.extend((p, linked) for p in reversed(node.parts) if not isinstance(p, str) and not (p.drop or p.away))
     for node in reversed(order):
         if node.parent is not None:
             up = node.parent
@@ -225,8 +264,22 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _select(root: Node, order: list[Node]) -> tuple[Node, Node]:
-    """(selected element, article): the article is the article element or the core; in it no list of links is dropped."""
+def _beside(node: Node) -> list[Node]:
+    """The element and those of its kind beside it, with headings in front of any of them, in page order."""
+    kin, headings = [], []
+    for p in node.parent.parts if node.parent is not None else [node]:
+        if isinstance(p, str) or p.drop or p.away or not p.chars:
+            continue
+        if p is node or (p.tag == node.tag and not p.junk and not _menu(p)):
+            kin += [*headings, p]
+            headings = []
+        elif p.tag in HEADINGS or (node.tag == "section" and p.tag in ("p", "header")):
+            headings.append(p)
+    return kin
+
+
+def _select(root: Node, order: list[Node]) -> tuple[list[Node], Node]:
+    """(selected elements, article): the article is the article element or the core; in it no list of links is dropped."""
     body = next((x for x in order if x.tag == "body"), root)
     inside, held = [], {id(body)}
     for node in order:
@@ -243,14 +296,14 @@ def _select(root: Node, order: list[Node]) -> tuple[Node, Node]:
     threshold = min(x.density for x in path)
     homes = [x for x in path if x.tag in HOME]
     if homes:
-        articles = [x for x in homes if x.tag == "article"]
-        home = (articles or homes)[-1]
-        return home, home
+        home = ([x for x in homes if x.tag == "article"] or homes)[-1]
+        return _beside(home) if home.tag == "article" else [home], home
     chosen = core
     for below, node in zip(path, path[1:], strict=False):
-        if any(not isinstance(p, str) and not p.drop and p is not below and p.chars and p.density >= threshold for p in node.parts):
+        if any(not isinstance(p, str) and not (p.drop or p.away) and p is not below and p.chars and p.density >= threshold for p in node.parts):
             chosen = node
-    return chosen, core
+    sections = [x for x in path[path.index(chosen) :] if x.tag == "section"]
+    return (_beside(sections[-1]), sections[-1]) if sections else ([chosen], core)
 
 
 def _menu(node: Node) -> bool:
@@ -274,7 +327,8 @@ def extract(html: str) -> str:
 
     selected, article = _select(root, order)
     whole_page = article is root or article.tag in ("html", "body")
-    stack: list = [(selected, False)]
+    chosen = {id(x) for x in selected}
+    stack: list = [(x, False) for x in reversed(selected)]
     while stack:
         part, inside = stack.pop()
         if part is None:
@@ -284,8 +338,11 @@ def extract(html: str) -> str:
         elif part.tag == "br":
             line.append(" ")
         elif not part.drop:
-            inside = inside or part.tag in HOME or (part is article and not whole_page)
-            if not inside and part is not selected and _menu(part):
+            own = id(part) in chosen
+            if part.away and not own and (part.junk or not inside):
+                continue
+            inside = inside or part.tag in HOME or part.tag == "section" and own or (part is article and not whole_page)
+            if not inside and not own and _menu(part):
                 continue
             block = part.tag in BLOCKS
             if block:

@@ -1,5 +1,6 @@
 """Operators that handle rows one by one: personal data, toxicity, pages."""
 
+import math
 import random
 import re
 import time
@@ -8,7 +9,7 @@ import zlib
 import pytest
 from helpers import awkward, empty
 
-from snapfold.llm.pages import extract, extract_pages
+from snapfold.llm.pages import _measure, extract, extract_pages, parse
 from snapfold.llm.pii import find, find_pii, mod97, redact_pii
 from snapfold.llm.toxicity import Model, fit, held_out, score, train
 
@@ -185,3 +186,76 @@ def test_lists_of_links_of_an_article_stay():
     assert extract(f"<body><article>{links}</article></body>") == "First source\n\nSecond source"
     assert extract(f"<body><div id=content>{WORDS}<p><a href=a>One</a> <a href=b>two</a></p></div></body>").endswith("One two")
     assert "First" not in extract(f"<body>{links}{WORDS}</body>")
+
+
+LONG = "A paragraph of the story, long enough to be read as text and not as a label."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><h2 class='section-header'>Part</h2><p>{LONG}</p></article>", ["Part", LONG]),
+        (f"<article><p>{LONG}</p><section id='social-effects'><h2>Effects</h2><p>More.</p></section></article>", [LONG, "Effects", "More."]),
+        (f"<article><p>{LONG}</p><h2 id='related-work'>Related work</h2><p>More.</p></article>", [LONG, "Related work", "More."]),
+        (f"<article><p class='notice'>Mind this.</p><p>{LONG}</p></article>", ["Mind this.", LONG]),
+        (f"<article><p>{LONG} <math><mi>x</mi></math></p><label>A label</label><object>In its place</object></article>", [f"{LONG} x", "A labelIn its place"]),
+        (f"<header>Site</header><article><header><h1>Title</h1></header><p>{LONG}</p><footer>Foot</footer></article>", ["Title", LONG]),
+        (f"<main><article><p>{LONG}</p></article><article><p>Short one.</p></article></main>", [LONG, "Short one."]),
+        (f"<section><h2>A</h2><p>{LONG}</p><p>{LONG}</p></section><section><h2>B</h2><p>Short.</p></section>", ["A", LONG, LONG, "B", "Short."]),
+        (f"<article><p>{LONG}</p></article><div class='user-feedback'><h3>Reader comments</h3><p>I beg to differ, and at some length.</p></div>", [LONG]),
+        (f"<article><p>{LONG}</p><div class='user-feedback'><h3>Reader comments</h3><p>I beg to differ.</p></div></article>", [LONG]),
+        (f"<div id=main><p>{LONG}</p><p>{LONG}</p><div class='related-work'><p>An inner box.</p></div><div class='ad'>Buy.</div></div>", [LONG, LONG, "An inner box."]),
+        (f"<article><p>{LONG}</p><div class='box ad'>Buy.</div><div class='share'>Tell</div></article><article class='comment'><p>No.</p></article>", [LONG]),
+        (f"<main><h1>Title</h1><article><p>{LONG}</p></article></main>", ["Title", LONG]),
+    ],
+)
+def test_only_parts_that_are_no_article_go(html, text):
+    assert extract(f"<html><body><nav><a href=/>Home</a></nav>{html}<footer>Foot</footer></body></html>") == "\n\n".join(text)
+
+
+def children(node):
+    return [p for p in node.parts if not isinstance(p, str) and not p.drop and not p.away]
+
+
+def slow_counts(node, linked):
+    """(characters, link characters, tags, link tags) of an element."""
+    linked = linked or node.tag == "a"
+    chars = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+    below = [slow_counts(p, linked) for p in children(node)]
+    links = chars * linked
+    return (
+        chars + sum(x[0] for x in below),
+        links + sum(x[1] for x in below),
+        len(below) + sum(x[2] for x in below),
+        sum(p.tag == "a" for p in children(node)) + sum(x[3] for x in below),
+    )
+
+
+def slow_density(node, linked, share):
+    chars, links, tags, link_tags = slow_counts(node, linked)
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(chars - links, 1) * links + share * chars + math.e)
+    adjusted = math.log(max(chars / max(links, 1) * max(tags, 1) / max(link_tags, 1), 1.0))
+    return chars / max(tags, 1) * max(adjusted, 1e-9) / base
+
+
+def test_densities_of_random_trees():
+    rnd = random.Random(4)
+
+    def made(depth):
+        if depth == 0 or rnd.random() < 0.3:
+            return "word " * rnd.randrange(6)
+        tag = rnd.choice(["div", "p", "span", "a", "em"] if depth == 1 else ["div", "section", "span"])
+        return f"<{tag}>{''.join(made(depth - 1) for _ in range(rnd.randrange(1, 5)))}</{tag}>"
+
+    for _ in range(200):
+        root = parse(f"<body>{made(5)}{made(5)}</body>")
+        order = _measure(root)
+        chars, links, *_ = slow_counts(root, False)
+        share, linked = links / chars if chars else 0.0, {}
+        for node in order:
+            linked[id(node)] = node.tag == "a" or (node.parent is not None and linked[id(node.parent)])
+            want = [slow_density(p, linked[id(node)], share) for p in children(node)]
+            assert math.isclose(node.density, slow_density(node, linked[id(node)], share), rel_tol=1e-9)
+            assert math.isclose(node.total, sum(want), rel_tol=1e-9, abs_tol=1e-12)
