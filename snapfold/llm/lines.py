@@ -1,14 +1,18 @@
 """Line deduplication by pairwise alignment.
 
 Every line's first holder, in order of doc_id, stands for all its holders, so a line that thousands of documents share
-proposes as many pairs as it has holders and not their square; rare and frequent lines need no different treatment, and
-a pair can rest on a single line that only its two documents have. The lines of a pair are aligned as patience diff
+proposes as many pairs as it has holders and not their square, and a pair can rest on a single line that only its two
+documents have. The lines of a pair are aligned as patience diff
 does: lines are made unique by numbering their repeats, the longest run that is in order in both documents is kept, and
 its unbroken blocks are deleted from the later document.
 
 With ``all_pairs`` the result is that of aligning every two documents that share a line, over all lines that they share.
 Lines that one partner deletes need no other, so partners are tried in rounds: in each, the first document among the
-holders that still keep a line stands for the others. What the rounds leave is aligned with every earlier holder.
+holders that still keep a line stands for the others. What the rounds leave is aligned with every earlier holder of a
+rare line. A frequent line needs no pairs: it is taken as an anchor of its own, whose block is the unbroken stretch
+around it that the document and the line's first holder share. An alignment's blocks with that holder lie in such
+stretches, so nothing stays that one of them would delete; documents that hold the same lines in many orders cost as
+many rows as they have lines. Without a bound for rare lines all holders are tried.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from snapfold.llm.common import cut, prepare, sorted_groups, whole
 MIN_CHARS = 24
 #: Rounds in which one document stands for the holders of a line, before all that are left are tried.
 ROUNDS = 3
+#: Holders up to which a line is rare.
+RARE = 16
 #: Two hashes stand for a text.
 COPY = ["h1", "h2"]
 
@@ -158,10 +164,22 @@ def _aligned(pairs: DataFrame, held: DataFrame, min_chars: int) -> DataFrame:
     return rows.mapInArrow(run, "h1 bigint, h2 bigint, line int").distinct()
 
 
-def _all_pairs(each: DataFrame, min_chars: int) -> DataFrame:
+def _anchored(holders: DataFrame, left: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, line) of left: lines in an unbroken stretch that the text shares with the first holder of its lines."""
+    by = ["key", "size"]
+    first = cut(holders.groupBy(*by).agg(F.min(F.struct("place", *COPY, "line")).alias("first")))
+    own = holders.join(left.select(*COPY).distinct(), COPY, "left_semi").join(first, by)
+    own = own.select(*COPY, "line", "size", F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2"), (F.col("line") - F.col("first.line")).alias("shift"))
+    stretch = [*COPY, "f1", "f2", "shift"]
+    own = own.where("h1 <> f1 or h2 <> f2").withColumn("run", F.col("line") - F.row_number().over(Window.partitionBy(*stretch).orderBy("line")))
+    own = own.withColumn("chars", F.sum("size").over(Window.partitionBy(*stretch, "run"))).where(F.col("chars") >= min_chars)
+    return left.select(*COPY, "line").join(own.select(*COPY, "line"), [*COPY, "line"], "left_semi")
+
+
+def _all_pairs(each: DataFrame, min_chars: int, rare: int | None) -> DataFrame:
     """(h1, h2, gone): what aligning every text with every earlier one that shares a line deletes."""
     by = ["key", "size"]
-    n = cut(each.groupBy(*by).count().where("count > 1").drop("count"))
+    n = cut(each.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"))
     text = Window.partitionBy(*COPY)
     shared = each.join(n, by).withColumn("run", F.col("line") - F.row_number().over(text.orderBy("line")))
     # a block is unbroken, so a line whose run of shared lines is too short never goes
@@ -169,7 +187,7 @@ def _all_pairs(each: DataFrame, min_chars: int) -> DataFrame:
     shared = cut(shared)
     rows = shared.groupBy(*COPY).agg(F.sort_array(F.collect_list(F.struct("line", "key", "size"))).alias("x"))
     held = cut(rows.select(*COPY, F.col("x.line").alias("lines"), F.col("x.key").alias("keys"), F.col("x.size").alias("sizes")))
-    holders = shared.where("fit").select("place", *COPY, "n_lines", "line", *by)
+    holders = shared.where("fit").select("place", *COPY, "n_lines", "line", *by, "n")
     left, tried, found, late = holders, [], [], []
     for turn in range(ROUNDS):
         first = left.groupBy(*by).agg(F.min(F.struct("place", *COPY)).alias("first"))
@@ -189,6 +207,9 @@ def _all_pairs(each: DataFrame, min_chars: int) -> DataFrame:
     for x in late:
         left = left.unionByName(x)
     left = cut(left)
+    if rare is not None:
+        found.append(cut(_anchored(holders, left.where(F.col("n") > rare), min_chars)))
+        left = left.where(F.col("n") <= rare)
     if not left.isEmpty():
         every = holders.select(*by, F.col("place").alias("p"), F.col("h1").alias("f1"), F.col("h2").alias("f2"))
         rest = left.join(every, by).where(F.struct("p", "f1", "f2") < F.struct("place", *COPY)).select(*COPY, "f1", "f2").distinct()
@@ -214,7 +235,7 @@ def _all_pairs(each: DataFrame, min_chars: int) -> DataFrame:
     return rows.mapInArrow(mark, "h1 bigint, h2 bigint, gone array<boolean>")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, all_pairs: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, all_pairs: bool = False, rare: int | None = None) -> DataFrame:
     """(doc_id, h1, h2, n_lines, copy, gone): rows of ``docs`` that lose lines, gone tells for each line whether it goes.
 
     copy is true where an earlier document has the same text: then gone is null and the whole text goes.
@@ -228,7 +249,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, all_pairs: bool
     )
     each = classes.select("place", *COPY, F.size("keys").alias("n_lines"), F.posexplode(F.arrays_zip("keys", "sizes")).alias("line", "x"))
     each = each.select("place", *COPY, "n_lines", "line", F.col("x.keys").alias("key"), F.col("x.sizes").alias("size")).where("key <> 0")
-    aligned = (_all_pairs if all_pairs else _by_first)(each, min_chars)
+    aligned = _all_pairs(each, min_chars, rare) if all_pairs else _by_first(each, min_chars)
     # written for the same reason: many copies share the key of the next join
     per_class = cut(classes.select(*COPY, "place").join(aligned, COPY, "left"))
     rows = texts.select("doc_id", *COPY, F.size("keys").alias("n_lines")).distinct()
@@ -237,10 +258,12 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, all_pairs: bool
     return joined.select("doc_id", *COPY, "n_lines", copy.alias("copy"), F.when(~copy, F.col("gone")).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, all_pairs: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, all_pairs: bool = False, rare: int | None = None) -> DataFrame:
     """``docs`` with the lines deleted that an earlier document has in an aligned block; adds n_lines and n_removed.
 
     all_pairs aligns with every earlier document that shares a line, else with the first holder of each line only.
+    With it, lines that more than ``rare`` documents hold and that three partners leave go by themselves where they and
+    their neighbours make min_chars in their first holder, too; rare=None (the default) aligns these as well, pair by pair.
     Earlier means a smaller doc_id; a row without doc_id comes last. A text that an earlier document has word for
     word becomes empty. Rows with equal doc_id and text are one document and keep the same lines; of equal ids with
     different texts either may be the earlier one, by a hash of the text. A null text stays null and has no lines; an
@@ -248,7 +271,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, all_pairs: bool = Fa
     added ones are replaced. No rows give no rows.
     """
     prepare(docs.sparkSession)
-    found = repeated_lines(docs, min_chars, all_pairs).select(
+    found = repeated_lines(docs, min_chars, all_pairs, rare).select(
         F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("copy").alias("__copy"), F.col("gone").alias("__gone")
     )
     h1, h2 = copy_keys(whole())

@@ -12,7 +12,7 @@ from snapfold.llm.common import WORD, prepare, whole
 from snapfold.llm.decontaminate import overlaps
 from snapfold.llm.neighbours import nearest
 from snapfold.llm.pages import extract_pages
-from snapfold.llm.lines import line_dedup
+from snapfold.llm.lines import RARE, line_dedup
 from snapfold.llm.mixing import mix
 from snapfold.llm.pieces import decode_ids, encode_texts
 from snapfold.llm.pii import BASE_KINDS, find_pii
@@ -76,7 +76,7 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup(table(spark, sf_dir, "documents"), all_pairs=True)
+    kept = line_dedup(table(spark, sf_dir, "documents"), all_pairs=True, rare=RARE)
     return kept.select("doc_id", "text", "n_lines", "n_removed")
 
 

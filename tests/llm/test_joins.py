@@ -423,3 +423,21 @@ def test_overlaps_over_blocks_and_short_items(spark, monkeypatch):
     assert {r.doc_id for r in decontaminate(docs, bench).collect()} == kept == set(range(42)) - {r[0] for r in one}
     short = {tuple(r) for r in overlaps(docs, bench, least=1).collect()} - one
     assert short == {(40, 70, 2, 4, 2)}
+
+
+def test_lines_in_many_orders_propose_no_pairs(spark, monkeypatch):
+    from snapfold.llm import lines
+
+    seen, kept = [], lines._aligned
+    monkeypatch.setattr(lines, "_aligned", lambda pairs, *rest: seen.append(pairs.count()) or kept(pairs, *rest))
+    rnd, counts = random.Random(12), {}
+    own = [f"line {i} of a list that everyone has" for i in range(30)]
+    for n in (40, 160):
+        seen.clear()
+        docs = ["\n".join([*rnd.sample(own, 30), f"a line of document {i}, its own"]) for i in range(n)]
+        got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(frame(spark, docs), all_pairs=True, rare=lines.RARE).collect()}
+        counts[n] = sum(seen)
+        assert got[0] == (docs[0], 0)
+        assert all(got[i] == (f"a line of document {i}, its own", 30) for i in range(1, n))
+    # in the later rounds a document may meet as many others as it has lines left, whatever their number
+    assert counts[160] < 6 * counts[40] and counts[160] < 160 * 159 / 4
