@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from snapfold.llm.common import prepare  # noqa: E402
 from snapfold.llm.decontaminate import decontaminate  # noqa: E402
-from snapfold.llm.lines import line_dedup  # noqa: E402
+from snapfold.llm.lines import RARE, line_dedup  # noqa: E402
 from snapfold.llm.mixing import mixed  # noqa: E402
 from snapfold.llm.simhash import simhash_dedup  # noqa: E402
 from snapfold.llm.toxicity import score, train  # noqa: E402
@@ -31,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go that an earlier document has in an aligned block; n_chars follows the text."""
-    return line_dedup(docs.select(*COLUMNS), all_pairs=True).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    return line_dedup(docs.select(*COLUMNS), all_pairs=True, rare=RARE).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
