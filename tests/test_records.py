@@ -21,6 +21,7 @@ from snapfold.sources.batchlog import read_responses
 from snapfold.sources.recent import page_size, recent, recent_page, revive_recent, write_recent
 from snapfold.sources.snapshots import warn_content_type
 from snapfold.sources.state import revive_state
+from snapfold.workloads import QUERIES, records
 
 REQUESTS = "run_seq bigint, feed_id string, batch_id bigint, id string, uid string, kind string"
 
@@ -273,3 +274,21 @@ def test_targets(spark):
 )
 def test_content_type(spark, given, warn):
     assert spark.range(1).select(warn_content_type(F.lit(given).cast("string"))).first()[0] is warn
+
+
+def test_two_runs_read_landed_documents(spark, folder, monkeypatch):
+    """A run reads its documents several times; rendering them from the events is not part of that."""
+    rows = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    days = [dt.datetime(2024, 1, day) for day in (3, 12, 20)]
+    events = [(i, day, i % 2, ("view", "click")[i % 2], 60.0, f'{{"k": {i}}}') for i, day in enumerate(days * 2)]
+    spark.createDataFrame(events, rows).write.parquet(f"{folder}/events.parquet")
+    given = []
+    monkeypatch.setattr(records, "run", lambda spark, store, run_seq, now, documents, feeds, *_: given.append((store, documents, feeds)))
+    QUERIES["two_runs"](spark, folder)
+    assert len(given) == 2
+    for store, documents, feeds in given:
+        assert store.buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for frame, n in ((documents, 2), (feeds, 2)):
+            assert frame.count() == n
+            plan = frame._jdf.queryExecution().optimizedPlan().toString()
+            assert all(step not in plan for step in ("Aggregate", "Join", "Window")), plan
